@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventlens.llm.common import ship, table
+from eventlens.llm.packing import pack_documents
+from eventlens.llm.pieces import piece_digests
 from eventlens.llm.quality import quality_report
+from eventlens.llm.tokens import tokenizer_file
+from eventlens.llm.wavelet import stored_digests
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op3_merge_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -21,5 +37,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands,)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards)}
 SQL: dict[str, str] = {}
