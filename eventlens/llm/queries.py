@@ -8,6 +8,7 @@ from eventlens.llm.common import ship, table
 from eventlens.llm.packing import pack_documents
 from eventlens.llm.pieces import piece_digests
 from eventlens.llm.quality import quality_report
+from eventlens.llm.repeats import repeat_digests
 from eventlens.llm.tokens import tokenizer_file
 from eventlens.llm.wavelet import stored_digests
 
@@ -28,6 +29,10 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -37,5 +42,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op8_suffix_automata)}
 SQL: dict[str, str] = {}

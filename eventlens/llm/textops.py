@@ -24,7 +24,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; grown on demand and kept for the worker's life."""
     key = int(base)
     have = _powers.get(key)
@@ -82,7 +82,7 @@ def words_of(texts: pa.Array) -> Words:
     first[1:] &= ~word[: size - 1] | cut[1:size]
     last = word[:size] & (~word[1:] | cut[1:])
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power_tables(_BASE, size + 1)
+    up, down = power_tables(_BASE, size + 1)
     run = np.zeros(size + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:size], out=run[1:])
     hashes = mix64((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
@@ -99,7 +99,7 @@ def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(n, np.uint64)
     if n < k:
         return out, ok
-    up, down = _power_tables(_WORD_BASE, n + 1)
+    up, down = power_tables(_WORD_BASE, n + 1)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum(words.hashes * up[:n], out=run[1:])
     out[: n - k + 1] = mix64((run[k:] - run[: n - k + 1]) * down[: n - k + 1] + _U(k))
