@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventlens.llm.common import ship, table
+from eventlens.llm.neardup import near_duplicate_classes
 from eventlens.llm.packing import pack_documents
 from eventlens.llm.pieces import piece_digests
 from eventlens.llm.quality import quality_report
@@ -29,6 +30,10 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -42,5 +47,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op8_suffix_automata)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op7_weighted_minhash, op8_suffix_automata)}
 SQL: dict[str, str] = {}
