@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventlens.llm.common import ship, table
+from eventlens.llm.language import predict_languages
 from eventlens.llm.neardup import near_duplicate_classes
 from eventlens.llm.packing import pack_documents
 from eventlens.llm.pieces import piece_digests
 from eventlens.llm.quality import quality_report
 from eventlens.llm.repeats import repeat_digests
 from eventlens.llm.tokens import tokenizer_file
+from eventlens.llm.topk import ORACLE, exact_top_k
 from eventlens.llm.wavelet import stored_digests
 
 
@@ -38,6 +40,14 @@ def op8_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op10_impact_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -47,5 +57,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op7_weighted_minhash, op8_suffix_automata)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op7_weighted_minhash, op8_suffix_automata, op9_byte_network, op10_impact_ordered)}
+SQL: dict[str, str] = {"op10_impact_ordered": ORACLE}
