@@ -159,15 +159,17 @@ class WaveletMatrix:
 _SHARD = "part int, shard int, n_tokens bigint, n_documents bigint, payload binary"
 
 
-def write_token_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, bits: int = 16, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_token_shards(
+    docs: DataFrame, path: str, out: str, end_id: int = 1, bits: int = 16, shard_tokens: int = SHARD_TOKENS, folded: bool = False
+) -> None:
     """Encodes ``docs`` in ascending doc_id order (nulls first, ties by text) into shards below ``out``.
 
     A null text counts as empty. ``path`` is a vocabulary of the tokenizers library whose ids fit ``bits``.
-    Shards close after ``shard_tokens`` tokens, a longer document stands in one shard of its own size.
+    ``folded`` tells that the vocabulary lower-cases its input. Shards close after ``shard_tokens`` tokens, a longer document stands in one shard of its own size.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, spaced=False)
+        own = encoder(path, spaced=False, folded=folded)
         end = np.array([end_id], "<u4").tobytes()
         part = shard = held = 0
         ids: list[bytes] = []
@@ -256,9 +258,9 @@ def token_lookup(shards: DataFrame, token: int) -> DataFrame:
     return shards.select("part", "shard", "payload").mapInArrow(find, "part int, shard int, doc_id bigint, position bigint")
 
 
-def stored_digests(docs: DataFrame, path: str, out: str | None = None) -> DataFrame:
+def stored_digests(docs: DataFrame, path: str, out: str | None = None, folded: bool = False) -> DataFrame:
     """Writes the shards (to a new folder of the shared directory unless told where) and reads them back."""
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    write_token_shards(docs, path, out)
+    write_token_shards(docs, path, out, folded=folded)
     return read_token_shards(spark, out)
