@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventlens.llm.common import ship, table
 from eventlens.llm.language import predict_languages
+from eventlens.llm.licences import scan_licences
 from eventlens.llm.neardup import near_duplicate_classes
 from eventlens.llm.packing import pack_documents
 from eventlens.llm.pieces import piece_digests
@@ -13,6 +14,7 @@ from eventlens.llm.quality import quality_report
 from eventlens.llm.repeats import repeat_digests
 from eventlens.llm.tokens import tokenizer_file
 from eventlens.llm.topk import ORACLE, exact_top_k
+from eventlens.llm.urls import filter_urls
 from eventlens.llm.wavelet import stored_digests
 
 
@@ -29,7 +31,15 @@ def op3_merge_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return stored_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), folded=True)
+
+
+def op5_character_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_paragraph_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
 
 
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +67,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op7_weighted_minhash, op8_suffix_automata, op9_byte_network, op10_impact_ordered)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op5_character_ratio, op6_paragraph_classifier, op7_weighted_minhash, op8_suffix_automata, op9_byte_network, op10_impact_ordered)}
 SQL: dict[str, str] = {"op10_impact_ordered": ORACLE}
