@@ -118,7 +118,7 @@ def repeated_anchor_filter(docs: DataFrame, min_words: int, gram: int, filter_bi
         .select("block", pack("bits").alias("bits"))
     )
     out = np.zeros(-(-filter_bits // _BLOCK) * (_BLOCK // 8), np.uint8)
-    for row in blocks.toLocalIterator():
+    for row in blocks.collect():  # at most filter_bits / _BLOCK rows of _BLOCK / 8 bytes
         out[row.block * (_BLOCK // 8) : (row.block + 1) * (_BLOCK // 8)] = np.frombuffer(row.bits, np.uint8)
     return out
 
