@@ -592,3 +592,6 @@ def sessions(spark, sf):
     """Sessions of a user with gaps below half an hour."""
     w = F.session_window("ts", "30 minutes")
     return table(spark, sf, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+from eventlens import queries_portfolio  # noqa: E402, F401  registers its queries
