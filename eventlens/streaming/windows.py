@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _stamped(events: DataFrame, late: str) -> DataFrame:
+    """Events with a watermark; timestamps without a zone are read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def tumbling(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
     """Counts and value sums per window and type; ``late`` sets a watermark, later rows are dropped."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _stamped(events, late) if late else events
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
@@ -19,7 +24,7 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 def distinct_events(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     """Events once per key within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return _stamped(events, late).dropDuplicatesWithinWatermark(keys)
 
 
 def upsert(target: str, keys: list[str], order: list[str]):

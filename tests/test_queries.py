@@ -1,13 +1,14 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from eventlens.queries import QUERIES, SQL
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("EVENTLENS_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
