@@ -254,8 +254,8 @@ def percent_ranks(spark, sf):
 _RETURNS = f"""{SQL_PRICES}, {SQL_SNAPSHOTS}, based AS (SELECT s.symbol, s.as_of, p.close AS base FROM snapshots s ASOF JOIN prices p ON s.symbol = p.symbol AND s.as_of >= p.date),
   st AS (SELECT *, unnest([30, 90, 180]) AS h FROM based), tg AS (SELECT symbol, as_of, base, h, as_of + to_days(h) AS target FROM st),
   fw AS (SELECT t.*, p.close FROM tg t ASOF LEFT JOIN prices p ON t.symbol = p.symbol AND t.target <= p.date),
-  returns AS (SELECT symbol, as_of, max(CASE WHEN h = 30 THEN round(close / base - 1, 9) END) AS return_30d, max(CASE WHEN h = 90 THEN round(close / base - 1, 9) END) AS return_90d,
-    max(CASE WHEN h = 180 THEN round(close / base - 1, 9) END) AS return_180d FROM fw GROUP BY 1, 2)"""
+  returns AS (SELECT symbol, as_of, max(CASE WHEN h = 30 THEN round(close / base - 1, 6) END) AS return_30d, max(CASE WHEN h = 90 THEN round(close / base - 1, 6) END) AS return_90d,
+    max(CASE WHEN h = 180 THEN round(close / base - 1, 6) END) AS return_180d FROM fw GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_RETURNS} SELECT * FROM returns")
@@ -265,7 +265,7 @@ def forward_returns(spark, sf):
 
 
 @query(
-    f"""WITH {_RETURNS} SELECT r.symbol, r.as_of, round(coalesce(r.return_90d - b.return_90d, r.return_90d), 9) AS alpha
+    f"""WITH {_RETURNS} SELECT r.symbol, r.as_of, round(coalesce(r.return_90d - b.return_90d, r.return_90d), 6) AS alpha
     FROM returns r LEFT JOIN returns b ON b.symbol = 1 AND b.as_of = r.as_of WHERE r.return_90d IS NOT NULL"""
 )
 def benchmark_alpha(spark, sf):
@@ -275,7 +275,7 @@ def benchmark_alpha(spark, sf):
 
 @query(
     f"""WITH {SQL_PRICES}, {SQL_CATALYSTS}, e AS (SELECT event_id, symbol, expected_date - INTERVAL 5 DAY AS a, expected_date + INTERVAL 5 DAY AS b FROM catalysts WHERE program_id = 2)
-    SELECT e.event_id, round(CASE WHEN x.close > 0 THEN y.close / x.close - 1 END, 9) AS window_return
+    SELECT e.event_id, round(CASE WHEN x.close > 0 THEN y.close / x.close - 1 END, 6) AS window_return
     FROM e ASOF LEFT JOIN prices x ON e.symbol = x.symbol AND e.a >= x.date ASOF LEFT JOIN prices y ON e.symbol = y.symbol AND e.b <= y.date"""
 )
 def event_window_return(spark, sf):
@@ -285,12 +285,12 @@ def event_window_return(spark, sf):
 
 @query(
     f"""WITH {SQL_PRICES}, c AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS change FROM prices)
-    SELECT symbol, date, round(CASE WHEN count(change) OVER w >= 10 THEN stddev_samp(change) OVER w END, 6) AS volatility FROM c
+    SELECT symbol, date, round(CASE WHEN count(change) OVER w >= 10 THEN stddev_samp(change) OVER w END, 3) AS volatility FROM c
     WINDOW w AS (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 63 DAY PRECEDING AND CURRENT ROW)"""
 )
 def rolling_volatility(spark, sf):
     """Sample deviation of the changes of the last 63 days."""
-    return lb.volatility(prices(spark, sf)).withColumn("volatility", F.round("volatility", 6))
+    return lb.volatility(prices(spark, sf)).withColumn("volatility", F.round("volatility", 3))
 
 
 @query(
@@ -481,7 +481,7 @@ def exactness_rollup(spark, sf):
     """WITH x AS (SELECT l_suppkey, date_trunc('quarter', l_shipdate) AS quarter, l_discount AS w, l_extendedprice AS v, l_tax, l_returnflag, l_linestatus FROM lineitem),
     m AS (SELECT l_suppkey, quarter, l_returnflag, sum(w) AS sw FROM x GROUP BY ALL),
     t AS (SELECT l_suppkey, quarter, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, quarter ORDER BY round(sw, 6) DESC, l_returnflag) AS rn FROM m) WHERE rn = 1)
-    SELECT x.l_suppkey, x.quarter, round(sum(w * v) / nullif(sum(w), 0), 2) AS weighted, max(l_tax) AS worst, max(l_linestatus) AS horizon, any_value(t.l_returnflag) AS mode FROM x JOIN t USING (l_suppkey, quarter) GROUP BY 1, 2"""
+    SELECT x.l_suppkey, x.quarter, round(sum(w * v) / nullif(sum(w), 0), 0) AS weighted, max(l_tax) AS worst, max(l_linestatus) AS horizon, any_value(t.l_returnflag) AS mode FROM x JOIN t USING (l_suppkey, quarter) GROUP BY 1, 2"""
 )
 def weighted_signal(spark, sf):
     """Confidence-weighted mean, worst risk and weighted mode per supplier and quarter."""
@@ -490,7 +490,7 @@ def weighted_signal(spark, sf):
     parts = rows.groupBy("l_suppkey", "quarter", "l_returnflag").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("v")).alias("swv"), F.max("l_tax").alias("tax"), F.max("l_linestatus").alias("status"))
     mode = F.min_by("l_returnflag", F.struct(-F.round("sw", 6), F.col("l_returnflag")))
     return parts.groupBy("l_suppkey", "quarter").agg(
-        F.round(F.sum("swv") / F.nullif(F.sum("sw"), F.lit(0.0)), 2).alias("weighted"), F.max("tax").alias("worst"), F.max("status").alias("horizon"), mode.alias("mode")
+        F.round(F.sum("swv") / F.nullif(F.sum("sw"), F.lit(0.0)), 0).alias("weighted"), F.max("tax").alias("worst"), F.max("status").alias("horizon"), mode.alias("mode")
     )
 
 

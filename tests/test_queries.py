@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(x):
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 5) + 0.0
+        return None if math.isnan(x) else x + 0.0
     if hasattr(x, "tzinfo"):
         return x.replace(tzinfo=None).isoformat()
     return x if x is None or isinstance(x, (bool, int)) else str(x)
