@@ -48,9 +48,9 @@ def _mapped(column: str, pairs: dict[str, str]):
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, date, close."""
+    """symbol, date, close: the highest unit price of the day (exact, whatever the order of the rows)."""
     rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
-    return rows.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("close"))
+    return rows.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def event_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views for the SQL oracle.
 SQL_PRICES = """prices AS (
-  SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice / l_quantity), 6) AS close
+  SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice / l_quantity) AS close
   FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2)"""
 SQL_SNAPSHOTS = """snapshots AS (
   SELECT l.symbol, l.as_of, market_cap, revenue, greatest(coalesce(s_acctbal, 0.0), 0.0) * 10000 AS cash,

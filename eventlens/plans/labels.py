@@ -17,7 +17,7 @@ def forward_returns(snapshots: DataFrame, prices: DataFrame, horizons: tuple[int
     stacked = based.select("symbol", "as_of", "base", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("h"))
     stacked = stacked.withColumn("target", F.col("as_of") + F.make_dt_interval(F.col("h")))
     found = asof_join(stacked, prices, ["symbol"], "target", "date", ["close"], "forward")
-    value = F.round(F.col("close") / F.col("base") - 1, 6)
+    value = F.col("close") / F.col("base") - 1
     return found.groupBy("symbol", "as_of").agg(*[F.max(F.when(F.col("h") == h, value)).alias(f"return_{h}d") for h in horizons])
 
 
@@ -25,7 +25,7 @@ def benchmark_alpha(returns: DataFrame, benchmark: int, horizon: int) -> DataFra
     """Return less the benchmark symbol's at the same as_of; the raw return where the benchmark has none."""
     name = f"return_{horizon}d"
     other = returns.where(F.col("symbol") == benchmark).select("as_of", F.col(name).alias("benchmark"))
-    return returns.where(f"{name} is not null").join(other, "as_of", "left").select("symbol", "as_of", F.round(F.coalesce(F.col(name) - F.col("benchmark"), F.col(name)), 6).alias("alpha"))
+    return returns.where(f"{name} is not null").join(other, "as_of", "left").select("symbol", "as_of", F.coalesce(F.col(name) - F.col("benchmark"), F.col(name)).alias("alpha"))
 
 
 def event_window_return(events: DataFrame, prices: DataFrame, at: str, days: int = 5) -> DataFrame:
@@ -34,7 +34,7 @@ def event_window_return(events: DataFrame, prices: DataFrame, at: str, days: int
     rows = events.withColumns({"_from": F.col(at) - step, "_to": F.col(at) + step})
     rows = asof_join(rows, prices, ["symbol"], "_from", "date", ["close"], prefix="before_")
     rows = asof_join(rows, prices, ["symbol"], "_to", "date", ["close"], "forward", prefix="after_")
-    return rows.withColumn("window_return", F.round(F.when(F.col("before_close") > 0, F.col("after_close") / F.col("before_close") - 1), 6)).drop("_from", "_to")
+    return rows.withColumn("window_return", F.when(F.col("before_close") > 0, F.col("after_close") / F.col("before_close") - 1)).drop("_from", "_to")
 
 
 def volatility(prices: DataFrame, days: int = 63, least: int = 10) -> DataFrame:
@@ -42,7 +42,7 @@ def volatility(prices: DataFrame, days: int = 63, least: int = 10) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("date")
     rows = prices.withColumn("change", F.col("close") / F.lag("close").over(w) - 1).withColumn("day", F.datediff("date", F.lit("1970-01-01")))
     span = Window.partitionBy("symbol").orderBy("day").rangeBetween(-days, 0)
-    return rows.select("symbol", "date", F.round(F.when(F.count("change").over(span) >= least, F.stddev_samp("change").over(span)), 6).alias("volatility"))
+    return rows.select("symbol", "date", F.when(F.count("change").over(span) >= least, F.stddev_samp("change").over(span)).alias("volatility"))
 
 
 def drawdown(returns: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

@@ -254,8 +254,8 @@ def percent_ranks(spark, sf):
 _RETURNS = f"""{SQL_PRICES}, {SQL_SNAPSHOTS}, based AS (SELECT s.symbol, s.as_of, p.close AS base FROM snapshots s ASOF JOIN prices p ON s.symbol = p.symbol AND s.as_of >= p.date),
   st AS (SELECT *, unnest([30, 90, 180]) AS h FROM based), tg AS (SELECT symbol, as_of, base, h, as_of + to_days(h) AS target FROM st),
   fw AS (SELECT t.*, p.close FROM tg t ASOF LEFT JOIN prices p ON t.symbol = p.symbol AND t.target <= p.date),
-  returns AS (SELECT symbol, as_of, max(CASE WHEN h = 30 THEN round(close / base - 1, 6) END) AS return_30d, max(CASE WHEN h = 90 THEN round(close / base - 1, 6) END) AS return_90d,
-    max(CASE WHEN h = 180 THEN round(close / base - 1, 6) END) AS return_180d FROM fw GROUP BY 1, 2)"""
+  returns AS (SELECT symbol, as_of, max(CASE WHEN h = 30 THEN close / base - 1 END) AS return_30d, max(CASE WHEN h = 90 THEN close / base - 1 END) AS return_90d,
+    max(CASE WHEN h = 180 THEN close / base - 1 END) AS return_180d FROM fw GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_RETURNS} SELECT * FROM returns")
@@ -265,7 +265,7 @@ def forward_returns(spark, sf):
 
 
 @query(
-    f"""WITH {_RETURNS} SELECT r.symbol, r.as_of, round(coalesce(r.return_90d - b.return_90d, r.return_90d), 6) AS alpha
+    f"""WITH {_RETURNS} SELECT r.symbol, r.as_of, coalesce(r.return_90d - b.return_90d, r.return_90d) AS alpha
     FROM returns r LEFT JOIN returns b ON b.symbol = 1 AND b.as_of = r.as_of WHERE r.return_90d IS NOT NULL"""
 )
 def benchmark_alpha(spark, sf):
@@ -275,7 +275,7 @@ def benchmark_alpha(spark, sf):
 
 @query(
     f"""WITH {SQL_PRICES}, {SQL_CATALYSTS}, e AS (SELECT event_id, symbol, expected_date - INTERVAL 5 DAY AS a, expected_date + INTERVAL 5 DAY AS b FROM catalysts WHERE program_id = 2)
-    SELECT e.event_id, round(CASE WHEN x.close > 0 THEN y.close / x.close - 1 END, 6) AS window_return
+    SELECT e.event_id, CASE WHEN x.close > 0 THEN y.close / x.close - 1 END AS window_return
     FROM e ASOF LEFT JOIN prices x ON e.symbol = x.symbol AND e.a >= x.date ASOF LEFT JOIN prices y ON e.symbol = y.symbol AND e.b <= y.date"""
 )
 def event_window_return(spark, sf):
