@@ -93,8 +93,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CA
         end = np.array([end_id], "<u4").tobytes()
         texts = text_column(column)
         bounds, start, length, crc, total, ids = [0], [], [], [], [], []
-        for lo, hi in byte_slices(texts, 1 << 20):
-            for encoded in own.encode(texts.slice(lo, hi - lo).to_pylist()):
+        for lo, hi in byte_slices(texts):
+            for encoded in own.encode_array(texts.slice(lo, hi - lo)):
                 encoded += end
                 n = len(encoded) // 4
                 for at in range(0, n, capacity):

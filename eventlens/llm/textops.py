@@ -21,6 +21,9 @@ _WORD_BASE = _U(0xD1B54A32D192ED03)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: Bytes of text that are worked on at once; bounds the arrays of a task.
+SLICE = 500_000
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -109,7 +112,7 @@ def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def byte_slices(texts: pa.Array, limit: int) -> list[tuple[int, int]]:
+def byte_slices(texts: pa.Array, limit: int = SLICE) -> list[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes each (a longer text stands alone), to bound working memory."""
     n = len(texts)
     if not n:

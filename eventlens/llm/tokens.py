@@ -16,6 +16,11 @@ import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+
+from eventlens.llm.units import UnitTable, buffers
+
 #: A space that touches other white space, or stands at an end of the text.
 _UNSAFE = re.compile(r" \s|\s |\A\s|\s\Z")
 #: White space other than the space and the newline; rare, so a quick search for it spares most texts _UNSAFE.
@@ -25,7 +30,7 @@ _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ.,\n#*$%&|<>?!;:()-]+")
 _RUNS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|\x00| ?[^A-Za-zÀ-ÖØ-öø-ÿ\x00]+")
 #: Stands between pieces while they are cut together; ids are below 2**16, so no ids hold these bytes.
 _BREAK, _BREAK_ID = "\x00", b"\xff\xff\xff\xff"
-_CACHED = 250_000
+_CACHED = 100_000
 
 
 def _cuttable(text: str) -> bool:
@@ -76,6 +81,8 @@ class TextEncoder:
         self.parts = PieceCache(self._library)
         self.first = PieceCache(lambda pieces: self._compose(pieces, ""))
         self.rest = PieceCache(lambda pieces: self._compose(pieces, " ")) if spaced else self.first
+        # byte-level models take digits in runs, the word model one by one
+        self.units = UnitTable(self._library, spaced, folded, digit_runs=spaced)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -100,6 +107,25 @@ class TextEncoder:
                 out[i] = ids
         return out
 
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a large_string array: plain texts through the unit table, others through the pieces."""
+        data, start = buffers(texts)
+        plain = self.units.plain(data, start)
+        out: list[bytes | None] = [None] * len(texts)
+        rest = np.flatnonzero(~plain).tolist()
+        if rest:
+            for i, ids in zip(rest, self.encode(texts.take(pa.array(rest)).to_pylist()), strict=True):
+                out[i] = ids
+        some = np.flatnonzero(plain)
+        if len(some):
+            length = np.diff(start)
+            mask = np.repeat(plain, length)
+            flat, bounds = self.units.ids(data[mask], np.concatenate(([0], np.cumsum(length[some]))))
+            raw = flat.astype("<u4").tobytes()
+            for i, a, b in zip(some.tolist(), (4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist(), strict=True):
+                out[i] = raw[a:b]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as bytes."""
         out: list[bytes | None] = [None] * len(texts)

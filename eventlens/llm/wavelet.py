@@ -47,9 +47,9 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         n, rows = len(ids), []
-        x = ids.astype(np.uint32)
+        x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits):
-            bit = ((x >> np.uint32(bits - 1 - level)) & np.uint32(1)).astype(bool)
+            bit = (x & x.dtype.type(1 << (bits - 1 - level))) != 0
             packed = np.packbits(bit, bitorder="little")
             plane = np.zeros(8 * (n // 64 + 1), np.uint8)
             plane[: len(packed)] = packed
@@ -89,12 +89,12 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All tokens in order."""
-        at = np.arange(self.n)
+        at = here = np.arange(self.n, dtype=np.int32)
         out = np.zeros(self.n, np.uint32)
         for level in range(self.bits):
             plane = np.unpackbits(self.words[level].view(np.uint8), bitorder="little")[: self.n]
             ones = np.cumsum(plane, dtype=np.int32)
-            to = np.where(plane, self.zeros[level] + ones - 1, np.arange(self.n, dtype=np.int32) - ones)
+            to = np.where(plane, np.int32(self.zeros[level] - 1) + ones, here - ones)
             out = (out << np.uint32(1)) | plane[at]
             at = to[at]
         return out
@@ -190,8 +190,8 @@ def write_token_shards(
             keys = batch.column("doc_id").to_pylist()
             if len(keys):
                 part = batch.column("part")[0].as_py()
-            for lo, hi in byte_slices(texts, 1 << 20):
-                for key, encoded in zip(keys[lo:hi], own.encode(texts.slice(lo, hi - lo).to_pylist()), strict=True):
+            for lo, hi in byte_slices(texts):
+                for key, encoded in zip(keys[lo:hi], own.encode_array(texts.slice(lo, hi - lo)), strict=True):
                     ids.append(encoded + end)
                     doc_ids.append(key)
                     held += len(encoded) // 4 + 1

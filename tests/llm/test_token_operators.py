@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from eventlens.llm.packing import CAPACITY, assign_sequences, pack_documents, pa
 from eventlens.llm.pieces import codec, piece_digests, piece_ids, piece_texts
 from eventlens.llm.queries import QUERIES
 from eventlens.llm.tokens import PieceCache, TextEncoder, tokenizer_file
+from eventlens.llm.units import buffers
 from eventlens.llm.wavelet import WaveletMatrix, stored_digests, token_lookup, write_token_shards
 
 from .data import AWKWARD, SF, documents
@@ -41,6 +43,21 @@ def test_cached_encoding_equals_library(path, spaced):
         assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == library_ids(path, texts)
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORD, False)])
+def test_unit_table_equals_library(path, spaced):
+    own = TextEncoder(path, spaced, folded=not spaced)
+    pick = random.Random(8)
+    plain = ["".join(pick.choice("abcABCéÉßÿÑ  .,\n19#*-(x)the ") for _ in range(pick.randint(0, 80))) for _ in range(600)]
+    words = [" ".join(pick.choice(["Foo", "élan", "12", "a1b2", "x,", "(y)", "ÀB.", "z\nw", "--"]) for _ in range(9)) for _ in range(200)]
+    texts = pa.array([t or "" for t in AWKWARD] + plain + words + random_texts(200), pa.large_string())
+    expect = library_ids(path, texts.to_pylist())
+    for part in (texts, texts.slice(3, 500), texts.slice(300, 1)):
+        first = 0 if part is texts else 3 if len(part) == 500 else 300
+        assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_array(part)] == expect[first : first + len(part)]
+    data, start = buffers(texts)
+    assert own.units.plain(data, start).sum() > 150
+
+
 def test_cache_drops_old_pieces_but_stays_right():
     cache = PieceCache(lambda ws: [w.encode() for w in ws], size=3)
     for words in (["a", "b", "c", "d"], ["a", "e"], ["f", "g", "h"], ["a"]):
