@@ -11,10 +11,12 @@ from eventlens.llm.neardup import near_duplicate_classes
 from eventlens.llm.packing import pack_documents
 from eventlens.llm.pieces import piece_digests
 from eventlens.llm.quality import quality_report
+from eventlens.llm.repeats import ORACLE as REPEATS_SQL
 from eventlens.llm.repeats import repeat_digests
 from eventlens.llm.tokens import tokenizer_file
 from eventlens.llm.topk import ORACLE, exact_top_k
 from eventlens.llm.urls import filter_urls
+from eventlens.llm.urls import oracle as urls_sql
 from eventlens.llm.wavelet import stored_digests
 
 
@@ -68,4 +70,4 @@ def _shipped(query):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op5_character_ratio, op6_paragraph_classifier, op7_weighted_minhash, op8_suffix_automata, op9_byte_network, op10_impact_ordered)}
-SQL: dict[str, str] = {"op10_impact_ordered": ORACLE}
+SQL: dict[str, str] = {"op5_character_ratio": urls_sql(), "op8_suffix_automata": REPEATS_SQL, "op10_impact_ordered": ORACLE}

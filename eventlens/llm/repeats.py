@@ -36,7 +36,6 @@ GRAM = 8
 FILTER_BITS = 1 << 27
 SHARD_SEGMENTS = 1024
 _BLOCK = 1 << 15
-_SLICE = 1 << 20
 
 
 def _anchors(texts: pa.Array, min_words: int, gram: int):
@@ -86,7 +85,7 @@ def _anchor_counts(min_words: int, gram: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch.column("text"))
-            for lo, hi in byte_slices(texts, 4 * _SLICE):
+            for lo, hi in byte_slices(texts):
                 anchors, n = np.unique(_anchors(texts.slice(lo, hi - lo), min_words, gram)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([_signed(anchors), pa.array(n, pa.int64())], ["anchor", "n"])
 
@@ -135,7 +134,7 @@ def _segments(docs: DataFrame, bits, filter_bits: int, min_words: int, gram: int
         for batch in batches:
             texts = text_column(batch.column("text"))
             rows = batch.column("row")
-            for lo, hi in byte_slices(texts, _SLICE):
+            for lo, hi in byte_slices(texts):
                 words, doc, first, end, anchor = _anchors(texts.slice(lo, hi - lo), min_words, gram)
                 at = (anchor.view(np.int64) % filter_bits).astype(np.int64)
                 hit = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -335,3 +334,16 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, **limits) -> Dat
     rows = _with_ranges(docs, min_words, **limits).withColumn("kept", kept("doc.text", "ranges"))
     new = {"text": F.col("kept"), "n_chars": F.when(F.col("ranges").isNull(), F.col("doc.n_chars")).otherwise(F.length("kept").cast("bigint"))} if "n_chars" in docs.columns else {"text": F.col("kept")}
     return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+#: The same digests as SQL over ``documents``, for tables with unique ids.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + {MIN_WORDS - 1} <= len(w) THEN md5(array_to_string(w[i:i + {MIN_WORDS - 1}], ' ')) END AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+n AS (SELECT k FROM p WHERE k IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+m AS (SELECT p.*, n.k IS NOT NULL AS hit FROM p LEFT JOIN n ON p.k = n.k),
+c AS (SELECT doc_id, i, word, coalesce(max(CASE WHEN hit THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) > i - {MIN_WORDS}, false) AS gone FROM m),
+s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)
+"""

@@ -135,4 +135,48 @@ def filter_urls(pages: DataFrame, rules=RULES, options: UrlModel = UrlModel()) -
     edge = _threshold(scores.where("held and a + r > 0"), options) if classes.a and classes.r else float("-inf")
     judged = parsed.join(scores.where("free > 0").select("folded", "score"), "folded", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= edge, "allow").otherwise("block"))
-    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("fit").isNull(), F.col("score")).alias("score"))
+    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.round(F.when(F.col("fit").isNull(), F.col("score")), 6).alias("score"))
+
+
+def oracle(rules=RULES, options: UrlModel = UrlModel()) -> str:
+    """The same filter as SQL over ``pages``."""
+    low = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
+    fits = {"rule": "", "verdict": ""}
+    for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
+        own, slash, start = rule.partition("/")
+        test = f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '{slash}{start}')"
+        fits["rule"] += f" WHEN {test} THEN '{rule}'"
+        fits["verdict"] += f" WHEN {test} THEN '{verdict}'"
+    k = options.order
+    levels, joins = "", ""
+    for i in range(k + 1):
+        levels += f"""
+s{i} AS (SELECT right(g, {i + 1}) AS s, left(right(g, {i + 1}), {i}) AS c, sum(a) AS a, sum(r) AS r FROM grams GROUP BY 1, 2),
+c{i} AS (SELECT c, sum(a) AS na, count(*) FILTER (WHERE a > 0) AS ta, sum(r) AS nr, count(*) FILTER (WHERE r > 0) AS tr FROM s{i} GROUP BY 1),"""
+        joins += f" JOIN s{i} ON s{i}.s = right(g, {i + 1}) JOIN c{i} ON c{i}.c = s{i}.c"
+    chance = {}
+    for x in "ar":
+        p = f"{1.0 / _ALPHABET!r}::DOUBLE"
+        for i in range(k + 1):
+            p = f"(CASE WHEN c{i}.n{x} > 0 THEN (s{i}.{x}::DOUBLE + c{i}.t{x} * {p}) / (c{i}.n{x} + c{i}.t{x}) ELSE {p} END)"
+        chance[x] = p
+    step = 2 * options.span / options.bins
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, {low("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT *, CASE{fits["rule"]} END AS rule, CASE{fits["verdict"]} END AS verdict,
+  '{"^" * k}' || regexp_replace({low("host || path")}, '[^a-z0-9/._-]', '*', 'g') || '$' AS folded FROM h),
+urls AS (SELECT folded, count(*) FILTER (WHERE verdict = 'allow') AS a, count(*) FILTER (WHERE verdict = 'block') AS r, count(*) FILTER (WHERE verdict IS NULL) AS free,
+  left(md5(folded), 1) IN {options.held} AS held FROM f GROUP BY 1),
+cut AS (SELECT *, unnest(list_transform(range(1, len(folded) - {k} + 1), lambda i: substr(folded, i, {k + 1}))) AS g FROM urls),
+grams AS (SELECT g, sum(CASE WHEN held THEN 0 ELSE a END) AS a, sum(CASE WHEN held THEN 0 ELSE r END) AS r FROM cut GROUP BY 1),{levels}
+ratios AS (SELECT g, ln({chance["a"]}) - ln({chance["r"]}) AS ratio FROM grams{joins}),
+scores AS (SELECT folded, round(avg(ratio), 9) AS score, any_value(a) AS a, any_value(r) AS r, any_value(held) AS held FROM cut JOIN ratios USING (g) GROUP BY 1),
+bins AS (SELECT floor((least(greatest(score, -{options.span}), {options.span}) + {options.span}) / {step}) AS bin, sum(a) AS a, sum(r) AS r FROM scores WHERE held AND a + r > 0 GROUP BY 1),
+sides AS (SELECT bin * {step} - {options.span} AS edge, round((1 - coalesce(sum(a) OVER before, 0) / sum(a) OVER ()) + coalesce(sum(r) OVER before, 0) / sum(r) OVER (), 9) AS correct,
+  sum(a) OVER () AS ta, sum(r) OVER () AS tr FROM bins WINDOW before AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+edge AS (SELECT CASE WHEN (SELECT sum(a) FROM urls) > 0 AND (SELECT sum(r) FROM urls) > 0
+  THEN coalesce((SELECT edge FROM sides WHERE ta > 0 AND tr > 0 ORDER BY correct DESC, abs(edge), edge LIMIT 1), 0.0) ELSE '-infinity'::DOUBLE END AS edge)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= edge THEN 'allow' ELSE 'block' END) AS verdict,
+  round(CASE WHEN verdict IS NULL THEN score END, 6) AS score
+FROM f JOIN scores USING (folded), edge"""
