@@ -594,4 +594,4 @@ def sessions(spark, sf):
     return table(spark, sf, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-from eventlens import queries_portfolio  # noqa: E402, F401  registers its queries
+from eventlens import queries_models, queries_portfolio  # noqa: E402, F401  they register their queries

@@ -11,6 +11,7 @@ from eventlens.functions.outcomes import outcome
 from eventlens.functions.taxonomy import event_type, is_exact_timing, timing_priority, type_bucket
 from eventlens.operators.asof import asof_join
 from eventlens.operators.greedy import greedy_intervals, greedy_spacing
+from eventlens.plans.models import feature_columns, fit_ridge
 from eventlens.operators.rankstats import spearman, window_summary
 from eventlens.sources.tables import first_source, latest_document, new_rows, scan
 from eventlens.streaming.windows import distinct_events, event_stream, tumbling, upsert
@@ -146,3 +147,23 @@ def test_streams_equal_batch(spark, tmp_path):
     got = {r.user_id: r.event_id for r in spark.read.parquet(str(tmp_path / "out" / f"v{last}")).collect()}
     expect = {r.user_id: r.event_id for r in events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).collect()}
     assert got == expect
+
+
+def test_ridge_equals_normal_equations(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(3, 2, (200, 3))
+    x[:, 2] = 1.0
+    y = x[:, 0] * 2 - x[:, 1] + rng.normal(0, 0.1, 200)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, target_y double")
+    assert feature_columns([*df.columns, "id", "meta_k"], ("id",)) == ["a", "b", "c"]
+    model = fit_ridge(df, ["a", "b", "c"], "target_y", 1.5)
+    scale = x.std(axis=0)
+    scale[scale < 1e-12] = 1.0
+    z = (x - x.mean(axis=0)) / scale
+    weights = np.linalg.solve(z.T @ z + 1.5 * np.eye(3), z.T @ (y - y.mean()))
+    assert np.allclose(model.weights, weights) and abs(model.bias - y.mean()) < 1e-9
+    got = [r.p for r in df.select(model.predict().alias("p")).collect()]
+    assert np.allclose(got, z @ weights + y.mean())
+    assert fit_ridge(df.limit(0), ["a"], "target_y").bias == 0.0
