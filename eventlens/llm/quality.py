@@ -128,7 +128,7 @@ def quality_struct(text: Column, rules: QualityRules = QualityRules()) -> Column
     @F.arrow_udf(_TYPE)
     def measure(column: pa.Array) -> pa.Array:
         texts = text_column(column)
-        parts = [_measure(texts.slice(lo, hi - lo), rules) for lo, hi in byte_slices(texts, 2 << 20)]
+        parts = [_measure(texts.slice(lo, hi - lo), rules) for lo, hi in byte_slices(texts)]
         return pa.concat_arrays(parts) if parts else _measure(texts, rules)
 
     return measure(text)
