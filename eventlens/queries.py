@@ -123,12 +123,11 @@ def asof_prices(spark, sf):
 
 @query(
     f"""WITH {SQL_SNAPSHOTS}, {SQL_EVENTS}
-    SELECT e.event_id, s.as_of AS snapshot_at, coalesce(s.market_cap, 0.0) AS market_cap FROM events_all e ASOF LEFT JOIN snapshots s ON e.symbol = s.symbol AND e.as_of > s.as_of
-    WHERE e.program_id = 1"""
+    SELECT e.event_id, s.as_of AS snapshot_at, coalesce(s.market_cap, 0.0) AS market_cap FROM events_all e ASOF LEFT JOIN snapshots s ON e.symbol = s.symbol AND e.as_of > s.as_of"""
 )
 def context_asof(spark, sf):
     """Latest snapshot strictly before an event becomes known, with defaults."""
-    known = catalysts_all(spark, sf).where("program_id = 1")
+    known = catalysts_all(spark, sf)
     rows = asof_join(known, snapshots(spark, sf).withColumnRenamed("as_of", "snapshot_at"), ["symbol"], "as_of", "snapshot_at", ["market_cap"], strict=True)
     return rows.select("event_id", "snapshot_at", F.coalesce("market_cap", F.lit(0.0)).alias("market_cap"))
 
@@ -274,13 +273,13 @@ def benchmark_alpha(spark, sf):
 
 
 @query(
-    f"""WITH {SQL_PRICES}, {SQL_CATALYSTS}, e AS (SELECT event_id, symbol, expected_date - INTERVAL 5 DAY AS a, expected_date + INTERVAL 5 DAY AS b FROM catalysts WHERE program_id = 2)
+    f"""WITH {SQL_PRICES}, {SQL_CATALYSTS}, e AS (SELECT event_id, symbol, expected_date - INTERVAL 5 DAY AS a, expected_date + INTERVAL 5 DAY AS b FROM catalysts)
     SELECT e.event_id, CASE WHEN x.close > 0 THEN y.close / x.close - 1 END AS window_return
     FROM e ASOF LEFT JOIN prices x ON e.symbol = x.symbol AND e.a >= x.date ASOF LEFT JOIN prices y ON e.symbol = y.symbol AND e.b <= y.date"""
 )
 def event_window_return(spark, sf):
     """Move from five days before to five days after an expected date."""
-    return lb.event_window_return(catalysts(spark, sf).where("program_id = 2"), prices(spark, sf), "expected_date").select("event_id", "window_return")
+    return lb.event_window_return(catalysts(spark, sf), prices(spark, sf), "expected_date").select("event_id", "window_return")
 
 
 @query(

@@ -115,14 +115,14 @@ def latest_cluster(spark, sf):
 
 
 @query(
-    f"""WITH {SQL_SNAPSHOTS}, t AS (SELECT DISTINCT as_of + INTERVAL 40 DAY AS test FROM snapshots WHERE year(as_of) = 1998),
+    f"""WITH {SQL_SNAPSHOTS}, t AS (SELECT DISTINCT as_of + INTERVAL 40 DAY AS test FROM snapshots),
     r AS (SELECT test, symbol, s.as_of, market_cap, row_number() OVER (PARTITION BY test, symbol ORDER BY s.as_of DESC) AS rn FROM t JOIN snapshots s ON s.as_of <= test AND s.as_of >= test - INTERVAL 120 DAY)
     SELECT test, symbol, as_of, market_cap FROM r WHERE rn = 1"""
 )
 def carry_forward(spark, sf):
     """Per test date and symbol the latest snapshot within 120 days."""
     base = snapshots(spark, sf)
-    tests = base.where(F.year("as_of") == 1998).select((F.col("as_of") + F.expr("INTERVAL 40 DAYS")).alias("test")).distinct()
+    tests = base.select((F.col("as_of") + F.expr("INTERVAL 40 DAYS")).alias("test")).distinct()
     near = base.join(F.broadcast(tests), (F.col("as_of") <= F.col("test")) & (F.col("as_of") >= F.col("test") - F.expr("INTERVAL 120 DAYS")))
     return latest(near, ["test", "symbol"], [F.desc("as_of")]).select("test", "symbol", "as_of", "market_cap")
 
