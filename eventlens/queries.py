@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 from eventlens import oracle as q
 from eventlens.adapters import SQL_CATALYSTS, SQL_EVENTS, SQL_PRICES, SQL_SNAPSHOTS, catalysts, event_tape, prices, snapshots, table
-from eventlens.functions.numeric import bucket, company_state, financing_risk, floor_support, quarter_step, regime, sigmoid
+from eventlens.functions.numeric import bucket, company_state, financing_risk, floor_support, quarter_step, sigmoid
 from eventlens.functions.outcomes import outcome
 from eventlens.functions.scores import SOURCE_PRIORITY
-from eventlens.functions.taxonomy import event_type, is_exact_timing, timing_priority, type_bucket, type_priority
+from eventlens.functions.taxonomy import event_type, is_exact_timing, type_bucket, type_priority
 from eventlens.operators.asof import asof_join, latest
 from eventlens.operators.greedy import greedy_intervals, greedy_spacing
 from eventlens.operators.rankstats import aggregate_windows, average_rank, spearman, window_summary
@@ -208,9 +208,6 @@ def same_day_collapse(spark, sf):
     return latest(rows, ["user_id", "day"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "day", "event_id", "event_type")
 
 
-_SOURCE = q.lookup("source", SOURCE_PRIORITY, 0)
-
-
 @query(
     f"""WITH {SQL_CATALYSTS}, c AS (SELECT *, {q.exact('status', 'title')} AS exact, {q.lookup("coalesce(source, '')", SOURCE_PRIORITY, 0)} AS sp FROM catalysts)
     SELECT symbol, as_of, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY symbol, as_of ORDER BY exact DESC, sp DESC, expected_date, importance DESC, event_id) AS rn FROM c) WHERE rn = 1"""
