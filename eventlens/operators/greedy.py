@@ -10,37 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _folded(df: DataFrame, by: list[str], order: list[Column], start: Column, end: Column, step) -> DataFrame:
-    """Per key the sorted rows with ``kept`` and the number of the last kept row before each."""
-    ranked = df.select(*by, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], start.alias("start"), end.alias("end"), F.struct(*[F.col(c) for c in df.columns]).alias("row")).alias("item"))
-    grouped = ranked.groupBy(*by).agg(F.sort_array(F.collect_list("item")).alias("items"))
-    empty = F.array().cast("array<struct<kept:boolean,blocker:int>>")
-    first = F.struct(F.lit(None).cast("timestamp").alias("end"), F.lit(-1).alias("at"), F.lit(0).alias("n"), empty.alias("flags"))
-
-    def next_state(state: Column, item: Column) -> Column:
-        keep = F.coalesce(step(state["end"], item), F.lit(False))
-        flag = F.struct(keep.alias("kept"), F.when(keep, F.lit(-1)).otherwise(state["at"]).alias("blocker"))
-        return F.struct(
-            F.when(keep, item["end"]).otherwise(state["end"]).alias("end"),
-            F.when(keep, state["n"]).otherwise(state["at"]).alias("at"),
-            (state["n"] + 1).alias("n"),
-            F.concat(state["flags"], F.array(flag)).alias("flags"),
-        )
-
-    return grouped.withColumn("flags", F.aggregate("items", first, next_state, lambda s: s["flags"]))
-
-
 def greedy_intervals(df: DataFrame, by: list[str], order: list[Column], start: Column, end: Column, label: str) -> DataFrame:
     """``df`` with ``active`` and ``blocked_by``: in order, a row stays if it starts after the last kept end.
 
-    Rows without start or end are never active and block nothing. ``order`` must sort ascending and be total.
+    Rows without start or end are never active and block nothing. ``order`` must sort ascending and be total. The
+    fold runs over (start, end, label) alone; the wide rows only travel along to be exploded once.
     """
-    step = lambda last, x: x["start"].isNotNull() & x["end"].isNotNull() & (last.isNull() | (x["start"] > last))
-    found = _folded(df, by, order, start.cast("timestamp"), end.cast("timestamp"), step)
-    rows = found.select("items", F.posexplode(F.arrays_zip("items", "flags")).alias("n", "z"))
-    valid = F.col("z.items.start").isNotNull() & F.col("z.items.end").isNotNull()
-    blocker = F.when(valid & ~F.col("z.flags.kept"), F.element_at("items", F.col("z.flags.blocker") + 1)["row"][label])
-    return rows.select("z.items.row.*", F.col("z.flags.kept").alias("active"), blocker.alias("blocked_by"))
+    keys = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    item = F.struct(keys.alias("k"), start.cast("timestamp").alias("start"), end.cast("timestamp").alias("end"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    grouped = df.select(*by, item.alias("item")).groupBy(*by).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    kind = df.schema[label].dataType
+    spans = F.transform("items", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["row"][label].alias("label")))
+    flag = lambda kept, blocker: F.struct(kept.alias("kept"), blocker.alias("blocker"))
+    empty = F.slice(F.array(flag(F.lit(False), F.lit(None).cast(kind))), 1, 0)
+    first = F.struct(F.lit(None).cast("timestamp").alias("end"), F.lit(None).cast(kind).alias("label"), empty.alias("flags"))
+
+    def step(state: Column, x: Column) -> Column:
+        valid = x["start"].isNotNull() & x["end"].isNotNull()
+        keep = valid & (state["end"].isNull() | F.coalesce(x["start"] > state["end"], F.lit(False)))
+        return F.struct(
+            F.when(keep, x["end"]).otherwise(state["end"]).alias("end"),
+            F.when(keep, x["label"]).otherwise(state["label"]).alias("label"),
+            F.concat(state["flags"], F.array(flag(keep, F.when(valid & ~keep, state["label"])))).alias("flags"),
+        )
+
+    flags = F.aggregate(spans, first, step, lambda s: s["flags"])
+    rows = grouped.select(F.arrays_zip(F.transform("items", lambda x: x["row"]).alias("row"), flags.alias("flag")).alias("z")).select(F.explode("z").alias("z"))
+    return rows.select("z.row.*", F.col("z.flag.kept").alias("active"), F.col("z.flag.blocker").alias("blocked_by"))
 
 
 def greedy_spacing(df: DataFrame, by: list[str], date: str, days: int, keep_last: bool = True) -> DataFrame:
