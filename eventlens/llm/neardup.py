@@ -8,10 +8,11 @@
 2. Consistent weighted sampling draws ``bands * rows`` samples; two sets agree on a sample with the
    probability of their weighted Jaccard similarity. The random numbers of a shingle come from a table row
    picked by its hash; shingles of one document that share a row are told apart by hash.
-3. Equal texts collapse to one node. Nodes that share a band are candidates. A node is first compared with the
-   lowest document and the most copied one of its buckets; in later rounds each bucket compares one random node
-   of every class found so far with one of another class. So a bucket costs as many pairs as it has nodes or
-   classes, never all pairs of its nodes.
+3. Equal texts collapse to one node. Nodes that share a band are candidates. A node is first compared with two
+   leaders of its buckets: the most central one (the one that shares buckets with most others) and the most
+   copied one. Then, in every bucket that still holds several classes, all pairs of nodes of different classes are
+   compared: the nodes outside the bucket's largest class with each other and with that class, in cells of bounded
+   size. So a group that its leaders link costs as many pairs as it has nodes, and no candidate pair is left out.
 4. Candidates are verified on their shingles; connected components of the verified links are the classes.
 """
 
@@ -42,7 +43,7 @@ class NearDuplicates:
     bands: int = 16
     rows: int = 4
     idf_strength: float = 0.1
-    rounds: int = 4
+    part: int = 256
     seed: int = 7
 
 
@@ -201,16 +202,16 @@ def _shingle_sets(docs: DataFrame, options: NearDuplicates) -> DataFrame:
     return docs.select("text").mapInArrow(find, "node bigint, shingles binary")
 
 
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u4", n, 4), np.frombuffer(raw, "<u4", n, 4 + 4 * n) if len(raw) > 4 + 4 * n else np.ones(n, np.uint32)
+
+
 def weighted_similarity(a: bytes, b: bytes, weights: np.ndarray) -> tuple[float, float]:
     """Weighted and plain Jaccard similarity of two shingle sets."""
 
-    def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = int(np.frombuffer(raw, "<u4", 1)[0])
-        hashes = np.frombuffer(raw, "<u4", n, 4)
-        times = np.frombuffer(raw, "<u4", n, 4 + 4 * n) if len(raw) > 4 + 4 * n else np.ones(n, np.uint32)
-        return hashes, times * weights[hashes >> np.uint32(16)]
-
-    (ha, wa), (hb, wb) = unpack(a), unpack(b)
+    (ha, ta), (hb, tb) = _unpack(a), _unpack(b)
+    wa, wb = ta * weights[ha >> np.uint32(16)], tb * weights[hb >> np.uint32(16)]
     place = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
     both = hb[place] == ha
     common = float(np.minimum(wa[both], wb[place[both]]).sum())
@@ -258,21 +259,110 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
-    """Each node with at most two leaders of its buckets: the one of the lowest document, and the most copied one."""
-    lowest, copied = F.struct("rep", "node"), F.struct(-F.col("copies"), F.col("rep"), F.col("node"))
-    leaders = members.groupBy("slot", "band").agg(F.min(lowest).alias("low"), F.min(copied).alias("many"))
-    per_node = members.join(leaders, ["slot", "band"]).groupBy("node").agg(F.min("low").alias("low"), F.min("many").alias("many"))
-    return per_node.select("node", F.explode(F.array("low.node", "many.node")).alias("other")).where("node <> other")
+    """Each node with at most two leaders of its buckets: the most central one, and the most copied one."""
+    weight = members.groupBy("node").agg(F.sum(F.col("n") * F.col("times")).alias("weight"))
+    members = members.join(weight, "node")
+    central, copied = F.struct(-F.col("weight"), F.col("rep"), F.col("node")), F.struct(-F.col("copies"), F.col("rep"), F.col("node"))
+    leaders = members.groupBy("slot", "band").agg(F.min(central).alias("central"), F.min(copied).alias("many"))
+    per_node = members.join(leaders, ["slot", "band"]).groupBy("node").agg(F.min("central").alias("central"), F.min("many").alias("many"))
+    return per_node.select("node", F.explode(F.array("central.node", "many.node")).alias("other")).where("node <> other")
+
+
+def _cells(members: DataFrame, classes: DataFrame, part: int) -> DataFrame:
+    """Cells that compare all pairs of a bucket that lie in different classes: cell, is_row, is_column, node, class.
 
+    A bucket's nodes outside its largest class are dealt into parts by hash, and so is the largest class. Every part
+    outside it meets every such part and every part of the largest class, each meeting in a cell of its own.
+    """
+    own = members.select("slot", "band", "node").join(classes.select("node", "component"), "node", "left")
+    own = own.select("slot", "band", "node", F.coalesce("component", "node").alias("class"))
+    sizes = own.groupBy("slot", "band", "class").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("slot", "band").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("several")).where("several > 1")
+    count = lambda n: F.when(F.col("n") <= part, F.lit(1)).otherwise(F.ceil(n / part)).cast("int")
+    buckets = buckets.select("slot", "band", F.col("top.class").alias("main"), F.col("n") <= part, count(F.col("n") - F.col("top.n")).alias("p"), count(F.col("top.n")).alias("q"))
+    buckets = buckets.toDF("slot", "band", "main", "single", "p", "q")
+    rows = own.join(buckets, ["slot", "band"]).withColumn("in_main", F.col("class") == F.col("main"))
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("q")).otherwise(F.col("p"))).cast("int")
+    rows = rows.withColumn("at", at)
+    cell = lambda i, j, row, column: F.struct(i.alias("i"), j.alias("j"), row.alias("is_row"), column.alias("is_column"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    met = F.when(F.col("single"), F.array(cell(zero, zero, ~F.col("in_main"), yes)))
+    met = met.when(F.col("in_main"), F.transform(F.sequence(zero, F.col("p") - 1), lambda i: cell(i, F.col("p") + F.col("at"), no, yes)))
+    others = F.transform(
+        F.sequence(zero, F.col("p") + F.col("q") - 1),
+        lambda j: cell(F.least(j, F.col("at")), F.greatest(j, F.col("at")), j >= F.col("at"), j <= F.col("at")),
+    )
+    rows = rows.select("slot", "band", "node", "class", F.explode(met.otherwise(others)).alias("c"))
+    return rows.select(F.xxhash64("slot", "band", "c.i", "c.j").alias("cell"), "c.is_row", "c.is_column", "node", "class")
+
+
+def cell_links(cell: list[tuple[bool, bool, int, int, bytes]], table: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """Links between classes over all (row, column) pairs of a cell of (is_row, is_column, node, class, shingles).
+
+    Links that join what other links of the cell join already are left out.
+    """
+    parent: dict[int, int] = {x[3]: x[3] for x in cell}
+    left = len(parent)
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    rows, columns = [x for x in cell if x[0]], [x for x in cell if x[1]]
+    small = len(rows) * len(columns) <= 64
+    if not small:
+        sets = [_unpack(x[4]) for x in columns]
+        doc = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+        hashes, times = np.concatenate([h for h, _ in sets]), np.concatenate([t for _, t in sets])
+        order = np.argsort(hashes, kind="stable")
+        doc, hashes, times = doc[order], hashes[order], times[order]
+        size = np.bincount(doc, minlength=len(sets))
+        whole = np.bincount(doc, times * table[hashes >> np.uint32(16)], len(sets))
+        known, first = np.unique(hashes, return_index=True)
+        ends = np.append(first[1:], len(hashes))
+    for _, _, node, group, raw in rows:
+        if left < 2:
+            return
+        if small:
+            near = (x for x in columns if find(x[3]) != find(group) and max(weighted_similarity(raw, x[4], table)) >= threshold)
+        else:
+            own, n = _unpack(raw)
+            weight = table[own >> np.uint32(16)]
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[place] == own
+            start, long = first[place[hit]], (ends - first)[place[hit]]
+            at = np.repeat(start - np.cumsum(long) + long, long) + np.arange(long.sum())
+            both = np.bincount(doc[at], minlength=len(columns))
+            common = np.bincount(doc[at], np.minimum(np.repeat(n[hit], long), times[at]) * np.repeat(weight[hit], long), len(columns))
+            alike = np.maximum(both / (len(own) + size - both), common / (float((n * weight).sum()) + whole - common))
+            near = (columns[i] for i in np.flatnonzero(alike >= threshold))
+        for _, _, other, other_group, _ in near:
+            a, b = find(group), find(other_group)
+            if a != b:
+                parent[a] = b
+                left -= 1
+                yield min(node, other), max(node, other)
+
+
+def _links_of_cells(cells: DataFrame, weights, options: NearDuplicates) -> DataFrame:
+    """Links (a, b) of all cells (cell, is_row, is_column, node, class, shingles); a task holds one cell at a time."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, key, held, found = weights.value, None, [], []
+        for batch in batches:
+            names = ("cell", "is_row", "is_column", "node", "class", "shingles")
+            for cell, *rest in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                if cell != key:
+                    found.extend(cell_links(held, table, options.threshold))
+                    key, held = cell, []
+                held.append(rest)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            found = []
+        found.extend(cell_links(held, table, options.threshold))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-def _later_pairs(members: DataFrame, classes: DataFrame, number: int) -> DataFrame:
-    """Per bucket with several classes, a random node of each class with a random one of another class."""
-    of = classes.select("node", F.col("component").alias("known"))
-    own = members.join(of, "node", "left").withColumn("component", F.coalesce("known", "node"))
-    draw = F.xxhash64("node", "band", F.lit(number))
-    one = own.groupBy("slot", "band", "component").agg(F.min(F.struct(draw, F.col("node"))).alias("pick"))
-    leaders = one.groupBy("slot", "band").agg(F.count("*").alias("n"), F.min("pick").alias("leader")).where("n > 1").drop("n")
-    return one.join(leaders, ["slot", "band"]).select(F.col("pick.node").alias("node"), F.col("leader.node").alias("other")).where("node <> other")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(judge, "a bigint, b bigint")
 
 
 def near_duplicate_rows(docs: DataFrame, options: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -282,20 +372,17 @@ def near_duplicate_rows(docs: DataFrame, options: NearDuplicates = NearDuplicate
     rows = cut(_signatures(docs, weights, options))
     nodes = rows.where("node is not null").groupBy("node", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     members = nodes.select("node", "rep", "copies", F.posexplode("bands").alias("slot", "band"))
-    buckets = members.groupBy("slot", "band").agg(F.count("*").alias("n")).where("n > 1").select("slot", "band")
+    alike = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"set{i}") for i in (0, 1)]
+    buckets = members.groupBy("slot", "band").agg(F.count("*").alias("n"), *alike).where("n > 1")
+    # buckets of the same nodes count once
+    buckets = buckets.groupBy("n", "set0", "set1").agg(F.min(F.struct("slot", "band")).alias("of"), F.count("*").alias("times")).select("of.*", "n", "times")
     members = cut(members.join(buckets, ["slot", "band"]))
     sets = cut(_shingle_sets(docs, options).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    links = classes = tried = None
-    for number in range(options.rounds):
-        pairs = _first_pairs(members) if classes is None else _later_pairs(members, classes, number)
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = cut(_verified(pairs, sets, weights, options))
-        if classes is not None and found.limit(1).count() == 0:
-            continue
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        classes = components(links)
+    pairs = _first_pairs(members).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = cut(_verified(pairs, sets, weights, options))
+    cells = _cells(members, components(links), options.part).join(sets, "node")
+    more = cut(_links_of_cells(cells, weights, options))
+    classes = components(links.unionByName(more))
     return rows.select("row", "doc_id", "node").join(classes, "node", "left")
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventlens.llm.neardup import NearDuplicates, _Sampler, components, drop_near_duplicates, near_duplicate_classes
+from eventlens.llm.neardup import NearDuplicates, _Sampler, cell_links, components, drop_near_duplicates, near_duplicate_classes
 from eventlens.llm.queries import QUERIES
 
 from .data import AWKWARD, SF, documents
@@ -104,3 +104,55 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (5, 5)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(n + 1), 0), 100: 100, 101: 100}
+
+
+def star(n, seed):
+    """A text at a random place among n edited copies that are below the threshold to one another."""
+    pick = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(n):
+        copy = list(base)
+        for at in pick.sample(range(5, 145, 10), 2):
+            copy[at] = f"e{i}"
+        texts.append(" ".join(copy))
+    texts.insert(pick.randrange(n // 4, n), " ".join(base))
+    return texts
+
+
+def test_group_whose_original_is_neither_first_nor_most_copied(spark):
+    texts = star(300, 3)
+    docs = documents(spark, texts + [texts[7]] * 3).repartition(5)
+    got = classes(near_duplicate_classes(docs))
+    assert got == brute(docs.collect()) and set(got.values()) == {0}
+    assert {r.class_id for r in near_duplicate_classes(documents(spark, star(1500, 4))).collect()} == {0}
+
+
+def test_links_that_no_leader_has(spark):
+    pick = random.Random(9)
+    texts = [" ".join(f"c{j}" for j in range(10 * i, 10 * i + 150)) for i in range(120)]  # each is near its neighbours only
+    pick.shuffle(texts)
+    for part in (4, 256):
+        docs = documents(spark, texts + star(40, 5))
+        assert classes(near_duplicate_classes(docs, NearDuplicates(part=part))) == brute(docs.collect())
+
+
+def test_cell_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(2)
+    table = 1 + rng.random(1 << 16) / 10
+    base = rng.integers(0, 2**32, 200, dtype=np.uint32)
+    cell = []
+    for i in range(60):
+        own = np.sort(np.concatenate([rng.choice(base, 190, replace=False), rng.integers(0, 2**32, 1 + i // 3, dtype=np.uint32)]))
+        times = rng.integers(1, 3, len(own)).astype("<u4") if i % 2 else np.zeros(0, "<u4")
+        cell.append((True, True, i, i, np.uint32(len(own)).tobytes() + own.astype("<u4").tobytes() + times.tobytes()))
+    for limit in (0.7, 0.85, 0.9):
+        parent = list(range(60))
+        for n, links in enumerate((cell_links(cell, table, limit), [p for r in cell for p in cell_links([r, *cell[: r[2]]][:1] + [(False, *x[1:]) for x in cell[: r[2]]], table, limit)])):
+            of = {i: i for i in range(60)}
+            for a, b in links:
+                x, y = of[a], of[b]
+                of = {k: y if v == x else v for k, v in of.items()}
+            groups = {frozenset(k for k in of if of[k] == v) for v in of.values()}
+            assert n == 0 or groups == parent
+            parent = groups
