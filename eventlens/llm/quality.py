@@ -4,7 +4,10 @@ A document's zstandard ratio (compressed / raw UTF-8 bytes) falls with its lengt
 cannot serve all lengths. ``BANDS`` gives the accepted ratio by document length; text below its band
 repeats itself or is built from few parts, text above it hardly compresses (random or encoded
 data). The same test runs over fixed-size chunks, where one chunk band holds for all full chunks;
-a document fails when too large a share of its chunks lies outside.
+a document fails when too large a share of its chunks lies outside. The rest after the last full chunk is not judged.
+
+``chunk_low`` lies just below the lowest ratio of 2555 full chunks of documents labelled clean (sf0.1, ``labels``
+with quality 1): 0.467.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ class QualityRules:
     repeat_window: int = 5
     level: int = 3
     chunk_bytes: int = 2048
-    chunk_low: float = 0.40
+    chunk_low: float = 0.465
     chunk_high: float = 0.75
     max_chunk_share: float = 0.20
     bands: tuple[tuple[float, float, float], ...] = BANDS

@@ -55,3 +55,13 @@ def test_filter_keeps_columns_ties_and_empty_tables(spark):
     rows = out.collect()
     assert len(rows) == 2 and rows[0] == rows[1] and rows[0].n_words == "clash" and rows[0].kept == 7
     assert filter_quality(docs.limit(0)).count() == 0 and quality_report(docs.limit(0)).count() == 0
+
+
+def test_long_documents_with_a_repetitive_half_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text")
+    rows = quality_report(docs).join(docs, "doc_id").orderBy("doc_id").collect()
+    junk = [r.text for r in rows if not r.base_failed and not r.kept and len(r.text) > 6000]
+    clean = [r.text for r in rows if r.kept and len(r.text) > 6000]
+    mixed = [f"{c[: len(j)]}\n{j}" for j, c in zip(junk, clean, strict=False)]
+    assert mixed and filter_quality(documents(spark, mixed)).count() == 0
+    assert filter_quality(documents(spark, clean)).count() == len(clean)
