@@ -51,6 +51,7 @@ def training_sample(docs: DataFrame, options: LanguageOptions = LanguageOptions(
     mark = F.xxhash64("text")
     start = F.pmod(mark, F.greatest(F.length("text") - options.snippet, F.lit(1))).cast("int") + 1
     rows = rows.select("lang", mark.alias("mark"), F.substring(F.col("text"), start, F.lit(options.snippet)).alias("snippet"))
+    rows = rows.groupBy("lang", "mark").agg(F.min("snippet").alias("snippet"))  # copies of a text count once
     langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.max_languages).collect()]
     ranked = rows.where(F.col("lang").isin(langs)).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "snippet")))
     return [(r.snippet, r.lang) for r in ranked.where(F.col("place") <= options.per_language).orderBy("lang", "place").collect()]

@@ -74,3 +74,10 @@ def test_nothing_to_learn_and_null_ids(spark):
     assert {(r.lang_pred, r.score) for r in predict_languages(bare, SMALL).collect()} == {("und", 0.0)}
     nulls = docs.withColumn("doc_id", F.lit(None).cast("bigint"))
     assert [r.held_out for r in predict_languages(nulls, SMALL).collect()] == [True, True]
+
+
+def test_copies_of_a_text_count_once_in_the_sample(spark):
+    docs = documents(spark, [f"text number {i} of many" for i in range(40)]).unionByName(documents(spark, ["the copied text"] * 2000, 100))
+    sample = training_sample(docs, LanguageOptions(per_language=1000))
+    snippets = [s for s, _ in sample]
+    assert len(snippets) == len(set(snippets)) > 20 and "the copied text" in snippets
