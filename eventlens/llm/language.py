@@ -2,16 +2,17 @@
 
 Each position of a text gets a distribution over the learned languages from a forward and a backward
 network; a document's distribution is the mean over all its positions. Texts run in windows of
-``window`` bytes, each read from both sides; windows of many texts run side by side in numpy.
+``window`` bytes, each read from both sides; windows of many texts run side by side in numpy. States start
+anew in each window, so a position sees the bytes of its own window.
 
 The network is trained on the driver by backpropagation through time, from a bounded sample: at most
-``per_language`` snippets of ``snippet`` characters for each of at most ``max_languages`` languages,
-picked by the hash of the text over all labelled rows. Every text is then predicted whole.
+``per_language`` snippets of ``snippet`` characters for each language, and about ``total`` in all, picked by the
+hash of the text over all labelled rows. Every language with a labelled text is learned; every text is
+then predicted whole.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from eventlens.llm.textops import byte_slices, text_column
 
 _PAD = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class LanguageOptions:
     """Bounds of the training sample, sizes of the network and of its training."""
 
     per_language: int = 600
-    max_languages: int = 64
+    total: int = 60_000
     snippet: int = 240
     hidden: int = 8
     window: int = 48
@@ -46,15 +47,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> list[tuple[str, str]]:
-    """Bounded sample of (snippet, lang) from rows that are not held out."""
+    """Bounded sample of (snippet, lang) from rows that are not held out; copies of a text count once.
+
+    The snippets of the smallest text hashes are taken, first per language and salt, then per language, so that no
+    task ranks all texts of a frequent language. Every language gets a snippet, even where there are over ``total``.
+    """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    langs = rows.select("lang").distinct().count()
+    share = max(1, min(options.per_language, options.total // max(langs, 1)))
     mark = F.xxhash64("text")
     start = F.pmod(mark, F.greatest(F.length("text") - options.snippet, F.lit(1))).cast("int") + 1
     rows = rows.select("lang", mark.alias("mark"), F.substring(F.col("text"), start, F.lit(options.snippet)).alias("snippet"))
-    rows = rows.groupBy("lang", "mark").agg(F.min("snippet").alias("snippet"))  # copies of a text count once
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.max_languages).collect()]
-    ranked = rows.where(F.col("lang").isin(langs)).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "snippet")))
-    return [(r.snippet, r.lang) for r in ranked.where(F.col("place") <= options.per_language).orderBy("lang", "place").collect()]
+    rows = rows.groupBy("lang", "mark").agg(F.min("snippet").alias("snippet")).withColumn("salt", F.pmod(F.xxhash64("mark"), F.lit(_SALTS)))
+    for by in (["lang", "salt"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("mark", "snippet"))
+        rows = rows.withColumn("place", place).where(F.col("place") <= share)
+    return [(r.snippet, r.lang) for r in rows.orderBy("lang", "place").select("snippet", "lang").collect()]
 
 
 def _windows(data: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +223,7 @@ def language_struct(docs: DataFrame, options: LanguageOptions = LanguageOptions(
             part = texts.slice(lo, hi - lo)
             chances = own.predict(part) if own.langs else None
             for i, text in enumerate(part.to_pylist()):
-                if chances is None or not _LETTER.search(text):
+                if chances is None or not any(map(str.isalpha, text)):
                     langs.append("und")
                     scores.append(0.0)
                 else:
@@ -231,15 +239,21 @@ def predict_languages(docs: DataFrame, options: LanguageOptions = LanguageOption
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Null texts and texts without letters are ``und`` with score 0; so are all texts when no labelled row
-    can be learned from. Each row is predicted from its own text alone, so repeated rows agree.
-    Columns other than doc_id, text and lang are not read, lang only for learning.
+    can be learned from. Ties go to the language that sorts first. Each row is predicted from its own text
+    alone, so repeated rows agree; a null doc_id counts as held out. Columns other than doc_id, text and lang are not
+    read, lang only for learning. An empty table gives no rows. A text runs in slices of its windows, so its
+    length is bounded only by one task's memory for its bytes.
     """
     predict = language_struct(docs, options)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", "p.*")
 
 
 def filter_language(docs: DataFrame, min_score: float = 0.3, options: LanguageOptions = LanguageOptions()) -> DataFrame:
-    """Rows of ``docs`` whose language is recognised with at least ``min_score``; columns as they came."""
+    """Rows of ``docs`` whose language is recognised with at least ``min_score``; columns as they came, whatever their names.
+
+    Null texts and texts without letters go, and every row where no labelled row can be learned from. Repeated
+    rows stay or go together; an empty table stays empty.
+    """
     predict = language_struct(docs, options)
     judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict("text").alias("p"))
     return judged.where((F.col("p.lang_pred") != "und") & (F.col("p.score") >= min_score)).select("row.*")

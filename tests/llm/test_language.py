@@ -81,3 +81,39 @@ def test_copies_of_a_text_count_once_in_the_sample(spark):
     sample = training_sample(docs, LanguageOptions(per_language=1000))
     snippets = [s for s, _ in sample]
     assert len(snippets) == len(set(snippets)) > 20 and "the copied text" in snippets
+
+
+def test_number_signs_are_no_letters(spark):
+    docs = documents(spark, ["² ½ ① Ⅷ 12", "the letters of the text"])
+    assert [r.lang_pred for r in predict_languages(docs, SMALL).orderBy("doc_id").collect()] == ["und", "en"]
+
+
+def test_every_language_is_learned(spark):
+    docs = documents(spark, [f"text {i} of language {i % 90}" for i in range(900)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 90))
+    sample = training_sample(docs, LanguageOptions(total=180))
+    assert len({x for _, x in sample}) == 90 and len(sample) == 180
+    assert len({x for _, x in training_sample(docs, LanguageOptions(total=20))}) == 90
+
+
+def test_prediction_equals_a_plain_forward_pass():
+    net = ByteNetwork(["a", "b", "c"], LanguageOptions(window=6, hidden=4))
+    text = "Länge über sechs"
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, part):
+        h, out = np.zeros(4), {}
+        for t in range(len(part)) if d == "f" else reversed(range(len(part))):
+            x, g = w["table" + d][:, part[t]], w["recur" + d] @ h
+            z, r = sig(x[:4] + g[:4]), sig(x[4:8] + g[4:8])
+            h = out[t] = (1 - z) * np.tanh(x[8:] + r * g[8:]) + z * h
+        return out
+
+    raw, total = text.encode(), np.zeros(3)
+    for at in range(0, len(raw), 6):
+        part = raw[at : at + 6]
+        f, b = states("f", part), states("b", part)
+        for t in range(len(part)):
+            e = np.exp(w["outf"] @ f[t] + w["outb"] @ b[t] + w["bias"][:, 0])
+            total += e / e.sum()
+    assert np.allclose(net.predict(pa.array([text], pa.large_string()))[0], total / len(raw), atol=1e-5)
