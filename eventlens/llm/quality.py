@@ -3,10 +3,11 @@
 A document's zstandard ratio (compressed / raw UTF-8 bytes) falls with its length, so one limit
 cannot serve all lengths. ``BANDS`` gives the accepted ratio by document length; text below its band
 repeats itself or is built from few parts, text above it hardly compresses (random or encoded
-data). The same test runs over fixed-size chunks, where one chunk band holds for all full chunks;
-a document fails when too large a share of its chunks lies outside. The rest after the last full chunk is not judged.
+data). The same test runs over fixed-size chunks, where one chunk band holds for all chunks; a document
+fails when too large a share of its chunks lies outside. The last chunk of a text ends with the text (and
+overlaps the one before it), so every byte lies in a chunk; a text shorter than a chunk is judged by its length's band.
 
-``chunk_low`` lies just below the lowest ratio of 2555 full chunks of documents labelled clean (sf0.1, ``labels``
+``chunk_low`` lies just below the lowest ratio of 2555 chunks of documents labelled clean (sf0.1, ``labels``
 with quality 1): 0.467.
 """
 
@@ -92,6 +93,14 @@ def _dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def _chunk_starts(size: int, step: int) -> list[int]:
+    """Where the chunks of a text begin: one after the other, the last one flush with the text's end."""
+    starts = list(range(0, size - step + 1, step))
+    if starts and size % step:
+        starts.append(size - step)
+    return starts
+
+
 def _measure(texts: pa.Array, rules: QualityRules) -> pa.Array:
     words = words_of(texts)
     n_words = np.diff(words.offsets)
@@ -110,15 +119,16 @@ def _measure(texts: pa.Array, rules: QualityRules) -> pa.Array:
         dup.append(_dup_lines(text))
         size, step = len(raw), rules.chunk_bytes
         r = len(press.compress(raw)) / size if size else 0.0
+        starts = _chunk_starts(size, step)
         wrong = 0
-        for at in range(0, size - step + 1, step):
+        for at in starts:
             c = len(press.compress(raw[at : at + step])) / step
             wrong += not rules.chunk_low <= c <= rules.chunk_high
         _, low, high = rules.bands[bisect_left(uppers, size)]
         ratio.append(r)
-        chunks.append(size // step)
+        chunks.append(len(starts))
         bad.append(wrong)
-        kept.append(not failed[i] and low <= r <= high and wrong <= rules.max_chunk_share * (size // step))
+        kept.append(not failed[i] and low <= r <= high and wrong <= rules.max_chunk_share * len(starts))
     names = [x.split(":")[0] for x in _TYPE[7:-1].split(",")]
     columns = [n_words, word_chars, n_symbols, np.array(dup, np.int64), repeat, failed, ratio, chunks, bad, kept]
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]

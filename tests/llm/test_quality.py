@@ -25,7 +25,9 @@ def brute(text, rules=QualityRules()):
     raw = text.encode()
     press = zstandard.ZstdCompressor(level=3)
     ratio = len(press.compress(raw)) / len(raw) if raw else 0.0
-    chunks = [len(press.compress(raw[i : i + 2048])) / 2048 for i in range(0, len(raw) - 2047, 2048)]
+    parts = [raw[i : i + 2048] for i in range(0, len(raw) - 2047, 2048)]
+    parts += [raw[-2048:]] if parts and len(raw) % 2048 else []
+    chunks = [len(press.compress(x)) / 2048 for x in parts]
     bad = sum(not rules.chunk_low <= c <= rules.chunk_high for c in chunks)
     low, high = next((lo, hi) for top, lo, hi in rules.bands if len(raw) <= top)
     kept = not failed and low <= ratio <= high and bad <= 0.2 * len(chunks)
@@ -65,3 +67,12 @@ def test_long_documents_with_a_repetitive_half_are_rejected(spark):
     mixed = [f"{c[: len(j)]}\n{j}" for j, c in zip(junk, clean, strict=False)]
     assert mixed and filter_quality(documents(spark, mixed)).count() == 0
     assert filter_quality(documents(spark, clean)).count() == len(clean)
+
+
+def test_every_byte_of_a_long_text_lies_in_a_chunk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars > 9000").orderBy("doc_id")
+    clean = [r.text for r in docs.collect() if brute(r.text)[-1]][0]
+    junk = " ".join(f"{i} aa bb cc dd ee" for i in range(1000, 1100))
+    cut = clean.encode()[:4096].decode(errors="ignore")
+    rows = quality_report(documents(spark, [cut, f"{cut} {junk[:1900]}"])).orderBy("doc_id").collect()
+    assert [(r.n_chunks, r.bad_chunks) for r in rows][1] == (3, 1) and rows[0].kept and not rows[1].kept
