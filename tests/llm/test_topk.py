@@ -50,9 +50,35 @@ def test_large_components_stay_exact(spark):
     assert rows_of(exact_top_k(df)) == brute(rows)
 
 
-def test_index_segments_hold_every_posting_once():
+def test_index_holds_every_posting_once_by_descending_impact():
     rng = np.random.default_rng(3)
-    vectors = rng.integers(-90, 90, (50, 6)).astype(float)
-    index = ImpactIndex(vectors)
-    assert np.array_equal(sum(s for _, s in index.segments), vectors)
-    assert [r for r, _ in index.segments] == sorted((r for r, _ in index.segments), reverse=True)
+    vectors = rng.integers(-9, 9, (50, 6)) * (rng.random((50, 6)) < 0.4)
+    index = ImpactIndex.load(6, ImpactIndex.build(np.arange(50), vectors).row())
+    assert np.array_equal(index.vectors(), vectors) and len(index.value) == (vectors != 0).sum()
+    bounds = index.starts[:: index.dim]
+    for s in range(len(index.rest)):
+        own, later = np.abs(index.value[bounds[s] : bounds[s + 1]]), np.abs(index.value[bounds[s + 1] :])
+        assert len(own) and own.min() > (later.max() if len(later) else 0) and index.rest[s] == (later.max() if len(later) else 0)
+    assert np.allclose(index.unread()[-1], 0)
+
+
+def test_search_stops_on_proof_and_stays_exact():
+    rng = np.random.default_rng(5)
+    base = rng.integers(-200, 200, (4, 16))
+    vectors = np.concatenate([base[rng.integers(0, 4, 600)] + rng.integers(-3, 3, (600, 16)), np.zeros((1, 16), np.int64)])
+    index, read = ImpactIndex.build(np.arange(601), vectors), []
+    queries = base[:2]
+    for i, (members, scores) in enumerate(index.search(queries, np.array([0, 1]), 3)):
+        true = vectors @ queries[i]
+        true[i] = -(1 << 62)
+        best = set(np.lexsort((np.arange(601), -true))[:3].tolist())
+        assert best <= set(members.tolist()) and np.array_equal(scores, vectors[members] @ queries[i])
+        read.append(len(members))
+    assert max(read) < 601
+
+
+def test_one_vector_and_zero_vectors(spark):
+    one = spark.createDataFrame([(0, [0.5, 0.1], None)], SCHEMA)
+    assert exact_top_k(one).count() == 0
+    rows = [(i, [0.0, 0.0], None) for i in range(120)]
+    assert rows_of(exact_top_k(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
