@@ -12,9 +12,10 @@ a window can only match inside one shard, and shard and documents' passages meet
    segment. Equal segments are counted together, so copies do not multiply.
 3. The distinct segments of an anchor form a reference shard: a suffix automaton with occurrence counts.
    Its segments stream through it for matching statistics; windows that match at full length with
-   a count of two or more are repeated. A shard of more than ``shard_segments`` distinct
-   segments is counted by window hashes in a further shuffle instead, so no shard is unbounded.
-4. Repeated stretches return to their documents, whose other words are kept.
+   a count of two or more are repeated. An anchor with more than ``shard_segments`` segments is split: its windows,
+   each summed up over its segments first, are dealt to parts by their hash, and each part is a shard of its own.
+4. Repeated stretches return to their documents, whose other words are kept. Segments that hold more than one
+   in ``heavy`` of all places return by a broadcast (so there are at most that many), the others by a shuffle.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ GRAM = 8
 FILTER_BITS = 1 << 27
 SHARD_SEGMENTS = 1024
 _BLOCK = 1 << 15
+HEAVY = 10_000
+_SALTS = 16
 
 
 def _anchors(texts: pa.Array, min_words: int, gram: int):
@@ -92,8 +95,14 @@ def _anchor_counts(min_words: int, gram: int):
     return count
 
 
-def repeated_anchor_filter(docs: DataFrame, min_words: int, gram: int, filter_bits: int) -> np.ndarray:
-    """Bits of the anchors that occur twice or more, as a byte array of filter_bits / 8 bytes."""
+def repeated_anchors(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """Anchors of two or more segments of all documents: anchor, n (its segments)."""
+    counts = docs.select("text").mapInArrow(_anchor_counts(min_words, gram), "anchor bigint, n bigint")
+    return counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def anchor_filter(anchors: DataFrame, filter_bits: int) -> np.ndarray:
+    """Bits of the anchors, as a byte array of filter_bits / 8 bytes."""
     bit = F.pmod(F.col("anchor"), F.lit(filter_bits))
 
     @F.arrow_udf("binary")
@@ -106,12 +115,7 @@ def repeated_anchor_filter(docs: DataFrame, min_words: int, gram: int, filter_bi
         return pa.array(out, pa.binary())
 
     blocks = (
-        docs.select("text")
-        .mapInArrow(_anchor_counts(min_words, gram), "anchor bigint, n bigint")
-        .groupBy("anchor")
-        .agg(F.sum("n").alias("n"))
-        .where("n > 1")
-        .select(F.floor(bit / _BLOCK).alias("block"), (bit % _BLOCK).cast("int").alias("bit"))
+        anchors.select(F.floor(bit / _BLOCK).alias("block"), (bit % _BLOCK).cast("int").alias("bit"))
         .groupBy("block")
         .agg(F.collect_set("bit").alias("bits"))
         .select("block", pack("bits").alias("bits"))
@@ -202,51 +206,37 @@ def shard_repeats(segments: list[tuple[bytes, int]], min_words: int) -> list[lis
     return out
 
 
-_FOUND = "anchor bigint, segment bigint, low int, high int, window bigint, times bigint"
+_FOUND = "anchor bigint, part int, segment bigint, times bigint, low int, high int"
 
 
-def _shards(min_words: int, shard_segments: int):
-    """Over rows sorted by anchor: repeated ranges, or for a large shard its windows' hashes (``window`` not null)."""
+def _shards(min_words: int):
+    """Over rows sorted by (anchor, part): the repeated ranges of each segment of such a shard."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held: list[tuple[int, int, bytes]] = []
-        anchor, large = None, False
-
-        def windows(part: list[tuple[int, int, bytes]]) -> None:
-            for segment, times, content in part:
-                x = np.frombuffer(content, "<u4").astype(np.uint64)
-                n = len(x) - min_words + 1
-                total = np.zeros(n, np.uint64)
-                for i in range(min_words):
-                    total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + x[i : i + n] + np.uint64(1))
-                rows.extend((anchor, segment, i, i + 1, h, times) for i, h in enumerate(total.view(np.int64).tolist()))
+        key = None
 
         def close() -> None:
-            if large:
-                windows(held)
-            elif len(held) == 1:
+            if len(held) == 1:  # one segment never holds a window twice: the anchor would move to the later one
                 segment, times, content = held[0]
                 if times > 1:
-                    rows.append((anchor, segment, 0, len(content) // 4 - min_words + 1, None, times))
+                    rows.append((*key, segment, times, 0, len(content) // 4 - min_words + 1))
             elif held:
                 for (segment, times, _), flags in zip(held, shard_repeats([(c, t) for _, t, c in held], min_words), strict=True):
-                    rows.extend((anchor, segment, r["low"], r["high"], None, times) for r in _ranges(flags))
+                    rows.extend((*key, segment, times, r["low"], r["high"]) for r in _ranges(flags))
 
         def batch_of() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
         for batch in batches:
-            for a, s, t, c in zip(*[batch.column(x).to_pylist() for x in ("anchor", "segment", "times", "words")], strict=True):
-                if a != anchor:
+            for a, p, s, t, c in zip(*[batch.column(x).to_pylist() for x in ("anchor", "part", "segment", "times", "words")], strict=True):
+                if (a, p) != key:
                     close()
-                    anchor, held, large = a, [], False
+                    key, held = (a, p), []
                 held.append((s, t, c))
-                if len(held) > shard_segments:
-                    windows(held)
-                    held, large = [], True
                 if len(rows) > 20_000:
                     yield batch_of()
                     rows = []
@@ -256,24 +246,70 @@ def _shards(min_words: int, shard_segments: int):
     return judge
 
 
+_DEALT = "anchor bigint, part int, segment bigint, low int, window bigint, words binary, times bigint"
+
+
+def _dealt(min_words: int):
+    """Distinct segments as they are (part -1), those of anchors with ``parts`` as windows dealt to parts by their hash."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                rows = [batch.column(x).slice(lo, 512).to_pylist() for x in ("anchor", "segment", "words", "times", "parts")]
+                out: list[list] = [[] for _ in kinds]
+                for anchor, segment, content, times, parts in zip(*rows, strict=True):
+                    if parts is None:
+                        values = [anchor], [-1], [segment], [0], [segment], [content], [times]
+                    else:
+                        x = np.frombuffer(content, "<u4").astype(np.uint64)
+                        n = len(x) - min_words + 1
+                        total = np.zeros(n, np.uint64)
+                        for i in range(min_words):
+                            total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + x[i : i + n] + np.uint64(1))
+                        own = [content[4 * i : 4 * (i + min_words)] for i in range(n)]
+                        values = [anchor] * n, (total % np.uint64(parts)).tolist(), [segment] * n, range(n), total.view(np.int64).tolist(), own, [times] * n
+                    for column, value in zip(out, values, strict=True):
+                        column.extend(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in _DEALT.split(", ")])
+
+    return deal
+
+
+def _repeated_segments(segments: DataFrame, anchors: DataFrame, min_words: int, gram: int, shard_segments: int) -> DataFrame:
+    """Per distinct segment with repeated windows: anchor, segment, times and ranges of them."""
+    distinct = segments.groupBy("anchor", "segment", "words").agg(F.count("*").alias("times"))
+    parts = F.ceil(F.col("n") * (min_words - gram + 1) / shard_segments).cast("int")
+    large = anchors.where(F.col("n") > shard_segments).select("anchor", parts.alias("parts"))
+    columns = ["anchor", "segment", "words", "times", "parts"]
+    dealt = cut(distinct.join(large, "anchor", "left").select(*columns).mapInArrow(_dealt(min_words), _DEALT))
+    windows = dealt.where("part >= 0")
+    summed = windows.groupBy("anchor", "part", F.col("window").alias("segment"), "words").agg(F.sum("times").alias("times"))
+    shards = dealt.where("part = -1").select("anchor", "part", "segment", "words", "times").unionByName(summed)
+    judged = cut(shards.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_shards(min_words), _FOUND))
+    whole = judged.where("part = -1").select("anchor", "segment", "times", "low", "high")
+    often = judged.where("part >= 0").select("anchor", F.col("segment").alias("window"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    salted = windows.select("anchor", "segment", "times", "low", "window", F.pmod(F.xxhash64("segment"), F.lit(_SALTS)).cast("int").alias("salt"))
+    split = salted.join(often, ["anchor", "window", "salt"]).select("anchor", "segment", "times", "low", (F.col("low") + 1).alias("high"))
+    return whole.unionByName(split).groupBy("anchor", "segment", "times").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+
+
 def repeated_ranges(
-    docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, filter_bits: int = FILTER_BITS, shard_segments: int = SHARD_SEGMENTS
+    docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, filter_bits: int = FILTER_BITS, shard_segments: int = SHARD_SEGMENTS, heavy: int = HEAVY
 ) -> DataFrame:
     """Per row key (xxhash64 of doc_id and text) with repeats: ranges [low, high) of repeated windows' first words."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_anchor_filter(docs, min_words, gram, filter_bits))
+    anchors = cut(repeated_anchors(docs, min_words, gram))
+    bits = docs.sparkSession.sparkContext.broadcast(anchor_filter(anchors, filter_bits))
     segments = _segments(docs, bits, filter_bits, min_words, gram)
-    distinct = segments.groupBy("anchor", "segment", "words").agg(F.count("*").alias("times"))
-    judged = cut(
-        distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(min_words, shard_segments), _FOUND)
-    )
-    windows = judged.where("window is not null")
-    often = windows.groupBy("window").agg(F.sum("times").alias("total")).where("total > 1").select("window")
-    found = judged.where("window is null").select("anchor", "segment", "low", "high").unionByName(
-        windows.join(often, "window").select("anchor", "segment", "low", "high")
-    )
-    per_segment = found.groupBy("anchor", "segment").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    places = segments.select("row", "first", "anchor", "segment").join(per_segment, ["anchor", "segment"])
+    found = cut(_repeated_segments(segments, anchors, min_words, gram, shard_segments))
+    total = anchors.agg(F.sum("n").alias("n")).first().n or 0
+    often = F.col("times") > total / heavy
+    places = segments.select("row", "first", "anchor", "segment")
+    # segments of many places are at most ``heavy``, as all places together are at most ``total``
+    places = places.join(F.broadcast(found.where(often).select("anchor", "segment", F.col("ranges").alias("common"))), ["anchor", "segment"], "left")
+    places = places.withColumn("salt", F.when(F.col("common").isNull(), 0).otherwise(F.xxhash64("row", "first")))
+    places = places.join(found.where(~often).select("anchor", "segment", "ranges", F.lit(0).cast("bigint").alias("salt")), ["anchor", "segment", "salt"], "left")
+    places = places.select("row", "first", F.coalesce("common", "ranges").alias("ranges")).where("ranges is not null")
     shifted = F.transform("ranges", lambda r: F.struct((r["low"] + F.col("first")).alias("low"), (r["high"] + F.col("first")).alias("high")))
     return places.select("row", shifted.alias("ranges")).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
@@ -301,7 +337,8 @@ def repeat_digests(docs: DataFrame, min_words: int = MIN_WORDS, **limits) -> Dat
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space).
 
     Null and empty texts have no words. Repeated rows repeat each other's windows like any other documents,
-    also rows with equal doc_id. Columns other than doc_id and text are not read.
+    also rows with equal or null doc_id. Columns other than doc_id and text are not read. An empty table gives no
+    rows. Texts are worked on whole; one text's length is bounded only by one task's memory for it.
     """
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept_sha256:string>")
@@ -321,7 +358,8 @@ def repeat_digests(docs: DataFrame, min_words: int = MIN_WORDS, **limits) -> Dat
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, **limits) -> DataFrame:
     """``docs`` with the repeated words taken out of ``text`` and ``n_chars`` set anew; all rows stay.
 
-    A text with removals becomes its kept words joined by one space; any other text stays as it is.
+    A text with removals becomes its kept words joined by one space; any other text, null ones too, stays as it is.
+    Repeated rows lose their windows alike, an empty table stays empty, and other columns come through whatever their names.
     """
 
     @F.arrow_udf("string")

@@ -44,10 +44,10 @@ def corpus(seed, n=120):
     return [*out, "loop " * 200, "loop " * 36, "loop " * 35, "", None, *AWKWARD, *out[:5]]
 
 
-@pytest.mark.parametrize("shard_segments", [1024, 2])
-def test_matches_brute_force(spark, shard_segments):
+@pytest.mark.parametrize(("shard_segments", "heavy"), [(1024, 10_000), (2, 3), (20, 0.5)])
+def test_matches_brute_force(spark, shard_segments, heavy):
     docs = documents(spark, corpus(shard_segments)).repartition(5)
-    assert rows_of(repeat_digests(docs, filter_bits=1 << 16, shard_segments=shard_segments)) == brute(docs.collect())
+    assert rows_of(repeat_digests(docs, filter_bits=1 << 16, shard_segments=shard_segments, heavy=heavy)) == brute(docs.collect())
 
 
 def test_crowded_filter_gives_the_same_rows(spark):
@@ -72,6 +72,13 @@ def test_removal_keeps_columns_rows_and_null_ids(spark):
     assert [r.n_removed for r in repeat_digests(twins).collect()] == [50, 50]
 
 
+def test_one_very_long_text(spark):
+    pick = random.Random(8)
+    words = [f"v{pick.randint(0, 10**6)}" for _ in range(120_000)]
+    docs = documents(spark, [" ".join(words + words[500:560]), " ".join(words[70_000:70_050])])
+    assert rows_of(repeat_digests(docs)) == brute(docs.collect())
+
+
 def test_automaton_statistics():
     pick = random.Random(2)
     sequences = [([pick.randint(0, 3) for _ in range(pick.randint(0, 30))], pick.randint(1, 3)) for _ in range(12)]
