@@ -13,7 +13,9 @@
    copied one. Then, in every bucket that still holds several classes, all pairs of nodes of different classes are
    compared: the nodes outside the bucket's largest class with each other and with that class, in cells of bounded
    size. So a group that its leaders link costs as many pairs as it has nodes, and no candidate pair is left out.
-4. Candidates are verified on their shingles; connected components of the verified links are the classes.
+4. Candidates are verified on their shingles: a link needs a weighted Jaccard similarity of ``threshold``, or that
+   plain similarity (which two edited copies may reach although what they do not share is rare and so weighs
+   more). Connected components of the verified links are the classes.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ class NearDuplicates:
     threshold: float = 0.8
     bands: int = 16
     rows: int = 4
-    idf_strength: float = 0.1
+    idf_strength: float = 0.5
     part: int = 256
     seed: int = 7
 
@@ -391,7 +393,8 @@ def near_duplicate_classes(docs: DataFrame, options: NearDuplicates = NearDuplic
 
     Documents with equal words are one class from the start. A text without words (null, empty, blank) is
     a class of its own, also beside others like it. Null ids take part; a class of only null ids has
-    a null class_id. Repeated rows count as documents. Columns other than doc_id and text are not read.
+    a null class_id. Repeated rows count as documents. Columns other than doc_id and text are not read. An empty
+    table gives no rows. Texts are worked on whole: a text's length is bounded only by one task's memory for it.
     """
     rows = near_duplicate_rows(docs, options).withColumn("own", F.coalesce("component", "node"))
     alone = rows.where("own is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
@@ -400,9 +403,10 @@ def near_duplicate_classes(docs: DataFrame, options: NearDuplicates = NearDuplic
 
 
 def drop_near_duplicates(docs: DataFrame, options: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """``docs`` with one row per class, the one of the smallest doc_id; texts without words all stay.
+    """``docs`` with one row per class, the one of the smallest doc_id (nulls first); texts without words all stay.
 
-    Rows that are equal in doc_id and text count as one.
+    Rows that are equal in doc_id and text count as one. Other columns come through whatever their names; an
+    empty table stays empty.
     """
     rows = near_duplicate_rows(docs, options).withColumn("own", F.coalesce("component", "node"))
     chosen = rows.where("own is not null").groupBy("own").agg(F.min_by("row", F.struct("doc_id", "row")).alias("row")).select("row")

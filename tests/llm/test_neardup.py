@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from eventlens.llm.neardup import NearDuplicates, _Sampler, cell_links, components, drop_near_duplicates, near_duplicate_classes
+from eventlens.llm.neardup import NearDuplicates, _Sampler, _shingles, cell_links, components, drop_near_duplicates, near_duplicate_classes, shingle_weights
 from eventlens.llm.queries import QUERIES
 
 from .data import AWKWARD, SF, documents
@@ -41,6 +42,23 @@ def brute(rows, threshold=0.8):
     return {k: find(k) for k in sets}
 
 
+def weighted_links(docs, threshold=0.8):
+    """Pairs of doc_ids at the threshold by weighted or plain Jaccard similarity, all pairs compared."""
+    table, sets = shingle_weights(docs), {}
+    for r in docs.collect():
+        _, hashes, times, _ = _shingles(pa.array([r.text or ""], pa.large_string()), 5)
+        sets[r.doc_id] = {int(h): int(t) * table[h >> 16] for h, t in zip(hashes, times, strict=True)}
+    out = set()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            both = x.keys() & y.keys()
+            if a < b and both:
+                common = sum(min(x[h], y[h]) for h in both)
+                if max(common / (sum(x.values()) + sum(y.values()) - common), len(both) / len(x.keys() | y.keys())) >= threshold:
+                    out.add((a, b))
+    return out
+
+
 def classes(df):
     return {r.doc_id: r.class_id for r in df.collect()}
 
@@ -155,3 +173,33 @@ def test_cell_links_join_what_all_pairs_join():
             groups = {frozenset(k for k in of if of[k] == v) for v in of.values()}
             assert n == 0 or groups == parent
             parent = groups
+
+
+def test_pairs_that_share_boilerplate_with_all_others(spark):
+    pick = random.Random(6)
+    shared, texts = [f"s{i}" for i in range(780)], []
+    for p in range(150):
+        pair = [f"p{p}x{i}" for i in range(30)]
+        texts += [" ".join([*shared, *pair, *(f"o{pick.randint(0, 10**9)}" for _ in range(86))]) for _ in range(2)]
+    docs = documents(spark, texts).repartition(6)
+    got = classes(near_duplicate_classes(docs))
+    links = weighted_links(docs)
+    assert {(2 * p, 2 * p + 1) for p in range(150)} <= links
+    assert sum(got[a] == got[b] for a, b in links) >= 0.98 * len(links)
+    assert len({got[2 * p] for p in range(150)}) > 100  # boilerplate alone links no documents
+
+
+def test_classes_follow_the_weighted_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 500")
+    got, parent = classes(near_duplicate_classes(docs)), {}
+    for a, b in sorted(weighted_links(docs)):
+        parent[b] = min(parent.get(b, b), parent.get(a, a))
+    assert all(got[a] == got[b] for a, b in weighted_links(docs))
+    assert all(got[b] == got[a] for b, a in parent.items()) and sum(k != v for k, v in got.items()) == len(parent)
+
+
+def test_one_very_long_text(spark):
+    pick = random.Random(3)
+    long = [f"v{pick.randint(0, 10**6)}" for _ in range(100_000)]
+    got = classes(near_duplicate_classes(documents(spark, [" ".join(long), " ".join(["new", *long[:99_000]]), "another text of five words"])))
+    assert got == {0: 0, 1: 0, 2: 2}
