@@ -2,11 +2,12 @@
 
 A shard's ids are stored as bit planes from the highest bit down; each plane keeps the ids stably sorted
 by the bits above it. With rank and select on the planes, a token can be read, counted in a range or
-located by its n-th occurrence. A file holds the documents' ids and lengths, the planes and
-a rank directory, zstandard-compressed.
+located by its n-th occurrence. A shard's payload holds, each in a zstandard frame of its own, the documents' ids and
+lengths, the rank directory (ones before every 512 bits, 32 bits each), and the planes in pages of 64 kbit; a
+table of the pages' sizes stands in front. Reading inflates the pages that a query touches and no others.
 
-``write_token_shards`` sorts documents by doc_id, so shards follow each other in that order;
-``read_token_shards`` returns every document's digest from the files alone.
+``write_token_shards`` sorts documents by doc_id, so shards follow each other in that order, each in a file of its
+own; ``read_token_shards`` returns every document's digest from the files alone.
 """
 
 from __future__ import annotations
@@ -26,56 +27,80 @@ from eventlens.llm.common import shared_dir
 from eventlens.llm.textops import byte_slices, text_column
 from eventlens.llm.tokens import encoder
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 SHARD_TOKENS = 1 << 19
-_HEAD = struct.Struct("<4sBQQ")  # magic, bits, tokens, documents
-_BLOCK = 8  # 64-bit words per entry of the stored rank directory
+_HEAD = struct.Struct("<4sBQQII")  # magic, bits, tokens, documents, bytes of the documents' frame and of the directory's
+_BLOCK = 8  # 64-bit words per entry of the rank directory
+_PAGE = 1 << 10  # words per page of a plane
 
 
 class WaveletMatrix:
-    """Bit planes of one shard with rank and select."""
+    """Bit planes of one shard with rank and select.
 
-    def __init__(self, n: int, bits: int, words: np.ndarray, directory: np.ndarray | None = None):
-        self.n, self.bits, self.words = n, bits, words
-        ones = np.bitwise_count(words).astype(np.int64)
-        self.before = np.zeros((bits, words.shape[1] + 1), np.int64)
-        np.cumsum(ones, axis=1, out=self.before[:, 1:])
-        if directory is not None and not np.array_equal(self.before[:, ::_BLOCK], directory):
-            raise ValueError("the rank directory does not fit the bit planes")
-        self.zeros = n - self.before[:, -1]
+    ``directory`` holds the ones before every block of a plane, and last the plane's ones. The planes are whole
+    (``planes``: bits x words), or compressed ``pages`` (bits x pages) that are inflated when needed.
+    """
+
+    def __init__(self, n: int, bits: int, directory: np.ndarray, planes: np.ndarray | None = None, pages: list[list[bytes]] | None = None):
+        self.n, self.bits, self.directory, self.pages = n, bits, directory, pages
+        self.zeros = n - directory[:, -1].astype(np.int64)
+        width = _BLOCK * (directory.shape[1] - 1)
+        self._planes = np.empty((bits, width), "<u8") if planes is None else planes
+        self._ready = np.full((bits, -(-width // _PAGE)), planes is not None)
+
+    @property
+    def inflated(self) -> int:
+        """Pages that have been inflated."""
+        return int(self._ready.sum())
+
+    def _words(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Words of a plane at the positions; inflates the pages they lie in."""
+        need = np.unique(at // _PAGE)
+        for page in need[~self._ready[level, need]].tolist():
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.pages[level][page]), "<u8")
+            self._planes[level, page * _PAGE : page * _PAGE + len(raw)] = raw
+            self._ready[level, page] = True
+        return self._planes[level, at]
+
+    def _plane(self, level: int) -> np.ndarray:
+        return self._words(level, np.arange(self._planes.shape[1]))
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        n, rows = len(ids), []
+        n = len(ids)
+        blocks = n // (64 * _BLOCK) + 1
+        planes = np.zeros((bits, _BLOCK * blocks), "<u8")
         x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits):
             bit = (x & x.dtype.type(1 << (bits - 1 - level))) != 0
             packed = np.packbits(bit, bitorder="little")
-            plane = np.zeros(8 * (n // 64 + 1), np.uint8)
-            plane[: len(packed)] = packed
-            rows.append(plane.view("<u8"))
+            planes[level].view(np.uint8)[: len(packed)] = packed
             x = np.concatenate([x[~bit], x[bit]])
-        return cls(n, bits, np.array(rows, "<u8").reshape(bits, n // 64 + 1))
+        directory = np.zeros((bits, blocks + 1), np.uint32)
+        np.cumsum(np.bitwise_count(planes).reshape(bits, blocks, _BLOCK).sum(axis=2, dtype=np.uint32), axis=1, out=directory[:, 1:])
+        return cls(n, bits, directory, planes)
 
     def bit(self, level: int, at: np.ndarray) -> np.ndarray:
-        return (self.words[level, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return (self._words(level, at >> 6) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
     def rank1(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones before each position."""
-        word = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[level, word] + np.bitwise_count(self.words[level, word] & low)
+        block = at // (64 * _BLOCK)
+        words = self._words(level, _BLOCK * block[:, None] + np.arange(_BLOCK))
+        inside = np.clip((at - 64 * _BLOCK * block)[:, None] - 64 * np.arange(_BLOCK), 0, 64)  # bits of each word that count
+        masks = np.where(inside == 64, ~np.uint64(0), (np.uint64(1) << (inside & 63).astype(np.uint64)) - np.uint64(1))
+        return self.directory[level, block].astype(np.int64) + np.bitwise_count(words & masks).sum(axis=1, dtype=np.int64)
 
     def select(self, level: int, one: bool, k: np.ndarray) -> np.ndarray:
         """Position of the k-th (from 0) one or zero of a plane."""
-        before = self.before[level]
+        before = self.directory[level, :-1].astype(np.int64)
         if not one:
-            before = 64 * np.arange(len(before)) - before
-        word = np.searchsorted(before, k, side="right") - 1
-        words = self.words[level, word]
-        bits = np.unpackbits((words if one else ~words).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        inside = np.cumsum(bits, axis=1) > (k - before[word])[:, None]
-        return 64 * word + inside.argmax(axis=1)
+            before = 64 * _BLOCK * np.arange(len(before)) - before
+        block = np.searchsorted(before, k, side="right") - 1
+        words = self._words(level, _BLOCK * block[:, None] + np.arange(_BLOCK))
+        bits = np.unpackbits((words if one else ~words).view(np.uint8).reshape(len(k), -1), axis=1, bitorder="little")
+        inside = np.cumsum(bits, axis=1, dtype=np.int32) > (k - before[block])[:, None]
+        return 64 * _BLOCK * block + inside.argmax(axis=1)
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """Tokens at the positions."""
@@ -92,7 +117,7 @@ class WaveletMatrix:
         at = here = np.arange(self.n, dtype=np.int32)
         out = np.zeros(self.n, np.uint32)
         for level in range(self.bits):
-            plane = np.unpackbits(self.words[level].view(np.uint8), bitorder="little")[: self.n]
+            plane = np.unpackbits(self._plane(level).view(np.uint8), bitorder="little")[: self.n]
             ones = np.cumsum(plane, dtype=np.int32)
             to = np.where(plane, np.int32(self.zeros[level] - 1) + ones, here - ones)
             out = (out << np.uint32(1)) | plane[at]
@@ -117,43 +142,44 @@ class WaveletMatrix:
         """Positions of a token, ascending."""
         if token >> self.bits:
             return np.zeros(0, np.int64)
-        a, b = self._down(token, 0, self.n)
-        at = np.arange(a, b)
-        for level in reversed(range(self.bits)):
-            one = bool(token >> (self.bits - 1 - level) & 1)
-            at = self.select(level, one, at - self.zeros[level] if one else at)
-        return at
+        return self._up(token, *self._down(token, 0, self.n))
+
+    def _up(self, token: int, a: int, b: int) -> np.ndarray:
+        out = []
+        for low in range(a, b, 1 << 12):  # bounds the words that are looked at together
+            at = np.arange(low, min(b, low + (1 << 12)))
+            for level in reversed(range(self.bits)):
+                one = bool(token >> (self.bits - 1 - level) & 1)
+                at = self.select(level, one, at - self.zeros[level] if one else at)
+            out.append(at)
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def dump(self, doc_ids: list[int | None], lengths: list[int]) -> bytes:
-        """The shard's file: header, then documents, rank directory and planes, compressed."""
+        """The shard's payload, see the module's text."""
+        press = zstandard.ZstdCompressor(level=1)
         null = np.array([x is None for x in doc_ids], np.uint8)
-        body = b"".join(
-            [
-                np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
-                null.tobytes(),
-                np.array(lengths, "<i8").tobytes(),
-                self.before[:, ::_BLOCK].astype("<i8").tobytes(),
-                self.words.tobytes(),
-            ]
-        )
-        return _HEAD.pack(MAGIC, self.bits, self.n, len(doc_ids)) + zstandard.ZstdCompressor(level=1).compress(body)
+        documents = press.compress(np.array([x or 0 for x in doc_ids], "<i8").tobytes() + null.tobytes() + np.array(lengths, "<i8").tobytes())
+        directory = press.compress(self.directory.astype("<u4").tobytes())
+        pages = [press.compress(plane[at : at + _PAGE].tobytes()) for plane in map(self._plane, range(self.bits)) for at in range(0, len(plane), _PAGE)]
+        sizes = np.array([len(p) for p in pages], "<u4").tobytes()
+        return _HEAD.pack(MAGIC, self.bits, self.n, len(doc_ids), len(documents), len(directory)) + sizes + documents + directory + b"".join(pages)
 
     @classmethod
     def load(cls, data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-        """The matrix, the documents' ids and their lengths, from a file's bytes."""
-        magic, bits, n, docs = _HEAD.unpack_from(data)
+        """The matrix with its planes still compressed, the documents' ids and their lengths, from a payload."""
+        magic, bits, n, docs, documents, directory = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        body = zstandard.ZstdDecompressor().decompress(data[_HEAD.size :])
-        width = n // 64 + 1
-        entries = len(range(0, width + 1, _BLOCK))
-        ids = np.frombuffer(body, "<i8", docs, 0)
-        null = np.frombuffer(body, np.uint8, docs, 8 * docs)
-        lengths = np.frombuffer(body, "<i8", docs, 9 * docs)
-        at = 17 * docs
-        directory = np.frombuffer(body, "<i8", bits * entries, at).reshape(bits, entries)
-        words = np.frombuffer(body, "<u8", bits * width, at + 8 * bits * entries).reshape(bits, width)
-        return cls(n, bits, words, directory), [None if z else i for i, z in zip(ids.tolist(), null.tolist(), strict=True)], lengths
+        blocks = n // (64 * _BLOCK) + 1
+        per_plane = -(-_BLOCK * blocks // _PAGE)
+        at = _HEAD.size + 4 * bits * per_plane
+        ends = at + documents + directory + np.cumsum(np.frombuffer(data, "<u4", bits * per_plane, _HEAD.size).astype(np.int64))
+        starts = np.concatenate(([at + documents + directory], ends[:-1]))
+        pages = [[data[starts[i] : ends[i]] for i in range(p * per_plane, (p + 1) * per_plane)] for p in range(bits)]
+        body = zstandard.ZstdDecompressor().decompress(data[at : at + documents])
+        ids, null, lengths = np.frombuffer(body, "<i8", docs), np.frombuffer(body, np.uint8, docs, 8 * docs), np.frombuffer(body, "<i8", docs, 9 * docs)
+        ranks = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at + documents : at + documents + directory]), "<u4").reshape(bits, blocks + 1)
+        return cls(n, bits, ranks, pages=pages), [None if z else i for i, z in zip(ids.tolist(), null.tolist(), strict=True)], lengths
 
 
 _SHARD = "part int, shard int, n_tokens bigint, n_documents bigint, payload binary"
@@ -162,10 +188,12 @@ _SHARD = "part int, shard int, n_tokens bigint, n_documents bigint, payload bina
 def write_token_shards(
     docs: DataFrame, path: str, out: str, end_id: int = 1, bits: int = 16, shard_tokens: int = SHARD_TOKENS, folded: bool = False
 ) -> None:
-    """Encodes ``docs`` in ascending doc_id order (nulls first, ties by text) into shards below ``out``.
+    """Encodes ``docs`` in ascending doc_id order (nulls first, ties by text) into shards below ``out``, one file each.
 
-    A null text counts as empty. ``path`` is a vocabulary of the tokenizers library whose ids fit ``bits``.
-    ``folded`` tells that the vocabulary lower-cases its input. Shards close after ``shard_tokens`` tokens, a longer document stands in one shard of its own size.
+    A null text counts as empty; repeated rows are stored each; an empty table gives no shards; columns other than
+    doc_id and text are not read. ``path`` is a vocabulary of the tokenizers library whose ids fit ``bits``.
+    ``folded`` tells that the vocabulary lower-cases its input. A shard closes after ``shard_tokens`` tokens, so a
+    very long document makes a shard of its own size.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +230,14 @@ def write_token_shards(
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(build, _SHARD).write.parquet(out)
+    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(build, _SHARD).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(out)
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Per document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Documents that share a doc_id, or have none, have a row each.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +290,10 @@ def token_lookup(shards: DataFrame, token: int) -> DataFrame:
 
 
 def stored_digests(docs: DataFrame, path: str, out: str | None = None, folded: bool = False) -> DataFrame:
-    """Writes the shards (to a new folder of the shared directory unless told where) and reads them back."""
+    """Writes the shards (to a new folder of the shared directory unless told where) and reads them back.
+
+    Nulls, repeated rows, long texts and empty tables are treated as in ``write_token_shards`` and ``read_token_shards``.
+    """
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     write_token_shards(docs, path, out, folded=folded)

@@ -185,6 +185,7 @@ def test_small_shards_awkward_texts_and_lookup(spark, tmp_path):
     write_token_shards(docs, WORD, out, shard_tokens=64)
     stored = spark.read.parquet(out)
     assert stored.count() > 10
+    assert len(list((tmp_path / "shards").glob("part-*"))) == stored.count()  # one file per shard
     from eventlens.llm.wavelet import read_token_shards
 
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in read_token_shards(spark, out).collect()}
@@ -215,3 +216,14 @@ def test_wavelet_matrix_rank_select(n):
     for token in {0, 1, 2, 77777, *ids[:5].tolist()}:
         assert matrix.occurrences(token).tolist() == np.flatnonzero(ids == token).tolist()
         assert matrix.count(token, n // 3, n) == int((ids[n // 3 :] == token).sum())
+
+
+def test_wavelet_reads_inflate_only_what_they_touch():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 49000, 1 << 19).astype(np.uint32)
+    data = WaveletMatrix.build(ids, 16).dump([1], [len(ids)])
+    matrix, _, _ = WaveletMatrix.load(data)
+    assert matrix.inflated == 0 and matrix.access([70_001]).tolist() == [ids[70_001]] and matrix.inflated <= 16
+    assert matrix.count(int(ids[9])) == (ids == ids[9]).sum() and matrix.inflated < 0.5 * matrix._ready.size
+    assert matrix.directory.nbytes < 0.07 * len(ids) * 2
+    assert np.array_equal(matrix.tokens(), ids)
