@@ -27,7 +27,7 @@ from eventlens.llm.textops import byte_slices, text_column
 from eventlens.llm.tokens import encoder
 
 CAPACITY = 1024
-_BLOCK_ROWS = 2_000
+_BLOCK_ROWS = 20_000
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -153,7 +153,11 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Every piece of ``docs`` with its place: token_pieces, written once, then assign_sequences."""
+    """Every piece of ``docs`` with its place: token_pieces, written once, then assign_sequences.
+
+    A null text is empty and has only the end id; null ids take part, and repeated rows have pieces each. Columns other
+    than doc_id and text are not read. A very long text has many pieces; an empty table gives no rows.
+    """
     return assign_sequences(cut(token_pieces(docs, path, end_id, capacity, with_ids)), capacity)
 
 

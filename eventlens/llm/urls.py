@@ -33,13 +33,14 @@ _ALPHABET = 43
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Context length, calibration share (of 16), score bins and the row limit of a broadcast."""
+    """Context length, calibration share (of 16), score bins, the row limit of a broadcast and the most URLs sent by one."""
 
     order: int = 3
     held: tuple[str, ...] = ("0", "4", "8", "c")
     bins: int = 400
     span: float = 4.0
     broadcast_grams: int = 500_000
+    heavy: float = 10_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -113,7 +114,8 @@ def filter_urls(pages: DataFrame, rules=RULES, options: UrlModel = UrlModel()) -
 
     Null URLs and URLs without ``://`` have empty parts and are scored as such. Where the rules leave no
     accepted or no rejected URL there is nothing to compare and URLs without a rule are allowed. Repeated
-    rows get equal verdicts; columns other than page_id and url are not read.
+    rows get equal verdicts, null ids too; columns other than page_id and url are not read. URLs are scored whole,
+    whatever their length; an empty table gives no rows.
     """
     host, path = url_parts(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
@@ -125,7 +127,7 @@ def filter_urls(pages: DataFrame, rules=RULES, options: UrlModel = UrlModel()) -
     learned = lambda c: F.sum(F.when(F.col("held"), 0).otherwise(F.col(c))).alias(c)
     grams = urls.select(F.explode(_grams(F.col("folded"), options.order)).alias("g"), "a", "r", "held").groupBy("g").agg(learned("a"), learned("r"))
     ratios = cut(gram_ratios(cut(grams), options.order))
-    classes = urls.agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
+    classes = urls.agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.sum("free").alias("free")).first()
     fits_in_memory = ratios.count() <= options.broadcast_grams
     table = F.broadcast(ratios) if fits_in_memory else ratios
     asked = urls.where("free > 0 or held").select("folded", "a", "r", "held", "free", F.explode(_grams(F.col("folded"), options.order)).alias("g"))
@@ -133,7 +135,14 @@ def filter_urls(pages: DataFrame, rules=RULES, options: UrlModel = UrlModel()) -
         asked.join(table, "g").groupBy("folded").agg(F.round(F.avg("ratio"), 9).alias("score"), *[F.first(c).alias(c) for c in ("a", "r", "held", "free")])
     )
     edge = _threshold(scores.where("held and a + r > 0"), options) if classes.a and classes.r else float("-inf")
-    judged = parsed.join(scores.where("free > 0").select("folded", "score"), "folded", "left")
+    # URLs of many rows are at most ``heavy``, as all rows without a rule together are classes.free; they return by a broadcast
+    often = F.col("free") > (classes.free or 0) / options.heavy
+    wanted = scores.where("free > 0")
+    judged = parsed.withColumn("folded", F.when(F.col("fit").isNull(), F.col("folded")))
+    judged = judged.join(F.broadcast(wanted.where(often).select("folded", F.col("score").alias("common"))), "folded", "left")
+    salt = F.when(F.col("folded").isNotNull() & F.col("common").isNull(), 0).otherwise(F.xxhash64("page_id", "host", "path"))
+    judged = judged.withColumn("salt", salt).join(wanted.where(~often).select("folded", "score", F.lit(0).cast("bigint").alias("salt")), ["folded", "salt"], "left")
+    judged = judged.withColumn("score", F.coalesce("common", "score"))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= edge, "allow").otherwise("block"))
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.round(F.when(F.col("fit").isNull(), F.col("score")), 6).alias("score"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventlens.llm import licences
 from eventlens.llm.licences import SHARES, LicenceModel, mentions, scan_licences, templates
 from eventlens.llm.queries import QUERIES
-from eventlens.llm.urls import RULES, filter_urls
+from eventlens.llm.urls import RULES, UrlModel, filter_urls
 
 from .data import AWKWARD, SF, documents
 
@@ -92,6 +92,7 @@ def test_awkward_urls(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").select((F.col("page_id") + 1000).alias("page_id"), "url", F.lit("").alias("score"))
     both = pages.union(rows)
     assert urls_of(filter_urls(both)) == brute_urls(both.collect())
+    assert urls_of(filter_urls(both.union(both.limit(9)), options=UrlModel(heavy=2))) == brute_urls(both.union(both.limit(9)).collect())
     assert {v for *_, v in urls_of(filter_urls(pages.limit(3))).values()} == {"allow"}
     assert filter_urls(pages.limit(0)).count() == 0
     assert filter_urls(pages.limit(4).union(pages.limit(4))).count() == 8
