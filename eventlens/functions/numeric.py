@@ -78,3 +78,15 @@ def quarter_step(weight: Column) -> Column:
 def implied_move(volatility: Column, days: Column) -> Column:
     """Expected absolute move over some days from annual volatility."""
     return clamp(volatility * F.sqrt(days / 252.0) * 0.798, 0.0, 1.0)
+
+
+def round_trip_cost(cap: Column, volatility: Column, catalyst: Column) -> Column:
+    """Share of the notional that entry and exit cost: by market value tier, volatility, and for catalyst setups."""
+    base = F.when(cap.isNull() | (cap <= 0), 275.0).when(cap < 250_000_000, 425.0).when(cap < 1_000_000_000, 220.0).when(cap < 5_000_000_000, 110.0).otherwise(45.0)
+    return (base + F.least(F.greatest(volatility, F.lit(0.0)) * 1000.0, F.lit(125.0)) + F.when(catalyst, 35.0).otherwise(0.0)) / 10_000.0
+
+
+def notional(weight: Column, equity: Column, confidence: Column | None = None) -> Column:
+    """Money behind a target weight in percent of the equity, scaled by confidence where given."""
+    whole = F.abs(weight) / 100.0 * F.greatest(equity, F.lit(0.0))
+    return whole if confidence is None else whole * clamp(confidence, 0.0, 1.0)

@@ -98,13 +98,16 @@ def type_priority(kind: Column) -> Column:
 
 
 def event_type(kind: Column, title: Column, details: Column | None = None) -> Column:
-    """The explicit type, if it is a known one, unless the text tells of a type of higher priority."""
+    """The explicit type, if it is a known one, unless the text tells of a type of higher priority.
+
+    Both types become one struct (priority, whether explicit, type), so the cascade of markers stands in it once.
+    """
     blank = F.lit("")
     text = F.lower(F.concat(F.coalesce(title, blank), F.lit(" "), F.coalesce(details, blank) if details is not None else blank))
     plain = F.replace(F.lower(F.trim(kind)), F.lit(" "), F.lit("_"))
-    explicit = F.when(plain.isin(*PRIORITY), plain)
-    found = inferred_type(text)
-    return F.when(found.isNull(), explicit).when(explicit.isNull() | (type_priority(found) > type_priority(explicit)), found).otherwise(explicit)
+    both = F.transform(F.array(plain, inferred_type(text)), lambda x, i: F.struct(looked_up(x, PRIORITY.items(), -1).alias("priority"), (i == 0).alias("explicit"), x.alias("kind")))
+    best = F.array_max(F.filter(both, lambda x: x["priority"] >= 0))
+    return best["kind"]
 
 
 def type_bucket(kind: Column) -> Column:

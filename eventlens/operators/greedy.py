@@ -1,52 +1,84 @@
 """Order-dependent selections: greedy spacing and greedy non-overlapping intervals.
 
-Each key's rows are folded in order inside the JVM. What a fold carries is the kept end, not the kept rows,
-and its flags go back by position, so a key costs one sort and one pass.
+Whether a row stays depends on the last row kept before it, so a key's rows pass one task in order. They are
+sorted by Spark (which spills) and streamed in Arrow batches; what is carried from row to row is the last kept end
+and its label. Time is linear in the rows and memory does not grow with a key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _streamed(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with each key in one partition and in order."""
+    names = [f"_o{i}" for i in range(len(order))]
+    return df.withColumns(dict(zip(names, order, strict=True))).repartition(*by).sortWithinPartitions(*by, *names).drop(*names)
 
 
 def greedy_intervals(df: DataFrame, by: list[str], order: list[Column], start: Column, end: Column, label: str) -> DataFrame:
     """``df`` with ``active`` and ``blocked_by``: in order, a row stays if it starts after the last kept end.
 
-    Rows without start or end are never active and block nothing. ``order`` must sort ascending and be total. The
-    fold runs over (start, end, label) alone; the wide rows only travel along to be exploded once.
+    Rows without start or end are never active and block nothing. ``order`` sorts ascending and should be total; keys
+    may be null. ``blocked_by`` is the ``label`` of the kept row that a row overlaps.
     """
-    keys = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    item = F.struct(keys.alias("k"), start.cast("timestamp").alias("start"), end.cast("timestamp").alias("end"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
-    grouped = df.select(*by, item.alias("item")).groupBy(*by).agg(F.sort_array(F.collect_list("item")).alias("items"))
-    kind = df.schema[label].dataType
-    spans = F.transform("items", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["row"][label].alias("label")))
-    flag = lambda kept, blocker: F.struct(kept.alias("kept"), blocker.alias("blocker"))
-    empty = F.slice(F.array(flag(F.lit(False), F.lit(None).cast(kind))), 1, 0)
-    first = F.struct(F.lit(None).cast("timestamp").alias("end"), F.lit(None).cast(kind).alias("label"), empty.alias("flags"))
-
-    def step(state: Column, x: Column) -> Column:
-        valid = x["start"].isNotNull() & x["end"].isNotNull()
-        keep = valid & (state["end"].isNull() | F.coalesce(x["start"] > state["end"], F.lit(False)))
-        return F.struct(
-            F.when(keep, x["end"]).otherwise(state["end"]).alias("end"),
-            F.when(keep, x["label"]).otherwise(state["label"]).alias("label"),
-            F.concat(state["flags"], F.array(flag(keep, F.when(valid & ~keep, state["label"])))).alias("flags"),
-        )
-
-    flags = F.aggregate(spans, first, step, lambda s: s["flags"])
-    rows = grouped.select(F.arrays_zip(F.transform("items", lambda x: x["row"]).alias("row"), flags.alias("flag")).alias("z")).select(F.explode("z").alias("z"))
-    return rows.select("z.row.*", F.col("z.flag.kept").alias("active"), F.col("z.flag.blocker").alias("blocked_by"))
-
-
-def greedy_spacing(df: DataFrame, by: list[str], date: str, days: int, keep_last: bool = True) -> DataFrame:
-    """Dates per key, each at least ``days`` after the kept one before it; the last date always stays."""
-    gap = F.make_dt_interval(F.lit(days))
-    dates = df.select(*by, F.col(date).cast("timestamp").alias("t")).where("t is not null").distinct().groupBy(*by).agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    empty = F.array().cast("array<timestamp>")
-    kept = F.aggregate(
-        "ts", empty, lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.try_element_at(acc, F.lit(-1)) + gap), F.concat(acc, F.array(t))).otherwise(acc)
-    )
-    if keep_last:
-        kept = F.array_distinct(F.concat(kept, F.slice("ts", -1, 1)))
-    return dates.select(*by, F.explode(kept).alias("t")).select(*by, F.col("t").cast("date").alias(date))
+    columns = df.columns
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = _streamed(df.withColumns({"_start": micros(start), "_end": micros(end)}), by, order)
+    schema = T.StructType([*df.schema.fields, T.StructField("active", T.BooleanType()), T.StructField("blocked_by", df.schema[label].dataType)])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = name = None
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
+            labels = batch.column(label)
+            active, blocker = [], []
+            for k, a, b, x in zip(keys, batch.column("_start").to_pylist(), batch.column("_end").to_pylist(), labels.to_pylist(), strict=True):
+                if k != key:
+                    key, last, name = k, None, None
+                valid = a is not None and b is not None
+                stays = valid and (last is None or a > last)
+                active.append(stays)
+                blocker.append(name if valid and not stays else None)
+                if stays:
+                    last, name = b, x
+            arrays = [batch.column(c) for c in columns] + [pa.array(active, pa.bool_()), pa.array(blocker, labels.type)]
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, "active", "blocked_by"])
+
+    return rows.mapInArrow(keep, schema)
+
+
+def greedy_spacing(df: DataFrame, by: list[str], date: str, days: int, keep_last: bool = True, latest: int | None = None) -> DataFrame:
+    """Dates per key, each at least ``days`` after the kept one before it; the last date always stays.
+
+    ``latest`` keeps only so many of a key's kept dates, the last ones.
+    """
+    moment = F.unix_micros(F.col(date).cast("timestamp"))
+    dates = df.select(*by, F.to_date(date).alias(date), moment.alias("_t")).where("_t is not null").dropDuplicates([*by, "_t"])
+    dates = dates.withColumn("_last", F.col("_t") == F.max("_t").over(Window.partitionBy(*by)))
+    gap = days * 86_400_000_000
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = at = None
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
+            flags = []
+            for k, t, last in zip(keys, batch.column("_t").to_pylist(), batch.column("_last").to_pylist(), strict=True):
+                if k != key:
+                    key, at = k, None
+                stays = at is None or t >= at + gap
+                at = t if stays else at
+                flags.append(stays or keep_last and last)
+            yield batch.select([*by, date, "_t"]).filter(pa.array(flags, pa.bool_()))
+
+    kept = _streamed(dates, by, [F.col("_t")]).select(*by, date, "_t", "_last")
+    schema = T.StructType([f for f in kept.schema.fields if f.name != "_last"])
+    kept = kept.mapInArrow(keep, schema)
+    if latest is not None:
+        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_t")))).where(F.col("_n") <= latest)
+    return kept.select(*by, date)

@@ -55,7 +55,7 @@ def greedy(source: str, key: str, order: str, start: str, end: str) -> str:
     keys = [k.strip() for k in key.split(",")]
     same = " AND ".join(f"o.{k} = k.{k}" for k in keys)
     on = ", ".join(f"k.{k}" for k in keys)
-    return f"""ordered AS (SELECT *, {start} AS s, {end} AS e, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM {source}),
+    return f"""ordered AS MATERIALIZED (SELECT *, {start} AS s, {end} AS e, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM {source}),
 kept AS (
   SELECT {key}, rn, e FROM ordered WHERE rn = 1
   UNION ALL

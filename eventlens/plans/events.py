@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.functions.numeric import borrow_cost, company_state, financing_risk, floor_support, horizon_bucket, knowledge_bucket, whole_days
+from eventlens.functions.numeric import borrow_cost, company_state, financing_risk, floor_support, horizon_bucket, knowledge_bucket, round_trip_cost, whole_days
 from eventlens.functions.outcomes import outcome
 from eventlens.functions.scores import FAMILY_PRIOR, SCHEDULE_SOURCES, SOURCE_PRIORITY, event_scores, source_label
 from eventlens.functions.taxonomy import EVENT_FAMILIES, event_type, is_exact_timing, looked_up, timing_priority, type_bucket
 from eventlens.operators.asof import asof_join, latest
 from eventlens.operators.greedy import greedy_intervals
+from eventlens.operators.rows import once
 from eventlens.session import Thresholds
 
 #: Days before the event at which the long-before-event variants enter.
@@ -19,9 +20,8 @@ ENTRY_DAYS = {"pre_20d_plus1d": 20, "pre_10d_plus1d": 10, "pre_5d_plus1d": 5}
 
 def classified(events: DataFrame, at: str) -> DataFrame:
     """Events with family, bucket and timing flags; ``at`` is the time column."""
-    rows = events.withColumn("event_family", event_type(F.col("event_type"), F.col("title")))
-    rows = rows.withColumn("event_bucket", type_bucket(F.col("event_family")))
-    return rows.withColumn("timing_exact", is_exact_timing(F.col("status"), F.col(at), F.col("title")))
+    rows = once(events, {"event_family": event_type(F.col("event_type"), F.col("title")), "timing_exact": is_exact_timing(F.col("status"), F.col(at), F.col("title"))})
+    return rows.withColumn("event_bucket", type_bucket(F.col("event_family")))
 
 
 def event_mentions(catalysts: DataFrame) -> DataFrame:
@@ -38,62 +38,92 @@ def event_mentions(catalysts: DataFrame) -> DataFrame:
         }
     )
     w = Window.partitionBy("event_instance_id")
-    rows = rows.withColumns({"first_seen": F.min("as_of").over(w), "last_seen": F.max("as_of").over(w), "mentions": F.count("*").over(w)})
-    first = F.col("as_of") == F.col("first_seen")
-    exact = F.col("timing_exact") & (F.coalesce("source", F.lit("")) != "")
-    return rows.withColumns(
-        {
-            "first_mentions": F.count_if(first).over(w),
-            "exact_sources": F.size(F.collect_set(F.when(exact, F.col("source"))).over(w)),
-            "first_exact_sources": F.size(F.collect_set(F.when(exact & first, F.col("source"))).over(w)),
-        }
-    )
+    return rows.withColumns({"first_seen": F.min("as_of").over(w), "last_seen": F.max("as_of").over(w)})
 
 
-def _best(rows: DataFrame, recent: bool) -> DataFrame:
-    order = [F.desc("timing_exact"), F.desc("source_priority"), F.desc("importance"), (F.desc if recent else F.asc)("as_of"), F.asc("event_id")]
-    return latest(rows, ["event_instance_id"], order)
+#: What an instance's latest mention tells, beside its first.
+LATEST = ("as_of", "event_id", "source", "status", "title", "importance", "timing_exact")
 
 
-def event_master(catalysts: DataFrame, snapshots: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """One row per event instance as first seen, with context, scores and the cluster control.
+def canonical_events(catalysts: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+    """One row per event instance as first seen (what could be known then), with the latest view as ``latest_`` columns.
 
-    The context is the symbol's last snapshot at or before the first sight; symbols without one get
-    defaults (no look-ahead). Overlapping active windows of a symbol keep the first in order.
+    Of several mentions at the same time the exact one comes first, then the better source, the more important, and
+    the smaller event_id. One shuffle by instance serves the window and the aggregation.
     """
     mentions = event_mentions(catalysts)
-    chosen = _best(mentions.where("as_of = first_seen"), recent=False)
+    first, last = F.col("as_of") == F.col("first_seen"), F.col("as_of") == F.col("last_seen")
+    exact = F.col("timing_exact") & (F.coalesce("source", F.lit("")) != "")
+    order = [(~F.col("timing_exact")).cast("int"), -F.col("source_priority"), -F.col("importance"), F.col("event_id")]
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    own = [c for c in mentions.columns if c not in ("event_instance_id", "first_seen", "last_seen")]
+    rows = mentions.groupBy("event_instance_id", "first_seen", "last_seen").agg(
+        F.count("*").alias("mentions"),
+        F.count_if(first).alias("first_mentions"),
+        F.size(F.collect_set(F.when(exact, F.col("source")))).alias("exact_sources"),
+        F.size(F.collect_set(F.when(exact & first, F.col("source")))).alias("first_exact_sources"),
+        F.min(F.when(first, F.struct(order.alias("o"), F.struct(*own).alias("row")))).alias("chosen"),
+        F.min(F.when(last, F.struct(order.alias("o"), F.struct(*LATEST).alias("row")))).alias("newest"),
+    )
+    rows = rows.select(
+        "event_instance_id", "first_seen", "last_seen", "mentions", "first_mentions", "exact_sources", "first_exact_sources",
+        "chosen.row.*", *[F.col(f"newest.row.{c}").alias(f"latest_{c}") for c in LATEST],
+    )
     strict = F.col("timing_exact") & F.col("source").isin(*SCHEDULE_SOURCES)
     many = F.col("first_exact_sources") >= limits.corroborating_sources
     some = (F.col("first_exact_sources") >= 1) & (F.col("first_mentions") >= 2) & (F.col("source") != "internal_inference")
-    rows = chosen.withColumns({"strict": strict, "corroborated": many | some, "days_until": whole_days(F.col("expected_date"), F.col("first_seen"))})
+    return rows.withColumns({"strict": strict, "corroborated": many | some, "days_until": whole_days(F.col("expected_date"), F.col("first_seen"))})
+
+
+def scored_events(instances: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Event instances with the context of their first sight and scores.
+
+    The context is the symbol's last snapshot at or before the first sight; symbols without one get
+    defaults (no look-ahead).
+    """
     values = ["market_cap", "revenue", "cash", "debt", "products"]
-    rows = asof_join(rows, snapshots.withColumnRenamed("as_of", "snapshot_at"), ["symbol"], "first_seen", "snapshot_at", values)
-    zero = {v: F.coalesce(v, F.lit(0)).cast("double") for v in values}
-    rows = rows.withColumns(zero)
+    rows = asof_join(instances, snapshots.withColumnRenamed("as_of", "snapshot_at"), ["symbol"], "first_seen", "snapshot_at", values)
+    rows = rows.withColumns({v: F.coalesce(v, F.lit(0)).cast("double") for v in values})
     cap, cash, debt, revenue = (F.col(c) for c in ("market_cap", "cash", "debt", "revenue"))
-    rows = rows.withColumns(
+    rows = once(
+        rows,
         {
             "company_state": company_state(F.col("products"), revenue),
             "floor_support": floor_support(cap, cash, debt, revenue),
             "financing_risk": F.when(F.col("snapshot_at").isNull(), 0.65).otherwise(financing_risk(cap, cash, debt, revenue)),
-        }
+        },
     )
     scores = event_scores(F.col("event_family"), F.col("company_state"), F.col("floor_support"), F.col("financing_risk"), F.col("crowdedness"), F.col("days_until"), F.col("source"), F.col("strict"), F.col("corroborated"))
-    rows = rows.withColumns({k: F.round(v, 9) for k, v in scores.items()})
-    rows = rows.withColumns({"horizon_bucket": horizon_bucket(F.col("days_until")), "source_label": source_label(F.col("source"))})
-    start = F.greatest(F.col("first_seen"), F.col("expected_date") - F.expr(f"INTERVAL {limits.max_lookback_days} DAYS"))
-    end = F.col("expected_date") + F.expr(f"INTERVAL {limits.post_window_days} DAYS")
+    return once(rows, {k: F.round(v, 9) for k, v in scores.items()}).withColumns({"horizon_bucket": horizon_bucket(F.col("days_until")), "source_label": source_label(F.col("source"))})
+
+
+def cluster_controls(matched: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+    """Events of which a symbol has no two active windows at a time: active, blocked_by, cluster_reason, deployable.
+
+    A window runs from the first sight, or ``max_lookback_days`` before the date, to ``post_window_days`` after the matched
+    outcome, or after the date where none is matched.
+    """
+    days = lambda n: F.expr(f"INTERVAL {n} DAYS")
+    start = F.greatest(F.col("first_seen"), F.col("expected_date") - days(limits.max_lookback_days))
+    end = F.coalesce("matched_at", "expected_date") + days(limits.post_window_days)
     order = [start, (~F.col("strict")).cast("int"), -F.col("source_priority"), -F.col("pre_event_score"), -F.col("importance"), F.col("expected_date"), F.col("event_instance_id")]
-    rows = greedy_intervals(rows, ["symbol"], order, start, end, "event_instance_id")
+    rows = greedy_intervals(matched, ["symbol"], order, start, end, "event_instance_id")
     low, high = limits.deployable_days
-    return rows.withColumn("deployable", F.col("strict") & F.col("days_until").between(low, high) & F.col("active"))
+    reason = F.when(F.col("first_seen").isNull() | F.col("expected_date").isNull(), "invalid_cluster_window").when(~F.col("active"), "overlapping_active_event_window")
+    return rows.withColumns({"cluster_reason": reason, "deployable": F.col("strict") & F.col("days_until").between(low, high) & F.col("active")})
+
+
+def event_master(catalysts: DataFrame, snapshots: DataFrame, tape: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+    """One row per event instance: first and latest view, context, scores, matched outcome, cluster control."""
+    scored = scored_events(canonical_events(catalysts, limits), snapshots)
+    return cluster_controls(match_outcomes(scored, outcome_master(tape)), limits)
 
 
 def outcome_master(tape: DataFrame) -> DataFrame:
-    """Tape events with family, bucket and the outcome their text tells, once per (symbol, id, time, source)."""
+    """Tape events with family, bucket, timing priority and the outcome their text tells, once per (symbol, id, time, source)."""
     rows = classified(tape.where("event_timestamp is not null"), "event_timestamp")
-    rows = rows.withColumn("outcome_label", outcome(F.col("event_family"), F.col("event_bucket"), F.col("title"), F.col("status")))
+    status, at, title = F.col("status"), F.col("event_timestamp"), F.col("title")
+    rows = once(rows, {"outcome_label": outcome(F.col("event_family"), F.col("event_bucket"), title, status), "timing_priority": timing_priority(status, at, title)})
     return latest(rows, ["symbol", "event_id", "event_timestamp", "source"], [F.asc("title")])
 
 
@@ -102,39 +132,38 @@ def match_outcomes(master: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     Candidates share symbol and bucket and lie in a band around the expected date; the tight band comes before
     the standard one for exact events, the standard before the wide one for others. Within a band:
-    same type first, then timing priority, then nearness. One equi-join with a band condition.
+    same type first, then timing priority, then nearness. The join is on symbol, bucket and a stretch of as many days as the
+    widest band has (an event meets two stretches), so a symbol of many events does not meet all its outcomes.
     """
-    exact = is_exact_timing(F.col("e.status"), F.col("e.expected_date"), F.col("e.title"))
     days = lambda n: F.expr(f"INTERVAL {n} DAYS")
-    t, at, since = F.col("o.event_timestamp"), F.col("e.expected_date"), F.col("e.first_seen")
+    t, at, since = F.col("event_timestamp"), F.col("expected_date"), F.col("first_seen")
     inside = lambda back, ahead: (t >= F.greatest(since, at - days(back))) & (t <= at + days(ahead))
-    band = F.when(exact, F.when(inside(2, 10), 0).when(inside(5, 21), 1)).otherwise(F.when(inside(5, 21), 1).when(inside(14, 30), 2))
-    pairs = (
-        master.alias("e")
-        .join(outcomes.where("outcome_label is not null").alias("o"), (F.col("e.symbol") == F.col("o.symbol")) & (F.col("e.event_bucket") == F.col("o.event_bucket")) & inside(14, 30))
-        .select(
-            F.col("e.event_instance_id").alias("event_instance_id"),
-            band.alias("band"),
-            (F.col("o.event_type") == F.col("e.event_family")).cast("int").alias("same"),
-            timing_priority(F.col("o.status"), t, F.col("o.title")).alias("priority"),
-            F.abs(F.unix_timestamp(t) - F.unix_timestamp(at)).alias("distance"),
-            F.col("o.event_id").alias("matched_id"),
-            t.alias("matched_at"),
-            F.col("o.outcome_label").alias("matched_label"),
-        )
-        .where("band is not null")
+    stretch = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / (45 * 86400))
+    band = F.when(F.col("timing_exact"), F.when(inside(2, 10), 0).when(inside(5, 21), 1)).otherwise(F.when(inside(5, 21), 1).when(inside(14, 30), 2))
+    events = master.select(F.struct(*master.columns).alias("e"), "symbol", "event_bucket", "event_family", "timing_exact", "expected_date", "first_seen", "event_instance_id")
+    events = events.withColumn("stretch", F.explode(F.sequence(stretch(at - days(14)), stretch(at + days(30)))))
+    labelled = outcomes.where("outcome_label is not null").select(
+        F.col("symbol").alias("s"), F.col("event_bucket").alias("b"), stretch(t).alias("x"), "event_timestamp", "event_type", "timing_priority", "event_id", "outcome_label"
     )
-    best = latest(pairs, ["event_instance_id"], [F.asc("band"), F.desc("same"), F.desc("priority"), F.asc("distance"), F.asc("matched_id"), F.asc("matched_at")])
-    names = F.element_at(F.array(F.lit("tight"), F.lit("standard"), F.lit("wide")), F.col("band") + 1)
-    return master.join(best.select("event_instance_id", "matched_id", "matched_at", "matched_label", names.alias("matched_window")), "event_instance_id", "left")
+    same = (F.col("symbol") == F.col("s")) & (F.col("event_bucket") == F.col("b")) & (F.col("stretch") == F.col("x")) & inside(14, 30)
+    best = F.struct(
+        band.alias("band"), (-(F.col("event_type") == F.col("event_family")).cast("int")).alias("same"), (-F.col("timing_priority")).alias("priority"),
+        F.abs(F.unix_timestamp(t) - F.unix_timestamp(at)).alias("distance"), F.col("event_id").alias("matched_id"), t.alias("matched_at"), F.col("outcome_label").alias("matched_label"),
+    )
+    found = events.join(labelled, same, "left").groupBy("event_instance_id").agg(F.first("e").alias("e"), F.min(F.when(band.isNotNull(), best)).alias("m"))
+    names = F.when(F.col("m.band") == 0, "tight").when(F.col("m.band") == 1, "standard").when(F.col("m.band") == 2, "wide")
+    return found.select("e.*", "m.matched_id", "m.matched_at", "m.matched_label", names.alias("matched_window"))
 
 
 def _priced(rows: DataFrame, prices: DataFrame, at: str, name: str, direction: str = "forward") -> DataFrame:
     return asof_join(rows, prices, ["symbol"], at, "date", ["close"], direction, prefix=f"{name}_").withColumnRenamed(f"{name}_close", name)
 
 
-def trades(matched: DataFrame, prices: DataFrame, round_trip: float = 0.004) -> DataFrame:
-    """Trade rows of the three sleeves for active events, then greedily non-overlapping per sleeve, variant and symbol."""
+def trades(matched: DataFrame, prices: DataFrame, volatility: float = 0.35) -> DataFrame:
+    """Trade rows of the three sleeves for active events, then greedily non-overlapping per sleeve, variant and symbol.
+
+    Costs follow market value, ``volatility`` (a default where events carry none) and, for shorts, the borrow.
+    """
     events = matched.where("active")
     day = lambda c, n: F.col(c) + F.expr(f"INTERVAL {n} DAYS")
     variants = F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(n).alias("days")) for k, n in ENTRY_DAYS.items()])
@@ -148,11 +177,14 @@ def trades(matched: DataFrame, prices: DataFrame, round_trip: float = 0.004) ->
         }
     )
     rows = pre.drop("days").unionByName(after)
+    keep = ["event_instance_id", "symbol", "event_family", "event_bucket", "market_cap", "financing_risk", "confidence_proxy", "pre_event_score", "horizon_bucket", "timing_exact", "first_seen", "matched_at", "matched_label"]
+    rows = rows.select(*keep, "sleeve", "variant", "entry_at", "exit_at")
     rows = _priced(_priced(_priced(rows, prices, "entry_at", "entry"), prices, "exit_at", "exit"), prices, "matched_at", "anchor", "backward")
     rows = rows.where("entry > 0 and exit is not null and (sleeve <> 'post_event_reaction_long' or anchor > 0)")
     short, post = F.col("sleeve") == "event_short_or_pairs", F.col("sleeve") == "post_event_reaction_long"
     gross = (F.col("exit") / F.col("entry") - 1) * F.when(short, -1).otherwise(1)
-    cost = round_trip + F.when(short, borrow_cost(F.col("financing_risk"), F.lit(0.35))).otherwise(0.0)
+    cost = round_trip_cost(F.col("market_cap"), F.lit(volatility), F.col("event_bucket").isin("clinical", "regulatory"))
+    cost = cost + F.when(short, borrow_cost(F.col("financing_risk"), F.lit(volatility))).otherwise(0.0)
     prior = looked_up(F.col("event_family"), FAMILY_PRIOR, 0.50)
     reaction = 0.12 * F.least(F.greatest(F.col("entry") / F.col("anchor") - 1, F.lit(0.0)), F.lit(0.6))
     score = (
@@ -163,7 +195,7 @@ def trades(matched: DataFrame, prices: DataFrame, round_trip: float = 0.004) ->
     rows = rows.withColumns({"gross_return": F.round(gross, 9), "cost_adjusted_return": F.round(gross - cost, 9), "score": F.round(score, 9)})
     rows = rows.withColumn("knowledge_bucket", knowledge_bucket(whole_days(F.col("entry_at"), F.col("first_seen"))))
     order = [F.col("entry_at"), (~F.col("timing_exact")).cast("int"), -F.col("score"), F.col("event_instance_id")]
-    kept = greedy_intervals(rows.drop("active", "blocked_by"), ["sleeve", "variant", "symbol"], order, F.col("entry_at"), F.col("exit_at"), "event_instance_id")
+    kept = greedy_intervals(rows, ["sleeve", "variant", "symbol"], order, F.col("entry_at"), F.col("exit_at"), "event_instance_id")
     return kept.where("active").select(
         "sleeve", "variant", "symbol", "event_instance_id", "event_family", "entry_at", "exit_at", "gross_return", "cost_adjusted_return", "score", "horizon_bucket", "knowledge_bucket", "timing_exact"
     )

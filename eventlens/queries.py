@@ -12,7 +12,7 @@ from eventlens import oracle as q
 from eventlens.adapters import SQL_CATALYSTS, SQL_EVENTS, SQL_PRICES, SQL_SNAPSHOTS, catalysts, event_tape, prices, snapshots, table
 from eventlens.functions.numeric import bucket, company_state, financing_risk, floor_support, quarter_step, sigmoid
 from eventlens.functions.outcomes import outcome
-from eventlens.functions.scores import SOURCE_PRIORITY
+from eventlens.functions.scores import FAMILY_PRIOR, SCHEDULE_SOURCES, SOURCE_BONUS, SOURCE_PRIORITY
 from eventlens.functions.taxonomy import event_type, is_exact_timing, type_bucket, type_priority
 from eventlens.operators.asof import asof_join, latest
 from eventlens.operators.greedy import greedy_intervals, greedy_spacing
@@ -335,54 +335,133 @@ def greedy_windows(spark, sf):
 
 
 def _master(spark, sf):
-    return ev.event_master(catalysts(spark, sf), snapshots(spark, sf))
+    return ev.event_master(catalysts(spark, sf), snapshots(spark, sf), event_tape(spark, sf))
+
+
+_INSTANCES = f"""{SQL_CATALYSTS}, c AS (SELECT *, {q.family('event_type', 'title')} AS family, {q.exact('status', 'title')} AS exact, {q.lookup("coalesce(source, '')", SOURCE_PRIORITY, 0)} AS sp FROM catalysts),
+  m AS (SELECT *, {q.bucket('family')} AS bucket, concat_ws('|', symbol, program_id, family, strftime(expected_date, '%Y-%m-%d')) AS id FROM c WHERE {q.bucket('family')} IN ('clinical', 'regulatory') AND family IN {q.t.EVENT_FAMILIES}),
+  g AS (SELECT *, min(as_of) OVER w AS first_seen, max(as_of) OVER w AS last_seen, count(*) OVER w AS mentions FROM m WINDOW w AS (PARTITION BY id)),
+  s AS (SELECT id, count(*) FILTER (WHERE as_of = first_seen) AS fm, count(DISTINCT source) FILTER (WHERE exact AND as_of = first_seen) AS fx FROM g GROUP BY 1),
+  newest AS (SELECT id, event_id AS latest_event_id, source AS latest_source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY exact DESC, sp DESC, importance DESC, event_id) AS rn FROM g WHERE as_of = last_seen) WHERE rn = 1),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY exact DESC, sp DESC, importance DESC, event_id) AS rn FROM g WHERE as_of = first_seen),
+  instances AS MATERIALIZED (SELECT r.* EXCLUDE (rn), latest_event_id, latest_source, exact AND coalesce(source, '') IN {SCHEDULE_SOURCES} AS strict,
+    fx >= 2 OR (fx >= 1 AND fm >= 2 AND source <> 'internal_inference') AS corroborated, greatest(date_diff('day', CAST(first_seen AS DATE), CAST(expected_date AS DATE)), 0) AS days_until
+    FROM r JOIN s USING (id) JOIN newest USING (id) WHERE rn = 1)"""
 
 
 @query(
-    f"""WITH {SQL_CATALYSTS}, c AS (SELECT *, {q.family('event_type', 'title')} AS family, {q.exact('status', 'title')} AS exact, {q.lookup("coalesce(source, '')", SOURCE_PRIORITY, 0)} AS sp FROM catalysts),
-    m AS (SELECT *, concat_ws('|', symbol, program_id, family, strftime(expected_date, '%Y-%m-%d')) AS id FROM c WHERE {q.bucket('family')} IN ('clinical', 'regulatory') AND family IN {q.t.EVENT_FAMILIES}),
-    g AS (SELECT *, min(as_of) OVER w AS first_seen, max(as_of) OVER w AS last_seen, count(*) OVER w AS mentions FROM m WINDOW w AS (PARTITION BY id)),
-    s AS (SELECT id, count(*) FILTER (WHERE as_of = first_seen) AS fm, count(DISTINCT source) FILTER (WHERE exact AND as_of = first_seen) AS fx FROM g GROUP BY 1),
-    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY exact DESC, sp DESC, importance DESC, as_of, event_id) AS rn FROM g WHERE as_of = first_seen)
-    SELECT id AS event_instance_id, event_id, family AS event_family, source, exact AS timing_exact, first_seen, last_seen, mentions,
-      fx >= 2 OR (fx >= 1 AND fm >= 2 AND source <> 'internal_inference') AS corroborated, greatest(date_diff('day', CAST(first_seen AS DATE), CAST(expected_date AS DATE)), 0) AS days_until
-    FROM r JOIN s USING (id) WHERE rn = 1"""
+    f"""WITH {_INSTANCES} SELECT id AS event_instance_id, event_id, family AS event_family, source, exact AS timing_exact, first_seen, last_seen, mentions, corroborated, days_until, latest_event_id, latest_source FROM instances"""
 )
 def canonical_events(spark, sf):
-    """One row per event instance as first seen, with mentions and corroboration."""
+    """One row per event instance as first seen, with mentions, corroboration and the latest view."""
     columns = ["event_instance_id", "event_id", "event_family", "source", "timing_exact", "first_seen", "last_seen", "mentions", "corroborated"]
-    return _master(spark, sf).select(*columns, F.col("days_until").cast("long").alias("days_until"))
+    return ev.canonical_events(catalysts(spark, sf)).select(*columns, F.col("days_until").cast("long").alias("days_until"), "latest_event_id", "latest_source")
 
 
-@query()
-def event_master(spark, sf):
-    """The whole event master: context, scores, cluster control."""
-    return _master(spark, sf)
+_MATCHED = f"""tape AS (SELECT *, {q.bucket('f')} AS bucket FROM (SELECT *, {q.family('event_type', 'title')} AS f FROM events_all)),
+  told AS (SELECT DISTINCT ON (symbol, event_id, happened, source) symbol, event_id, happened, event_type, bucket, {q.outcome('f', q.bucket('f'), 'title', 'status')} AS label,
+    CASE WHEN {q.exact('status', 'title')} THEN 2 ELSE 0 END AS tp FROM tape ORDER BY symbol, event_id, happened, source, title),
+  pairs AS (SELECT i.id, o.event_id AS matched_id, o.happened AS matched_at, o.label AS matched_label, o.event_type = i.family AS same, o.tp, abs(epoch(o.happened) - epoch(i.expected_date)) AS away,
+    CASE WHEN exact AND happened BETWEEN greatest(first_seen, expected_date - INTERVAL 2 DAY) AND expected_date + INTERVAL 10 DAY THEN 0
+      WHEN happened BETWEEN greatest(first_seen, expected_date - INTERVAL 5 DAY) AND expected_date + INTERVAL 21 DAY THEN 1
+      WHEN NOT exact AND happened BETWEEN greatest(first_seen, expected_date - INTERVAL 14 DAY) AND expected_date + INTERVAL 30 DAY THEN 2 END AS band
+    FROM instances i JOIN told o ON i.symbol = o.symbol AND i.bucket = o.bucket AND o.label IS NOT NULL),
+  matched AS MATERIALIZED (SELECT * FROM instances LEFT JOIN (SELECT * EXCLUDE (same, tp, away, rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY band, same DESC, tp DESC, away, matched_id, matched_at) AS rn FROM pairs WHERE band IS NOT NULL) WHERE rn = 1) USING (id))"""
 
 
-@query()
+@query(
+    f"""WITH {_INSTANCES}, {_MATCHED} SELECT id AS event_instance_id, matched_id, matched_at, matched_label, CASE band WHEN 0 THEN 'tight' WHEN 1 THEN 'standard' WHEN 2 THEN 'wide' END AS matched_window FROM matched"""
+)
 def matched_outcomes(spark, sf):
     """Events with their best labelled outcome in the band."""
-    matched = ev.match_outcomes(_master(spark, sf), ev.outcome_master(event_tape(spark, sf)))
+    matched = ev.match_outcomes(ev.canonical_events(catalysts(spark, sf)), ev.outcome_master(event_tape(spark, sf)))
     return matched.select("event_instance_id", "matched_id", "matched_at", "matched_label", "matched_window")
 
 
+_PRIOR = q.lookup("family", FAMILY_PRIOR, 0.50)
+_SCORES = f"""context AS (SELECT m.*, s.as_of AS snapshot_at, coalesce(s.market_cap, 0) AS cap, coalesce(s.cash, 0) AS cash, coalesce(s.debt, 0) AS debt, coalesce(s.revenue, 0) AS revenue, coalesce(s.products, 0) AS products
+    FROM matched m ASOF LEFT JOIN snapshots s ON m.symbol = s.symbol AND m.first_seen >= s.as_of),
+  parts AS (SELECT *, {_PRIOR} AS prior, greatest(cap, 1.0) AS base, greatest(cash - debt, 0.0) AS spare,
+    CASE WHEN revenue >= 500000000 THEN 'commercialized' WHEN products > 0 OR revenue >= 75000000 THEN 'commercial_launch' ELSE 'pre_commercial' END AS state,
+    1 - least(abs(days_until - 35.0) / 55.0, 1.0) AS near FROM context),
+  risks AS (SELECT *, least(greatest((spare + 0.35 * revenue) / base, 0.0), 1.25) AS floor,
+    CASE WHEN snapshot_at IS NULL THEN 0.65 ELSE least(greatest((1 - least(greatest(spare / base + 0.35 * revenue / base, 0.0), 1.0)) * 0.70 + least(debt / base, 1.0) * 0.30, 0.0), 1.0) END AS risk FROM parts),
+  scored AS MATERIALIZED (SELECT *, round(least(greatest(prior + {q.lookup("coalesce(source, '')", SOURCE_BONUS, 0.02)} + CASE WHEN strict THEN 0.08 ELSE -0.06 END + CASE WHEN corroborated THEN 0.06 ELSE 0.0 END + 0.10 * near
+      + CASE WHEN state = 'commercialized' AND family IN ('pdufa', 'label_expansion', 'regulatory_update') THEN 0.05 WHEN state = 'pre_commercial' AND family IN {q.t.CLINICAL_TYPES} THEN 0.04 WHEN state = 'commercial_launch' THEN 0.03 ELSE 0.0 END
+      + 0.10 * least(greatest(floor, 0.0), 0.5) - 0.18 * least(greatest(risk, 0.0), 1.0) - 0.08 * least(greatest(crowdedness, 0.0), 1.0), -1.0), 1.5), 9) AS pre_event_score,
+    round(least(greatest(0.38 + 0.25 * prior + CASE WHEN strict THEN 0.12 ELSE -0.08 END + CASE WHEN corroborated THEN 0.08 ELSE 0.0 END + 0.06 * near - 0.12 * risk - 0.06 * crowdedness, 0.0), 1.0), 9) AS confidence,
+    round(least(greatest(prior + CASE WHEN strict THEN 0.08 ELSE -0.05 END + CASE WHEN corroborated THEN 0.05 ELSE 0.0 END - 0.10 * risk - 0.05 * crowdedness, 0.0), 1.0), 9) AS success FROM risks)"""
+_CLUSTERED = q.greedy(
+    "scored", "symbol", "greatest(first_seen, expected_date - INTERVAL 20 DAY), NOT strict, sp DESC, pre_event_score DESC, importance DESC, expected_date, id",
+    "greatest(first_seen, expected_date - INTERVAL 20 DAY)", "coalesce(matched_at, expected_date) + INTERVAL 6 DAY",
+)
+_MASTER = f"""{SQL_SNAPSHOTS}, {_INSTANCES}, {_MATCHED}, {_SCORES}, {_CLUSTERED},
+  placed AS (SELECT o.*, max(k.rn) OVER (PARTITION BY o.symbol ORDER BY o.rn) AS blocker FROM ordered o LEFT JOIN kept k ON k.symbol = o.symbol AND k.rn = o.rn),
+  master AS MATERIALIZED (SELECT p.*, p.rn = p.blocker AS active, CASE WHEN p.rn <> p.blocker THEN b.id END AS blocked_by FROM placed p JOIN ordered b ON b.symbol = p.symbol AND b.rn = p.blocker)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_MASTER} SELECT id AS event_instance_id, symbol, family AS event_family, state AS company_state, round(floor, 9) AS floor_support, round(risk, 9) AS financing_risk, pre_event_score, confidence AS confidence_proxy,
+    success AS success_probability_proxy, matched_label, matched_at, latest_event_id, active, blocked_by, CASE WHEN NOT active THEN 'overlapping_active_event_window' END AS cluster_reason,
+    strict AND days_until BETWEEN 7 AND 90 AND active AS deployable FROM master"""
+)
+def event_master(spark, sf):
+    """The event master: context, scores, matched outcome, cluster control."""
+    rows = _master(spark, sf).withColumns({c: F.round(c, 9) for c in ("floor_support", "financing_risk")})
+    return rows.select(
+        "event_instance_id", "symbol", "event_family", "company_state", "floor_support", "financing_risk", "pre_event_score", "confidence_proxy", "success_probability_proxy",
+        "matched_label", "matched_at", "latest_event_id", "active", "blocked_by", "cluster_reason", "deployable",
+    )
+
+
 def _trades(spark, sf):
-    return ev.trades(ev.match_outcomes(_master(spark, sf), ev.outcome_master(event_tape(spark, sf))), prices(spark, sf))
+    return ev.trades(_master(spark, sf), prices(spark, sf))
+
+
+_TRADES = f"""{SQL_PRICES}, {_MASTER},
+  wanted AS (SELECT *, expected_date - to_days(CAST(n AS INTEGER)) AS entry_at, expected_date + INTERVAL 1 DAY AS exit_at, 'pre_event_long' AS sleeve, 'pre_' || n || 'd_plus1d' AS variant
+      FROM (SELECT *, unnest([20, 10, 5]) AS n FROM master WHERE active AND strict) WHERE first_seen <= expected_date - to_days(CAST(n AS INTEGER))
+    UNION ALL SELECT *, 0, matched_at + INTERVAL 1 DAY, matched_at + INTERVAL 6 DAY, CASE WHEN matched_label = 1 THEN 'post_event_reaction_long' ELSE 'event_short_or_pairs' END,
+      CASE WHEN matched_label = 1 THEN 'post_next_bar_plus5d' ELSE 'short_next_bar_plus5d' END FROM master WHERE active AND matched_label IS NOT NULL),
+  priced AS (SELECT w.* EXCLUDE (rn, s, e), a.close AS entry, b.close AS exit, c.close AS anchor FROM wanted w ASOF LEFT JOIN prices a ON w.symbol = a.symbol AND w.entry_at <= a.date
+    ASOF LEFT JOIN prices b ON w.symbol = b.symbol AND w.exit_at <= b.date ASOF LEFT JOIN prices c ON w.symbol = c.symbol AND w.matched_at >= c.date),
+  paid AS MATERIALIZED (SELECT *, (exit / entry - 1) * CASE WHEN sleeve = 'event_short_or_pairs' THEN -1 ELSE 1 END AS gross,
+    (CASE WHEN cap <= 0 THEN 275.0 WHEN cap < 250000000 THEN 425.0 WHEN cap < 1000000000 THEN 220.0 WHEN cap < 5000000000 THEN 110.0 ELSE 45.0 END + 125.0 + 35.0) / 10000.0
+      + CASE WHEN sleeve = 'event_short_or_pairs' THEN 0.002 + 0.008 * risk + 0.003 * 0.35 ELSE 0.0 END AS cost,
+    round(CASE sleeve WHEN 'event_short_or_pairs' THEN prior + 0.20 * confidence - 0.15 * risk WHEN 'post_event_reaction_long' THEN prior + 0.25 * confidence - 0.12 * least(greatest(entry / anchor - 1, 0.0), 0.6) ELSE pre_event_score END, 9) AS score
+    FROM priced WHERE entry > 0 AND exit IS NOT NULL AND (sleeve <> 'post_event_reaction_long' OR anchor > 0)),
+  {q.greedy("paid", "sleeve, variant, symbol", "entry_at, NOT exact, score DESC, id", "entry_at", "exit_at").replace("ordered", "lined").replace("kept", "held")},
+  trades AS (SELECT l.* FROM lined l JOIN held h ON l.sleeve = h.sleeve AND l.variant = h.variant AND l.symbol = h.symbol AND l.rn = h.rn)"""
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_TRADES} SELECT sleeve, variant, symbol, id AS event_instance_id, family AS event_family, entry_at, exit_at, round(gross, 9) + 0.0 AS gross_return, round(gross - cost, 9) + 0.0 AS cost_adjusted_return, score,
+    CASE WHEN days_until <= 30 THEN '07_30d' WHEN days_until <= 60 THEN '31_60d' WHEN days_until <= 90 THEN '61_90d' WHEN days_until <= 120 THEN '91_120d' ELSE '121d_plus' END AS horizon_bucket, exact AS timing_exact FROM trades"""
+)
 def trade_labels(spark, sf):
     """Non-overlapping trades of the three sleeves."""
-    return _trades(spark, sf)
+    return _trades(spark, sf).drop("knowledge_bucket")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_TRADES}, usable AS (SELECT sleeve, variant, date_trunc('quarter', entry_at) AS win, id AS key, score, round(gross, 9) AS gross, round(gross - cost, 9) AS net FROM trades),
+    rk AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY sleeve, variant, win ORDER BY score DESC, key) AS hi, row_number() OVER (PARTITION BY sleeve, variant, win ORDER BY score, key) AS lo,
+      median(score) OVER w AS med, rank() OVER (PARTITION BY sleeve, variant, win ORDER BY score) + (count(*) OVER (PARTITION BY sleeve, variant, win, score) - 1) / 2.0 AS rx,
+      rank() OVER (PARTITION BY sleeve, variant, win ORDER BY gross) + (count(*) OVER (PARTITION BY sleeve, variant, win, gross) - 1) / 2.0 AS ry FROM usable WINDOW w AS (PARTITION BY sleeve, variant, win)),
+    bundle AS (SELECT sleeve, variant, win, count(*) AS rows, CASE WHEN count(*) < 3 OR corr(rx, ry) IS NULL OR isnan(corr(rx, ry)) THEN 0.0 ELSE corr(rx, ry) END AS rank_ic,
+      avg(CASE WHEN (score >= med) = (net > 0) THEN 1.0 ELSE 0.0 END) AS hit_rate,
+      CASE WHEN count(*) > 1 THEN avg(gross) FILTER (WHERE hi <= greatest(1, n // 5)) - avg(gross) FILTER (WHERE lo <= greatest(1, n // 5)) ELSE 0.0 END AS spread,
+      CASE WHEN count(*) > 1 THEN avg(net) FILTER (WHERE hi <= greatest(1, n // 5)) - avg(net) FILTER (WHERE lo <= greatest(1, n // 5)) ELSE 0.0 END AS net_spread,
+      avg(net) FILTER (WHERE hi <= greatest(1, n // 5)) AS top_net FROM rk GROUP BY 1, 2, 3)
+    SELECT sleeve, variant, CAST(sum(rows) AS BIGINT) AS rows, count(*) AS windows, round(avg(rank_ic), 6) AS rank_ic, round(avg(hit_rate), 6) AS hit_rate, round(avg(spread), 6) AS spread, round(avg(net_spread), 6) AS net_spread,
+      round(avg(top_net), 6) AS top_net, round(quantile_cont(net_spread, 0.1), 6) AS ci_low, round(quantile_cont(net_spread, 0.9), 6) AS ci_high FROM bundle GROUP BY 1, 2"""
+)
 def sleeve_scorecards(spark, sf):
     """Window bundles per sleeve, variant and quarter, then aggregated with confidence bounds."""
     rows = _trades(spark, sf).withColumn("window", F.date_trunc("quarter", "entry_at"))
     windows = window_summary(rows, ["sleeve", "variant", "window"], ["event_instance_id"])
-    return aggregate_windows(windows, ["sleeve", "variant"])
+    out = aggregate_windows(windows, ["sleeve", "variant"])
+    return out.select("sleeve", "variant", "rows", "windows", *[F.round(c, 6).alias(c) for c in out.columns[4:]])
 
 
 # Statistics.
