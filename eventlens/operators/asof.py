@@ -38,6 +38,32 @@ def asof_join(
     return seen.select("_left.*", found.alias("_m")).select("*", F.col("_m._at").alias(f"{prefix}{right_on}"), *[F.col(f"_m.{v}").alias(f"{prefix}{v}") for v in values]).drop("_m")
 
 
+def nearest_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, value: str) -> DataFrame:
+    """Every left row with the ``value`` of the right row nearest in time; ties to the smaller value.
+
+    Of right rows at one time the smallest value counts. Two as-of passes, so no key meets all its rows.
+    """
+    points = right.groupBy(*by, right_on).agg(F.min(value).alias(value))
+    both = asof_join(left, points, by, left_on, right_on, [value], prefix="_b_")
+    both = asof_join(both, points, by, left_on, right_on, [value], "forward", prefix="_f_")
+    gap = lambda p: F.abs(F.unix_micros(F.col(f"{p}{right_on}").cast("timestamp")) - F.unix_micros(F.col(left_on).cast("timestamp")))
+    side = lambda p: F.when(F.col(f"{p}{value}").isNotNull(), F.struct(gap(p).alias("gap"), F.col(f"{p}{value}").alias("value")))
+    return both.withColumn(value, F.least(side("_b_"), side("_f_"))["value"]).drop(*[f"{p}{c}" for p in ("_b_", "_f_") for c in (right_on, value)])
+
+
+def carried_forward(rows: DataFrame, dates: DataFrame, by: list[str], at: str, date: str, days: int) -> DataFrame:
+    """Per date and key the latest row at or before the date and at most ``days`` old: the columns of ``rows`` and ``date``.
+
+    Rows and dates meet by stretches of ``days``, two for each row, so no pair of far-away ones is looked at.
+    """
+    stretch = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (days * 86400))
+    near = (F.col(at) <= F.col(date)) & (F.col(at) >= F.col(date) - F.expr(f"INTERVAL {days} DAYS"))
+    left = rows.select("*", F.explode(F.array(stretch(at), stretch(at) + 1)).alias("_x"))
+    right = dates.select(date).distinct().withColumn("_x", stretch(date))
+    pairs = left.join(right, "_x").where(near).drop("_x")
+    return pairs.groupBy(date, *by).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns if c not in by]), F.col(at)).alias("_r")).select(date, *by, "_r.*")
+
+
 def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row per key in a total order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")

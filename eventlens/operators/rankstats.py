@@ -64,3 +64,20 @@ def aggregate_windows(windows: DataFrame, by: list[str]) -> DataFrame:
         F.percentile("net_spread", 0.1).alias("ci_low"),
         F.percentile("net_spread", 0.9).alias("ci_high"),
     )
+
+
+def peer_summary(rows: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
+    """Per row, over the other rows of its group: peers, peer_median of the value, share_below (at or below one's own).
+
+    Windows over one sort per group: leaving a row out shifts the middle ranks by at most one, so no pair of rows is formed.
+    Rows without peers or value are left out; ties of the value are ordered by ``key``.
+    """
+    w, sort = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value, key)
+    ranked = rows.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(sort), "_n": F.count("*").over(w)})
+    upto = F.count("*").over(Window.partitionBy(*by).orderBy(value))  # range frame: all ties count
+    low, high = F.floor(F.col("_n") / 2), F.floor((F.col("_n") + 1) / 2)  # middle ranks of the n - 1 others
+    at = {f"_v{i}": F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + i, F.col(value))).over(w) for i in (0, 1, 2)}
+    ranked = ranked.withColumns(at).withColumn("_upto", upto).where("_n > 1")
+    pick = lambda rank: F.get(F.array("_v0", "_v1", "_v2"), (rank + F.when(F.col("_r") <= rank, 1).otherwise(0) - F.floor(F.col("_n") / 2)).cast("int"))
+    out = ranked.withColumns({"peers": F.col("_n") - 1, "peer_median": (pick(low) + pick(high)) / 2, "share_below": (F.col("_upto") - 1) / (F.col("_n") - 1)})
+    return out.drop("_r", "_n", "_upto", *at)

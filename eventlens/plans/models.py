@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,21 +33,21 @@ def feature_columns(columns: list[str], ids: tuple[str, ...]) -> list[str]:
     return [c for c in columns if c not in ids and not c.startswith(("target_", "meta_"))]
 
 
-def fit_ridge(rows: DataFrame, features: list[str], target: str, alpha: float = 1.5) -> Ridge:
-    """Least squares with an alpha penalty on standardised features; one aggregation of p * p sums, solved on the driver."""
-    names = [f"_x{i}" for i in range(len(features))]
-    x = rows.where(F.col(target).isNotNull()).select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(n) for f, n in zip(features, names, strict=True)], F.col(target).cast("double").alias("_y"))
-    both = [*names, "_y"]
-    pairs = [(a, b) for i, a in enumerate(both) for b in both[i:]]
-    sums = x.agg(F.count("*").alias("n"), *[F.sum(a).alias(f"s_{a}") for a in both], *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs]).first()
-    n, p = sums["n"], len(features)
+def _sums(rows: DataFrame, features: list[str], target: str) -> tuple[DataFrame, list]:
+    """Rows with numbered features and target, and the aggregates of a Gram matrix over them."""
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features] + [F.col(target).cast("double")]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    return rows.where(F.col(target).isNotNull()), [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs]]
+
+
+def _solve(features: list[str], sums: np.ndarray, alpha: float) -> Ridge:
+    """The model from n, the sums and the products of all pairs, in the order of ``_sums``."""
+    p, n = len(features), sums[0]
     if not n:
         return Ridge(tuple(features), np.zeros(p), np.ones(p), np.zeros(p), 0.0)
-    mean = np.array([sums[f"s_{a}"] for a in both]) / n
-    cross = np.zeros((p + 1, p + 1))
-    for a, b in pairs:
-        i, j = both.index(a), both.index(b)
-        cross[i, j] = cross[j, i] = sums[f"p_{a}_{b}"] / n - mean[i] * mean[j]
+    mean, cross = sums[1 : p + 2] / n, np.zeros((p + 1, p + 1))
+    cross[np.triu_indices(p + 1)] = sums[p + 2 :] / n
+    cross = np.triu(cross) + np.triu(cross, 1).T - np.outer(mean, mean)
     scale = np.sqrt(np.maximum(np.diag(cross)[:p], 0.0))
     scale[scale < 1e-12] = 1.0
     gram = n * cross[:p, :p] / np.outer(scale, scale)
@@ -54,17 +55,36 @@ def fit_ridge(rows: DataFrame, features: list[str], target: str, alpha: float =
     return Ridge(tuple(features), mean[:p], scale, weights, float(mean[p]))
 
 
-def walk_forward(rows: DataFrame, date: str, features: list[str], target: str, tests: list, embargo_days: int = 90, alpha: float = 1.5) -> DataFrame:
-    """Rows of every test date with the prediction of a model fitted on rows whose target had matured by then.
+def fit_ridge(rows: DataFrame, features: list[str], target: str, alpha: float = 1.5) -> Ridge:
+    """Least squares with an alpha penalty on standardised features; one aggregation of p * p sums, solved on the driver."""
+    used, sums = _sums(rows, features, target)
+    return _solve(features, np.array([x or 0.0 for x in used.agg(*sums).first()], float), alpha)
+
+
+def walk_forward(rows: DataFrame, date: str, features: list[str], target: str, embargo_days: int = 90, alpha: float = 1.5) -> DataFrame:
+    """Rows with the prediction of a model fitted on rows whose target had matured by their date.
 
-    Training rows end ``embargo_days`` before the test date, so no label looks past it.
+    Training rows end ``embargo_days`` before the test date, so no label looks past it. One aggregation gives the
+    sums of every date; the models of all dates come from their running totals (a row per date on the driver), and one
+    join by date brings the coefficients back.
     """
-    out = None
+    used, sums = _sums(rows, features, target)
+    per_date = sorted(used.groupBy(date).agg(*sums).collect(), key=lambda r: r[0])
+    tests = sorted(r[0] for r in rows.select(date).distinct().collect())
+    totals, done, models = np.zeros(len(sums)), 0, []
     for test in tests:
-        model = fit_ridge(rows.where(F.col(date) <= F.lit(test) - F.expr(f"INTERVAL {embargo_days} DAYS")), features, target, alpha)
-        part = rows.where(F.col(date) == F.lit(test)).withColumn("prediction", model.predict())
-        out = part if out is None else out.unionByName(part)
-    return out
+        while done < len(per_date) and per_date[done][0] <= test - timedelta(days=embargo_days):
+            totals = totals + np.array(per_date[done][1:], float)
+            done += 1
+        model = _solve(features, totals, alpha)
+        slopes = np.asarray(model.weights) / np.asarray(model.scales)
+        models.append((test, float(model.bias - (slopes * model.means).sum()), [float(x) for x in slopes]))
+    kind = rows.schema[date].dataType.simpleString()
+    table = rows.sparkSession.createDataFrame(models, f"{date} {kind}, _bias double, _slopes array<double>")
+    score = F.col("_bias")
+    for i, f in enumerate(features):
+        score = score + F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * F.get("_slopes", F.lit(i))
+    return rows.join(F.broadcast(table), date).withColumn("prediction", score).drop("_bias", "_slopes")  # one row per date
 
 
 def without(rows: DataFrame, prefix: str) -> DataFrame:

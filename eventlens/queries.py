@@ -13,10 +13,11 @@ from eventlens.adapters import SQL_CATALYSTS, SQL_EVENTS, SQL_PRICES, SQL_SNAPSH
 from eventlens.functions.numeric import bucket, company_state, financing_risk, floor_support, quarter_step, sigmoid
 from eventlens.functions.outcomes import outcome
 from eventlens.functions.scores import FAMILY_PRIOR, SCHEDULE_SOURCES, SOURCE_BONUS, SOURCE_PRIORITY
+from eventlens.functions.evidence import EVIDENCE_STOPS, EVIDENCE_WEIGHTS, best_evidence, tokens
 from eventlens.functions.taxonomy import event_type, is_exact_timing, type_bucket, type_priority
 from eventlens.operators.asof import asof_join, latest
 from eventlens.operators.greedy import greedy_intervals, greedy_spacing
-from eventlens.operators.rankstats import aggregate_windows, average_rank, spearman, window_summary
+from eventlens.operators.rankstats import aggregate_windows, average_rank, peer_summary, spearman, window_summary
 from eventlens.plans import events as ev
 from eventlens.plans import labels as lb
 
@@ -53,31 +54,30 @@ def event_taxonomy(spark, sf):
     ).agg(F.count("*").alias("n"))
 
 
-@query(
-    """SELECT doc_id, len(list_distinct(w)) AS n_tokens, array_to_string(list_sort(list_distinct(w))[1:3], ' ') AS first_tokens FROM (
-      SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 4 OR regexp_matches(x, '[0-9]')) AS w FROM documents)"""
-)
+_TOKENS = f"""list_distinct(list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]+'), lambda x: rtrim(x, '-')), lambda x: NOT list_contains({list(EVIDENCE_STOPS)}, x) AND (len(x) >= 4 OR regexp_matches(x, '[0-9]'))))"""
+
+
+@query(f"SELECT doc_id, len(w) AS n_tokens, array_to_string(list_sort(w)[1:3], ' ') AS first_tokens FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)")
 def evidence_tokens(spark, sf):
-    """Distinct evidence tokens of a text: four letters or more, or with a digit."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    kept = F.array_sort(F.array_distinct(F.filter(words, lambda x: (F.length(x) >= 4) | x.rlike("[0-9]"))))
+    """Distinct evidence tokens of a text: no stop words, four characters or more, or with a digit."""
+    kept = F.array_sort(tokens(F.col("text")))
     return table(spark, sf, "documents").select("doc_id", F.size(kept).cast("long").alias("n_tokens"), F.concat_ws(" ", F.slice(kept, 1, 3)).alias("first_tokens"))
 
 
 @query(
-    """WITH b AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 4))) AS w FROM benchmark),
-    d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 4))) AS w FROM documents),
-    s AS (SELECT doc_id, item_id, count(*) AS shared FROM b JOIN d USING (w) GROUP BY ALL)
-    SELECT item_id, doc_id, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM s) WHERE rank <= 5"""
+    f"""WITH b AS (SELECT item_id, {_TOKENS} AS w, regexp_extract(lower(text), '[a-z0-9]+') AS name FROM benchmark),
+    i AS (SELECT item_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT item_id, list_sort(w) AS w FROM b)),
+    d AS (SELECT doc_id, unnest({_TOKENS}) AS t FROM documents),
+    s AS (SELECT item_id, doc_id, sum(CASE pos % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 1.5 END) AS shared FROM i JOIN d USING (t) GROUP BY ALL),
+    n AS (SELECT s.item_id, s.doc_id, shared + CASE WHEN length(name) > 0 AND contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), name) THEN 4.0 ELSE 0.0 END AS score FROM s JOIN b USING (item_id) JOIN documents USING (doc_id))
+    SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM n) WHERE rank <= 5"""
 )
 def evidence_match(spark, sf):
-    """Token-overlap scoring: the five documents that share most tokens with each benchmark text."""
-    words = lambda: F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.length(x) >= 4)))
-    items = table(spark, sf, "benchmark").select("item_id", words().alias("w"))
-    docs = table(spark, sf, "documents").select("doc_id", words().alias("w"))
-    shared = docs.join(items, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))
-    return shared.withColumn("rank", rank.cast("long")).where("rank <= 5")
+    """Weighted token overlap: the five documents of the highest score for each benchmark text, its tokens in three weight classes."""
+    items = table(spark, sf, "benchmark").select("item_id", F.regexp_extract(F.lower("text"), "[a-z0-9]+", 0).alias("name"), F.posexplode(F.array_sort(tokens(F.col("text")))).alias("at", "token"))
+    items = items.select("item_id", "name", "token", F.element_at(F.array(*[F.lit(w) for w in EVIDENCE_WEIGHTS]), F.when(F.col("at") % 3 == 2, 1).when(F.col("at") % 3 == 0, 2).otherwise(3)).alias("weight"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return best_evidence(items, docs, ["item_id"], "doc_id", 5)
 
 
 # Scalar columns.
@@ -180,12 +180,8 @@ def anti_and_semi(spark, sf):
 def peer_stats(spark, sf):
     """Peers of the same stage and date: median multiple and share of peers at or below one's own."""
     rows = snapshots(spark, sf).select("symbol", "as_of", F.floor(F.col("products") / 3).alias("stage"), (F.col("market_cap") / F.greatest("revenue", F.lit(1.0))).alias("multiple"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.as_of") == F.col("b.as_of")) & (F.col("a.stage") == F.col("b.stage")) & (F.col("a.symbol") != F.col("b.symbol")))
-    below = F.avg((F.col("b.multiple") <= F.col("a.multiple")).cast("double"))
-    return pairs.groupBy(F.col("a.symbol").alias("symbol"), F.col("a.as_of").alias("as_of")).agg(
-        F.count("*").alias("peers"), F.round(F.median("b.multiple"), 6).alias("peer_median"), F.round(below, 6).alias("share_below")
-    )
+    out = peer_summary(rows, ["as_of", "stage"], "symbol", "multiple")
+    return out.select("symbol", "as_of", "peers", F.round("peer_median", 6).alias("peer_median"), F.round("share_below", 6).alias("share_below"))
 
 
 # Dedup and top rows.
@@ -280,13 +276,62 @@ def event_window_return(spark, sf):
 
 
 @query(
-    f"""WITH {SQL_PRICES}, c AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS change FROM prices)
-    SELECT symbol, date, round(CASE WHEN count(change) OVER w >= 10 THEN stddev_samp(change) OVER w END, 3) AS volatility FROM c
-    WINDOW w AS (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 63 DAY PRECEDING AND CURRENT ROW)"""
+    f"""WITH {SQL_PRICES}, c AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS change FROM prices),
+    l AS (SELECT symbol, date, list(change ORDER BY date) OVER (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 63 DAY PRECEDING AND CURRENT ROW) AS inside FROM c)
+    SELECT symbol, date, round(CASE WHEN len(inside) > 10 THEN list_stddev_samp(inside[2:]) END, 8) AS volatility FROM l"""
 )
 def rolling_volatility(spark, sf):
-    """Sample deviation of the changes of the last 63 days."""
-    return lb.volatility(prices(spark, sf)).withColumn("volatility", F.round("volatility", 3))
+    """Sample deviation of the changes inside the last 63 days."""
+    return lb.volatility(prices(spark, sf)).withColumn("volatility", F.round("volatility", 8))
+
+
+@query(
+    f"""WITH {SQL_PRICES}, {SQL_SNAPSHOTS}, b AS (SELECT symbol, as_of, as_of - INTERVAL 60 DAY AS earlier FROM snapshots)
+    SELECT b.symbol, b.as_of, round(CASE WHEN y.close > 0 THEN x.close / y.close - 1 END, 9) AS trailing_return FROM b ASOF LEFT JOIN prices x ON b.symbol = x.symbol AND b.as_of >= x.date
+    ASOF LEFT JOIN prices y ON b.symbol = y.symbol AND b.earlier >= y.date"""
+)
+def trailing_returns(spark, sf):
+    """Return over the sixty days before each snapshot."""
+    rows = lb.trailing_return(snapshots(spark, sf).select("symbol", "as_of"), prices(spark, sf), "as_of", 60)
+    return rows.select("symbol", "as_of", F.round("trailing_return", 9).alias("trailing_return"))
+
+
+_PRIMARY = f"""lead_events AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, as_of ORDER BY CASE WHEN {q.exact('status', 'title')} THEN 2 ELSE 0 END DESC, {q.lookup('event_type', q.t.PRIORITY.items(), 0)} DESC,
+    importance DESC, expected_date, crowdedness, event_id) AS rn FROM quarterly) WHERE rn = 1)"""
+_QUARTERLY = "quarterly AS (SELECT * REPLACE (date_trunc('quarter', as_of) AS as_of) FROM catalysts)"
+
+
+def _quarterly(spark, sf):
+    """Announced events as the snapshot of their quarter lists them."""
+    return catalysts(spark, sf).withColumn("as_of", F.date_trunc("quarter", "as_of"))
+
+
+@query(
+    f"""WITH {SQL_CATALYSTS}, {_QUARTERLY}, {_PRIMARY} SELECT symbol, as_of, event_id, event_type, expected_date FROM lead_events"""
+)
+def upcoming_primary(spark, sf):
+    """The leading upcoming event of each symbol and snapshot."""
+    return lb.primary_events(_quarterly(spark, sf)).select("symbol", "as_of", "event_id", "event_type", "expected_date")
+
+
+@query(
+    f"""WITH {_RETURNS}, {SQL_CATALYSTS}, {_QUARTERLY}, {_PRIMARY},
+    told AS (SELECT DISTINCT ON (symbol, event_id, happened, source) symbol, event_id, happened, event_type, {q.bucket('f')} AS bucket, {q.outcome('f', q.bucket('f'), 'title', 'status')} AS label,
+      CASE WHEN {q.exact('status', 'title')} THEN 2 ELSE 0 END AS tp FROM (SELECT *, {q.family('event_type', 'title')} AS f FROM events_all) ORDER BY symbol, event_id, happened, source, title),
+    cand AS (SELECT l.symbol, l.as_of, o.label, row_number() OVER (PARTITION BY l.symbol, l.as_of ORDER BY o.event_type = l.event_type DESC, tp DESC, abs(epoch(happened) - epoch(expected_date)), o.event_id) AS rn
+      FROM lead_events l JOIN told o ON l.symbol = o.symbol AND o.bucket = {q.bucket('l.event_type')} AND o.label IS NOT NULL AND happened >= l.as_of AND happened BETWEEN expected_date - INTERVAL 2 DAY AND expected_date + INTERVAL 21 DAY
+      WHERE {q.bucket('l.event_type')} IN ('clinical', 'regulatory')),
+    moved AS (SELECT l.symbol, l.as_of, l.event_id, CASE WHEN x.close > 0 THEN y.close / x.close - 1 END AS reaction FROM (SELECT *, expected_date - INTERVAL 5 DAY AS a, expected_date + INTERVAL 5 DAY AS b FROM lead_events) l
+      ASOF LEFT JOIN prices x ON l.symbol = x.symbol AND l.a >= x.date ASOF LEFT JOIN prices y ON l.symbol = y.symbol AND l.b <= y.date)
+    SELECT r.symbol, r.as_of, m.event_id, round(m.reaction, 9) AS window_return, c.label AS outcome, round(r.return_90d, 9) AS return_90d,
+      CASE WHEN m.event_id IS NULL THEN CAST(coalesce(r.return_90d > 0.08, false) AS INTEGER) ELSE coalesce(c.label, CAST(coalesce(m.reaction > 0.05, false) AS INTEGER)) END AS success,
+      CASE WHEN m.event_id IS NULL THEN 'return_90d_fallback' WHEN c.label IS NOT NULL THEN 'outcome' ELSE 'event_price_reaction' END AS success_source
+    FROM returns r LEFT JOIN moved m USING (symbol, as_of) LEFT JOIN (SELECT * FROM cand WHERE rn = 1) c USING (symbol, as_of)"""
+)
+def success_labels(spark, sf):
+    """Label frame: returns, primary event, reaction, outcome and the success label with its source."""
+    rows = lb.success_labels(snapshots(spark, sf), _quarterly(spark, sf), ev.outcome_master(event_tape(spark, sf)), prices(spark, sf))
+    return rows.select("symbol", "as_of", "event_id", F.round("window_return", 9).alias("window_return"), "outcome", F.round("return_90d", 9).alias("return_90d"), "success", "success_source")
 
 
 @query(

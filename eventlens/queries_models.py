@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventlens.adapters import SQL_SNAPSHOTS, prices, snapshots, table
-from eventlens.operators.asof import latest
+from eventlens.operators.asof import latest, nearest_join
 from eventlens.plans import labels as lb
 from eventlens.plans import models
 from eventlens.queries import query
@@ -18,8 +18,7 @@ def ridge_walk_forward(spark, sf):
     base = snapshots(spark, sf)
     rows = lb.forward_returns(base, prices(spark, sf)).join(base, ["symbol", "as_of"])
     rows = rows.withColumns({"cap": F.log10(F.col("market_cap") + 1), "yield": F.try_divide("revenue", "market_cap"), "net": F.try_divide(F.col("cash") - F.col("debt"), F.col("market_cap"))})
-    tests = [r.as_of for r in base.select("as_of").distinct().orderBy("as_of").collect()]  # one date per quarter
-    out = models.walk_forward(rows, "as_of", ["cap", "yield", "net", "products"], "return_90d", tests)
+    out = models.walk_forward(rows, "as_of", ["cap", "yield", "net", "products"], "return_90d")
     return out.select("symbol", "as_of", F.round("prediction", 6).alias("prediction"), F.round("return_90d", 6).alias("return_90d"))
 
 
@@ -29,11 +28,10 @@ def ridge_walk_forward(spark, sf):
 )
 def nearest_match(spark, sf):
     """Nearest click in time to every purchase of the same user."""
-    rows = table(spark, sf, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = table(spark, sf, "events")
     buys = rows.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("buy"), "ts")
     clicks = rows.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("at"))
-    near = F.min_by("click", F.struct(F.abs(F.col("at") - F.col("ts")), F.col("click")))
-    return buys.join(clicks, "user_id").groupBy("buy").agg(near.alias("click"))
+    return nearest_join(buys, clicks, ["user_id"], "ts", "at", "click").where("click is not null").select("buy", "click")
 
 
 @query(
@@ -101,12 +99,12 @@ def reconciliation(spark, sf):
 
 
 @query(
-    """SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, CAST(sum(round(l_extendedprice * l_quantity)) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey ROWS 19 PRECEDING) AS BIGINT) AS volume FROM lineitem"""
+    """SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, round(avg(round(l_extendedprice * l_quantity)) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey ROWS 19 PRECEDING), 4) AS volume FROM lineitem"""
 )
 def rolling_volume(spark, sf):
-    """Value traded over the last twenty rows."""
+    """Mean value traded over the last twenty rows."""
     w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").rowsBetween(-19, 0)
-    return table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.sum(F.round(F.col("l_extendedprice") * F.col("l_quantity"))).over(w).cast("bigint").alias("volume"))
+    return table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.round(F.avg(F.round(F.col("l_extendedprice") * F.col("l_quantity"))).over(w), 4).alias("volume"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventlens.adapters import SQL_PRICES, SQL_SNAPSHOTS, prices, snapshots, table
-from eventlens.operators.asof import latest
+from eventlens.operators.asof import carried_forward, latest
 from eventlens.plans import portfolio as pf
 from eventlens.queries import query
 from eventlens.sources import filings, tables
@@ -76,7 +76,7 @@ _FACTS = """f AS (SELECT c_nationkey AS k, CAST(date_trunc('quarter', o_orderdat
 
 @query(
     f"""WITH {_FACTS}, a AS (SELECT k, as_of, arg_max(val, until) AS annual FROM x WHERE m = 12 GROUP BY 1, 2),
-    q AS (SELECT k, as_of, CASE WHEN count(*) = 4 THEN sum(val) END AS quarters FROM (SELECT *, row_number() OVER (PARTITION BY k, as_of ORDER BY until DESC) AS rn FROM x WHERE m = 3) WHERE rn <= 4 GROUP BY 1, 2)
+    q AS (SELECT k, as_of, sum(val) * (365.0 / sum(until - start)) AS quarters FROM (SELECT *, row_number() OVER (PARTITION BY k, as_of ORDER BY until DESC) AS rn FROM x WHERE m = 3) WHERE rn <= 4 GROUP BY 1, 2)
     SELECT k, as_of, round(coalesce(annual, quarters), 2) AS value FROM a FULL JOIN q USING (k, as_of)"""
 )
 def trailing_year(spark, sf):
@@ -96,11 +96,12 @@ def instant_value(spark, sf):
 )
 def momentum(spark, sf):
     """Return of the whole tape and of its second half."""
-    c = F.transform(F.sort_array(F.collect_list(F.struct("date", "close"))), lambda x: x["close"])
-    rows = prices(spark, sf).groupBy("symbol").agg(c.alias("c"))
-    last, first = F.element_at("c", -1), F.element_at("c", 1)
-    middle = F.element_at("c", (F.floor(F.size("c") / 2) + 1).cast("int"))
-    return rows.select("symbol", F.round(last / first - 1, 6).alias("whole"), F.round(last / middle - 1, 6).alias("second_half"))
+    n, place = F.count("*").over(Window.partitionBy("symbol")), F.row_number().over(Window.partitionBy("symbol").orderBy("date"))
+    rows = prices(spark, sf).withColumns({"n": n, "place": place}).groupBy("symbol").agg(
+        F.max(F.when(F.col("place") == 1, F.col("close"))).alias("first"), F.max(F.when(F.col("place") == F.col("n"), F.col("close"))).alias("last"),
+        F.max(F.when(F.col("place") == F.floor(F.col("n") / 2) + 1, F.col("close"))).alias("middle"),
+    )
+    return rows.select("symbol", F.round(F.col("last") / F.col("first") - 1, 6).alias("whole"), F.round(F.col("last") / F.col("middle") - 1, 6).alias("second_half"))
 
 
 @query(
@@ -123,18 +124,18 @@ def carry_forward(spark, sf):
     """Per test date and symbol the latest snapshot within 120 days."""
     base = snapshots(spark, sf)
     tests = base.select((F.col("as_of") + F.expr("INTERVAL 40 DAYS")).alias("test")).distinct()
-    near = base.join(F.broadcast(tests), (F.col("as_of") <= F.col("test")) & (F.col("as_of") >= F.col("test") - F.expr("INTERVAL 120 DAYS")))
-    return latest(near, ["test", "symbol"], [F.desc("as_of")]).select("test", "symbol", "as_of", "market_cap")
+    return carried_forward(base, tests, ["symbol"], "as_of", "test", 120).select("test", "symbol", "as_of", "market_cap")
 
 
 @query(
-    f"""WITH {SQL_SNAPSHOTS}, w AS (SELECT symbol, as_of, least(revenue / nullif(market_cap, 0), 0.4) AS c, count(*) OVER (PARTITION BY as_of ORDER BY products RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM snapshots)
+    f"""WITH {SQL_SNAPSHOTS}, n AS (SELECT *, count(*) OVER (PARTITION BY as_of ORDER BY products RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM snapshots),
+    w AS (SELECT symbol, as_of, near, least(revenue / nullif(market_cap, 0) / sqrt(near), 0.4) AS c FROM n)
     SELECT symbol, as_of, near - 1 AS neighbours, round(c * least(1.0, 2.0 / sum(c) OVER (PARTITION BY as_of)), 6) AS target FROM w"""
 )
 def sized_plan(spark, sf):
     """Capped weights scaled to a gross limit, with the number of correlated rows."""
     rows = snapshots(spark, sf).withColumn("w", F.try_divide("revenue", F.col("market_cap")))
-    rows = pf.capped_plan(pf.correlated_shares(rows, ["as_of"], "products", "w", 3), ["as_of"], "w", 0.4, 2.0)
+    rows = pf.capped_plan(pf.correlated_shares(rows, ["as_of"], "products", "w", 3), ["as_of"], "scaled", 0.4, 2.0)
     return rows.select("symbol", "as_of", "neighbours", F.round("target", 6).alias("target"))
 
 

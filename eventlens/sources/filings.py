@@ -38,14 +38,22 @@ def instant_value(facts: DataFrame, by: list[str], as_of: str) -> DataFrame:
 
 
 def trailing_value(facts: DataFrame, by: list[str], as_of: str) -> DataFrame:
-    """Trailing-year value of duration facts: the latest annual one, or the last four quarters when they end later.
+    """Trailing-year value of duration facts ended and filed by ``as_of``, per key.
 
-    Annual spans have 300 to 380 days, quarters 60 to 120; a quarter restated later counts once.
+    The latest annual fact (300 to 380 days) by (end, filed); else the last up to four quarters (60 to 120 days), scaled to
+    365 days; else the latest fact, scaled. Of facts for one quarter end, in order of filing, a later one replaces an
+    earlier one where its span is shorter or its absolute value smaller.
     """
-    known = facts.where((F.col("end") <= F.col(as_of)) & (F.col("filed") <= F.col(as_of))).withColumn("days", F.datediff("end", "start"))
-    annual = known.where("days between 300 and 380").groupBy(*by).agg(F.max_by("val", F.struct("end", "filed")).alias("annual"))
-    last = F.row_number().over(Window.partitionBy(*by, "end").orderBy(F.desc("filed"), F.desc("val")))
+    known = facts.where((F.col("end") <= F.col(as_of)) & (F.col("filed") <= F.col(as_of)) & F.col("start").isNotNull() & F.col("val").isNotNull())
+    known = known.withColumn("days", F.greatest(F.datediff("end", "start"), F.lit(1)))
+    entry = F.struct("filed", "days", "val")
+    ends = known.where("days between 60 and 120").groupBy(*by, "end").agg(F.sort_array(F.collect_list(entry)).alias("e"))  # restatements of one quarter
+    better = lambda old, new: F.when((new["days"] < old["days"]) | (F.abs(new["val"]) < F.abs(old["val"])), new).otherwise(old)
+    chosen = ends.withColumn("q", F.aggregate(F.slice("e", 2, F.greatest(F.size("e") - 1, F.lit(0))), F.get("e", F.lit(0)), better))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("end")))
-    quarters = known.where("days between 60 and 120").withColumn("_l", last).where("_l = 1").withColumn("_p", place).where("_p <= 4")
-    summed = quarters.groupBy(*by).agg(F.when(F.count("*") == 4, F.sum("val")).alias("quarters"))
-    return annual.join(summed, by, "full").select(*by, F.coalesce("annual", "quarters").alias("value"))
+    quarters = chosen.withColumn("_p", place).where("_p <= 4").groupBy(*by).agg((F.sum("q.val") * (365.0 / F.sum("q.days"))).alias("quarters"))
+    latest = known.groupBy(*by).agg(
+        F.max_by(F.when(F.col("days").between(300, 380), F.col("val")), F.when(F.col("days").between(300, 380), F.struct("end", "filed", "val"))).alias("annual"),
+        F.max_by(F.col("val") * (365.0 / F.col("days")), F.struct("end", "filed", "val")).alias("scaled"),
+    )
+    return latest.join(quarters, by, "left").select(*by, F.coalesce("annual", "quarters", "scaled").alias("value"))
