@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _streamed(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+def streamed(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """``df`` with each key in one partition and in order."""
     names = [f"_o{i}" for i in range(len(order))]
     return df.withColumns(dict(zip(names, order, strict=True))).repartition(*by).sortWithinPartitions(*by, *names).drop(*names)
@@ -29,7 +29,7 @@ def greedy_intervals(df: DataFrame, by: list[str], order: list[Column], start: C
     """
     columns = df.columns
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    rows = _streamed(df.withColumns({"_start": micros(start), "_end": micros(end)}), by, order)
+    rows = streamed(df.withColumns({"_start": micros(start), "_end": micros(end)}), by, order)
     schema = T.StructType([*df.schema.fields, T.StructField("active", T.BooleanType()), T.StructField("blocked_by", df.schema[label].dataType)])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +76,7 @@ def greedy_spacing(df: DataFrame, by: list[str], date: str, days: int, keep_last
                 flags.append(stays or keep_last and last)
             yield batch.select([*by, date, "_t"]).filter(pa.array(flags, pa.bool_()))
 
-    kept = _streamed(dates, by, [F.col("_t")]).select(*by, date, "_t", "_last")
+    kept = streamed(dates, by, [F.col("_t")]).select(*by, date, "_t", "_last")
     schema = T.StructType([f for f in kept.schema.fields if f.name != "_last"])
     kept = kept.mapInArrow(keep, schema)
     if latest is not None:
