@@ -144,3 +144,29 @@ def test_columns_of_once_are_not_repeated_in_the_plan(spark):
     assert used._jdf.queryExecution().optimizedPlan().toString().count("THEN one") == 1
     assert sorted((r.c, r.n, r.u) for r in used.collect()) == [("one", 3, "ONE"), ("two", 3, "TWO")]
     assert defaultdict(int, {r.id: 1 for r in df.collect()}) == {0: 1, 1: 1, 2: 1}
+
+
+def test_leaks_overlays_and_names(spark):
+    from eventlens.plans.books import in_field, leaked_columns, overlaid
+
+    assert leaked_columns(["ticker", "target_x", "meta_y", "a"]) == [] and leaked_columns(["a", "market_flow_return_6mo_legacy"]) == ["market_flow_return_6mo_legacy"]
+    df = spark.createDataFrame([(1, None, "x"), (2, 5, None)], "a int, latest_a int, latest_b string")
+    assert [tuple(r) for r in overlaid(df).orderBy("a").collect()] == [(1, "x"), (5, None)]
+    names = spark.createDataFrame([("Acme Therapeutics", "Common Stock", True), ("Acme Steel", "Common Stock", False), ("GenePharma", "Warrant", False), (None, None, False)], "n string, s string, ok boolean")
+    assert all(r.got == r.ok for r in names.select("ok", in_field(F.col("n"), F.col("s")).alias("got")).collect())
+
+
+def test_snapshot_archive_round_trip(spark, tmp_path):
+    from eventlens.sources.snapshots import SNAPSHOT, scan_snapshots, snapshot_tables, write_documents
+
+    event = ("p", "e1", "pdufa", "PDUFA date", "2026-05-01", 10, 0.5, 0.9, 0.2, "exact_sec_filing")
+    doc = ("AB", "Ab Bio", "2026-01-01", 1.0, 2.0, 3.0, 4.0, [("p", "Prog", "antibody", "PHASE2", ["c"], 0.3, 1.0, [])], [("x", "Drug", "ind", 9.0)], [event, event, (*event[:1], "e2", *event[2:9], "phase_timing_estimate")], [], {"is_delisted": "True"})
+    bare = ("CD", "Cd", "2026-01-01", *[None] * 9)
+    docs = spark.createDataFrame([doc, bare], SNAPSHOT)
+    write_documents(docs.withColumn("namespace", F.lit("snapshots")), str(tmp_path / "raw"))
+    (tmp_path / "raw" / "namespace=snapshots" / "broken.json").write_text("{not json")
+    back = scan_snapshots(spark, str(tmp_path / "raw"))
+    tables = {k: v.collect() for k, v in snapshot_tables(back).items()}
+    assert {k: len(v) for k, v in tables.items()} == {"company_snapshots": 2, "programs": 2, "trials": 0, "catalysts": 2, "event_tape": 2, "financing_events": 0, "universe_membership": 2}
+    assert {(r.event_id, r.timing_exact, r.timing_synthetic) for r in tables["event_tape"]} == {("e1", True, False), ("e2", False, True)}
+    assert {(r.ticker, r.is_delisted, r.has_exact_event) for r in tables["universe_membership"]} == {("AB", True, True), ("CD", False, False)}
