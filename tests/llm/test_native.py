@@ -107,8 +107,12 @@ NOTICES = {
 }
 
 
+def licence_words(text):
+    return [w for w in regex.sub(r"[.-]*[^\p{L}\p{N}.-]+[.-]*|[.-]+$|^[.-]+", " ", text.lower()).split(" ") if w]
+
+
 def licence_grams(text):
-    words = [w for w in regex.sub(r"[.-]*[^\p{L}\p{N}.-]+[.-]*|[.-]+$|^[.-]+", " ", text.lower()).split(" ") if w]
+    words = licence_words(text)
     return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]))
 
 
@@ -116,20 +120,21 @@ def brute_licences(docs, sample, held, options=LicenceModel()):
     """The query in plain Python: training in numpy on the same sample, every paragraph scored, templates compared."""
     own = templates()
     families = sorted({f for f, _ in own})
-    rows = [(0, f, licence_grams(t)) for f, t in own] + [(1, None, licence_grams(t)) for t in mentions()] + [(2, None, g) for g in sample]
+    read = lambda t: ((2 * len(licence_words(t)) - 1) ** -0.5, licence_grams(t))
+    rows = [(0, f, read(t)) for f, t in own] + [(1, None, read(t)) for t in mentions()] + [(2, None, g) for g in sample]
     keep = [not h for h in held]
-    features = sorted({g for (k, _, gs), h in zip(rows, keep, strict=True) if k < 2 and h for g in gs if len(g) > 2 or " " in g})
+    features = sorted({g for (k, _, (_, gs)), h in zip(rows, keep, strict=True) if k < 2 and h for g in gs if len(g) > 2 or " " in g})
     at = {g: j for j, g in enumerate(features)}
 
-    def vector(grams):
+    def vector(scale, grams):
         x = np.zeros(len(features) + 1)
         x[-1] = 1
         for g in grams:
             if g in at:
-                x[at[g]] = len(grams) ** -0.5
+                x[at[g]] = scale
         return x
 
-    x = np.array([vector(g) for _, _, g in rows])
+    x = np.array([vector(*g) for _, _, g in rows])
     label = np.array([families.index(f) if f else len(families) for _, f, _ in rows])
     kind, train = np.array([k for k, _, _ in rows]), np.array(keep)
     share = np.zeros(len(rows))
@@ -151,7 +156,7 @@ def brute_licences(docs, sample, held, options=LicenceModel()):
         for at_, piece in enumerate(regex.split(r"\n[ \t\r]*\n|(?<=[.!?:;])[ \t\r]*\n", r.text or "")):
             for unit in [piece, *piece.split("\n")] if "\n" in piece else [piece]:
                 grams = licence_grams(unit)
-                p = soft(vector(grams) @ w)
+                p = soft(vector(*read(unit)) @ w) if grams else np.eye(len(families) + 1)[-1]
                 best = int(p.argmax())
                 if grams and best < len(families) and p[best] >= edge and any(f == families[best] and len(t & set(grams)) >= options.confirm * len(t) for f, t in confirm):
                     found.append((-round(float(p[best]), 9), families[best], at_))
@@ -174,7 +179,7 @@ def test_licence_query_matches_brute_force(spark):
     keys = spark.createDataFrame([(i, *m) for i, m in enumerate(marks)], "i int, kind int, number bigint")
     held = keys.orderBy("i").select(((F.col("kind") > 0) & (F.pmod(F.xxhash64("kind", "number"), F.lit(options.held_out)) == 0)).alias("h"))
     got = scanned(QUERIES["op6_paragraph_classifier"](spark, SF))
-    assert got == brute_licences(docs.collect(), [r.grams for r in sample], [r.h for r in held.collect()])
+    assert got == brute_licences(docs.collect(), [(r.x, r.grams) for r in sample], [r.h for r in held.collect()])
     assert {f for f, _, _ in got.values()} > {None, "mit"}
 
 
