@@ -480,12 +480,12 @@ _TRADES = f"""{SQL_PRICES}, {_MASTER},
 
 
 @query(
-    f"""WITH RECURSIVE {_TRADES} SELECT sleeve, variant, symbol, id AS event_instance_id, family AS event_family, entry_at, exit_at, round(gross, 9) + 0.0 AS gross_return, round(gross - cost, 9) + 0.0 AS cost_adjusted_return, score,
+    f"""WITH RECURSIVE {_TRADES} SELECT sleeve, variant, symbol, id AS event_instance_id, family AS event_family, entry_at, exit_at, round(gross, 9) + 0.0 AS gross_return, round(gross - cost, 9) + 0.0 AS cost_adjusted_return, round(score, 6) AS score,
     CASE WHEN days_until <= 30 THEN '07_30d' WHEN days_until <= 60 THEN '31_60d' WHEN days_until <= 90 THEN '61_90d' WHEN days_until <= 120 THEN '91_120d' ELSE '121d_plus' END AS horizon_bucket, exact AS timing_exact FROM trades"""
 )
 def trade_labels(spark, sf):
     """Non-overlapping trades of the three sleeves."""
-    return _trades(spark, sf).drop("knowledge_bucket")
+    return _trades(spark, sf).drop("knowledge_bucket").withColumn("score", F.round("score", 6))
 
 
 @query(
