@@ -23,7 +23,6 @@ HEADLINES = (
     "Reports financial results for the year",
     "FDA advisory committee votes in favor",
 )
-_TITLE = F.get(F.array(*[F.lit(t) for t in HEADLINES]), (F.col("o_orderkey") % len(HEADLINES)).cast("int"))
 _HEAD = f"([{', '.join(repr(t) for t in HEADLINES)}])[o_orderkey % {len(HEADLINES)} + 1]"
 _NEWS_CASE = "CASE " + " ".join(f"WHEN {q.any_of('h', m)} THEN '{n}'" for n, _, m in feeds.NEWS_TYPES) + f" ELSE {q.inferred('h')} END"
 
@@ -39,9 +38,10 @@ _NEWS_CASE = "CASE " + " ".join(f"WHEN {q.any_of('h', m)} THEN '{n}'" for n, _,
 )
 def news_feed(spark, sf):
     """News rows as events with their guided dates."""
+    headline = F.get(F.array(*[F.lit(t) for t in HEADLINES]), (F.col("o_orderkey") % len(HEADLINES)).cast("int"))
     rows = table(spark, sf, "orders").select(
         "o_orderkey", F.lit("ABC").alias("symbol"), F.when(F.col("o_custkey") % 3 == 0, F.array(F.lit("XYZ"))).otherwise(F.array(F.lit("abc"), F.lit("XYZ"))).alias("symbols"),
-        _TITLE.alias("title"), F.lit("").alias("content"), F.array().cast("array<string>").alias("tags"), F.col("o_orderdate").alias("date"),
+        headline.alias("title"), F.lit("").alias("content"), F.array().cast("array<string>").alias("tags"), F.col("o_orderdate").alias("date"),
     )
     return feeds.news_events(rows).select("o_orderkey", "event_type", "importance", F.col("expected_date").cast("timestamp_ntz").alias("expected_date"), "status")
 
