@@ -70,7 +70,7 @@ def evidence_tokens(spark, sf):
     d AS (SELECT doc_id, unnest({_TOKENS}) AS t FROM documents),
     s AS (SELECT item_id, doc_id, sum(CASE pos % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 1.5 END) AS shared FROM i JOIN d USING (t) GROUP BY ALL),
     n AS (SELECT s.item_id, s.doc_id, shared + CASE WHEN length(name) > 0 AND contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), name) THEN 4.0 ELSE 0.0 END AS score FROM s JOIN b USING (item_id) JOIN documents USING (doc_id))
-    SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM n) WHERE rank <= 5"""
+    SELECT item_id, doc_id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM n) WHERE rank <= 5"""
 )
 def evidence_match(spark, sf):
     """Weighted token overlap: the five documents of the highest score for each benchmark text, its tokens in three weight classes."""

@@ -38,7 +38,7 @@ def execution_feedback(spark, sf):
     f"""WITH {SQL_SNAPSHOTS}, {_SIGNALS}, g AS (SELECT as_of, median(er) AS m, median(crowd) AS v, avg(upside) AS b, bool_or(fin > 0.80) AS blocked FROM signals GROUP BY 1),
     x AS (SELECT as_of, round(least(greatest(CASE WHEN blocked THEN 0.65 ELSE 1.0 END * CASE WHEN b <= -0.15 THEN 0.55 WHEN b <= -0.08 THEN 0.75 ELSE 1.0 END * CASE WHEN m <= -0.12 THEN 0.70 WHEN m <= -0.05 THEN 0.85 ELSE 1.0 END
       * CASE WHEN v >= 0.60 THEN 0.75 WHEN v >= 0.45 THEN 0.90 ELSE 1.0 END, 0.25), 1.0), 9) AS multiplier FROM g)
-    SELECT as_of, multiplier, round(least(100.0, greatest(4.0, 100.0 * multiplier)), 6) AS gross_cap, CASE WHEN multiplier <= 0.60 THEN 'risk_off' WHEN multiplier < 1 THEN 'caution' ELSE 'normal' END AS regime FROM x"""
+    SELECT as_of, CAST(multiplier AS DOUBLE) AS multiplier, CAST(round(least(100.0, greatest(4.0, 100.0 * multiplier)), 6) AS DOUBLE) AS gross_cap, CASE WHEN multiplier <= 0.60 THEN 'risk_off' WHEN multiplier < 1 THEN 'caution' ELSE 'normal' END AS regime FROM x"""
 )
 def exposure_governor(spark, sf):
     """Exposure multiplier and regime per date."""

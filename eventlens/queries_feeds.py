@@ -32,7 +32,7 @@ _NEWS_CASE = "CASE " + " ".join(f"WHEN {q.any_of('h', m)} THEN '{n}'" for n, _,
     c AS (SELECT *, {_NEWS_CASE} AS kind FROM n WHERE NOT other AND {q.any_of('h', feeds.NEWS_VERBS)}),
     g AS (SELECT *, CASE WHEN contains(h, 'q3 2029') THEN DATE '2029-09-30' WHEN contains(h, 'quarter 31') THEN DATE '2031-03-31' WHEN contains(h, '2h-2030') THEN DATE '2030-12-31' END AS period FROM c),
     e AS (SELECT *, CASE WHEN kind IN {feeds.GUIDED_TYPES} AND period >= CAST(published AS DATE) THEN CAST(period AS TIMESTAMP) END AS guided FROM g)
-    SELECT o_orderkey, kind AS event_type, {q.lookup('kind', [(n, i) for n, i, _ in feeds.NEWS_TYPES] + list(feeds.INFERRED_IMPORTANCE), -1.0)} AS importance, coalesce(guided, published) AS expected_date,
+    SELECT o_orderkey, kind AS event_type, CAST({q.lookup('kind', [(n, i) for n, i, _ in feeds.NEWS_TYPES] + list(feeds.INFERRED_IMPORTANCE), -1.0)} AS DOUBLE) AS importance, coalesce(guided, published) AS expected_date,
       CASE WHEN guided IS NULL THEN 'exact_press_release' ELSE 'guided_company_event' END AS status FROM e
     WHERE kind IN {tuple([n for n, _, _ in feeds.NEWS_TYPES] + [n for n, _ in feeds.INFERRED_IMPORTANCE])}"""
 )
@@ -47,7 +47,7 @@ def news_feed(spark, sf):
 
 
 @query(
-    """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CASE o_orderkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 12 END) AS expected_date, CASE WHEN o_orderkey % 2 = 0 THEN 0.60 ELSE 0.55 END AS importance,
+    """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CASE o_orderkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 12 END) AS expected_date, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0.60 ELSE 0.55 END AS DOUBLE) AS importance,
     CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 90 END ELSE CAST(o_orderdate AS DATE) + 85 END AS next_report FROM orders"""
 )
 def report_calendar(spark, sf):
@@ -77,7 +77,7 @@ def price_payload(spark, sf):
 
 @query(
     """WITH t AS (SELECT user_id AS symbol, CASE event_type WHEN 'purchase' THEN 95.0 WHEN 'click' THEN 88.0 ELSE 82.0 END AS priority, event_type AS source FROM events)
-    SELECT symbol, priority, source FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY priority DESC, source) AS rn FROM t) WHERE rn = 1 ORDER BY priority DESC, symbol LIMIT 25"""
+    SELECT symbol, CAST(priority AS DOUBLE) AS priority, source FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY priority DESC, source) AS rn FROM t) WHERE rn = 1 ORDER BY priority DESC, symbol LIMIT 25"""
 )
 def trigger_merge(spark, sf):
     """The most urgent trigger per symbol, the twenty-five most urgent (a cycle's size)."""

@@ -86,7 +86,7 @@ _QUARTER = lambda x: f"least(round_even(greatest({x}, 0.0) * 4, 0) / 4, s.max_we
         WHEN p.weight >= 1 AND s.raw < 1 AND s.before > 0.06 AND s.now > 0.04 THEN {_QUARTER('least(greatest(1.0, p.weight * 0.60), greatest(p.weight, s.raw))')}
         ELSE {_QUARTER('p.weight + (s.raw - p.weight) * CASE WHEN abs(s.raw - p.weight) < 0.75 THEN 0.35 WHEN abs(s.raw - p.weight) < 2.0 THEN 0.55 ELSE 0.80 END')} END AS weight
         FROM path p JOIN steps s ON s.symbol = p.symbol AND s.rn = p.rn + 1))
-    SELECT s.symbol, s.as_of, s.scenario, p.stance, round(s.raw, 6) AS raw_weight, p.weight AS target_weight, s.max_weight FROM steps s JOIN path p USING (symbol, rn)"""
+    SELECT s.symbol, s.as_of, s.scenario, p.stance, round(s.raw, 6) AS raw_weight, CAST(p.weight AS DOUBLE) AS target_weight, CAST(s.max_weight AS DOUBLE) AS max_weight FROM steps s JOIN path p USING (symbol, rn)"""
 )
 def recommendations(spark, sf):
     """Scenario, stance and smoothed weight of every signal, with the empirical edge of its archetype."""
@@ -123,8 +123,8 @@ _ONE = lambda x: f"CASE WHEN contains(lower({x}), 'overall survival') THEN 0.90
 @query(
     f"""WITH x AS (SELECT p_partkey, {_AT(_PHASES, 'p_partkey')} AS phase, {_AT(_ENDPOINTS, 'p_partkey')} AS a, {_AT(_ENDPOINTS, 'p_size')} AS b, p_partkey % 160 AS days FROM part),
     s AS (SELECT *, {_ONE('a')} AS sa, {_ONE('b')} AS sb, CASE WHEN phase = 'PHASE4' THEN 'APPROVED' WHEN regexp_matches(upper(phase), 'PHASE ?3') THEN 'PHASE3' WHEN regexp_matches(upper(phase), 'PHASE ?2') THEN 'PHASE2' ELSE 'PHASE1' END AS norm FROM x)
-    SELECT p_partkey, norm AS phase, CASE norm WHEN 'PHASE1' THEN 2 WHEN 'PHASE2' THEN 3 WHEN 'PHASE3' THEN 4 ELSE 6 END AS rank, CASE norm WHEN 'PHASE1' THEN 0.2 WHEN 'PHASE2' THEN 0.45 WHEN 'PHASE3' THEN 0.75 ELSE 1.0 END AS score,
-      round(least(greatest(0.65 * least(sa, sb) + 0.35 * greatest(sa, sb), 0.25), 0.90), 6) AS endpoint, CASE WHEN days <= 45 THEN '30d' WHEN days <= 120 THEN '90d' ELSE '180d' END AS horizon FROM s"""
+    SELECT p_partkey, norm AS phase, CASE norm WHEN 'PHASE1' THEN 2 WHEN 'PHASE2' THEN 3 WHEN 'PHASE3' THEN 4 ELSE 6 END AS rank, CAST(CASE norm WHEN 'PHASE1' THEN 0.2 WHEN 'PHASE2' THEN 0.45 WHEN 'PHASE3' THEN 0.75 ELSE 1.0 END AS DOUBLE) AS score,
+      CAST(round(least(greatest(0.65 * least(sa, sb) + 0.35 * greatest(sa, sb), 0.25), 0.90), 6) AS DOUBLE) AS endpoint, CASE WHEN days <= 45 THEN '30d' WHEN days <= 120 THEN '90d' ELSE '180d' END AS horizon FROM s"""
 )
 def program_columns(spark, sf):
     """Phase, endpoint quality and horizon of programs."""
