@@ -157,7 +157,7 @@ def ordered_union(spark, sf):
     top = firsts.orderBy("source", "user_id").limit(40)
     from pyspark.sql import Window
 
-    return top.select("user_id", F.row_number().over(Window.orderBy("source", "user_id")).alias("rank"))  # forty rows
+    return top.select("user_id", F.row_number().over(Window.orderBy("source", "user_id")).cast("long").alias("rank"))  # forty rows
 
 
 @query(
