@@ -11,6 +11,7 @@ from eventlens.llm.neardup import near_duplicate_classes
 from eventlens.llm.packing import pack_documents
 from eventlens.llm.pieces import piece_digests
 from eventlens.llm.quality import quality_report
+from eventlens.llm.repair import repair_report
 from eventlens.llm.repeats import ORACLE as REPEATS_SQL
 from eventlens.llm.repeats import repeat_digests
 from eventlens.llm.tokens import tokenizer_file
@@ -60,6 +61,10 @@ def op10_impact_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_stack_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -69,5 +74,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op5_character_ratio, op6_paragraph_classifier, op7_weighted_minhash, op8_suffix_automata, op9_byte_network, op10_impact_ordered)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op5_character_ratio, op6_paragraph_classifier, op7_weighted_minhash, op8_suffix_automata, op9_byte_network, op10_impact_ordered, op11_stack_repair)}
 SQL: dict[str, str] = {"op5_character_ratio": urls_sql(), "op8_suffix_automata": REPEATS_SQL, "op10_impact_ordered": ORACLE}
