@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventlens.llm.chat import ORACLE as CHAT_SQL
+from eventlens.llm.chat import chat_report
 from eventlens.llm.common import ship, table
 from eventlens.llm.language import predict_languages
 from eventlens.llm.licences import scan_licences
@@ -65,6 +67,10 @@ def op11_stack_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_offset_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_report(table(spark, sf_dir, "conversations"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -74,5 +80,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op5_character_ratio, op6_paragraph_classifier, op7_weighted_minhash, op8_suffix_automata, op9_byte_network, op10_impact_ordered, op11_stack_repair)}
-SQL: dict[str, str] = {"op5_character_ratio": urls_sql(), "op8_suffix_automata": REPEATS_SQL, "op10_impact_ordered": ORACLE}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op5_character_ratio, op6_paragraph_classifier, op7_weighted_minhash, op8_suffix_automata, op9_byte_network, op10_impact_ordered, op11_stack_repair, op12_offset_masks)}
+SQL: dict[str, str] = {"op5_character_ratio": urls_sql(), "op8_suffix_automata": REPEATS_SQL, "op10_impact_ordered": ORACLE, "op12_offset_masks": CHAT_SQL}
