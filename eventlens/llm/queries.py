@@ -8,6 +8,8 @@ from eventlens.llm.chat import ORACLE as CHAT_SQL
 from eventlens.llm.chat import chat_report
 from eventlens.llm.common import ship, table
 from eventlens.llm.language import predict_languages
+from eventlens.llm.lexical import ORACLE as LEXICAL_SQL
+from eventlens.llm.lexical import ranked_search
 from eventlens.llm.licences import scan_licences
 from eventlens.llm.neardup import near_duplicate_classes
 from eventlens.llm.packing import pack_documents
@@ -71,6 +73,10 @@ def op12_offset_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(table(spark, sf_dir, "conversations"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -80,5 +86,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op5_character_ratio, op6_paragraph_classifier, op7_weighted_minhash, op8_suffix_automata, op9_byte_network, op10_impact_ordered, op11_stack_repair, op12_offset_masks)}
-SQL: dict[str, str] = {"op5_character_ratio": urls_sql(), "op8_suffix_automata": REPEATS_SQL, "op10_impact_ordered": ORACLE, "op12_offset_masks": CHAT_SQL}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_compression_bands, op2_shortest_pack_first, op3_merge_agenda, op4_wavelet_shards, op5_character_ratio, op6_paragraph_classifier, op7_weighted_minhash, op8_suffix_automata, op9_byte_network, op10_impact_ordered, op11_stack_repair, op12_offset_masks, op13_term_pipeline)}
+SQL: dict[str, str] = {"op5_character_ratio": urls_sql(), "op8_suffix_automata": REPEATS_SQL, "op10_impact_ordered": ORACLE, "op12_offset_masks": CHAT_SQL, "op13_term_pipeline": LEXICAL_SQL}
