@@ -225,6 +225,35 @@ def test_licences_are_found_and_other_texts_left_alone(spark):
     assert all(0.5 < rows[i].probability <= 1 for i in range(len(expect)))
 
 
+HEADERS = [
+    ("apache-2.0", "Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/"),
+    ("gpl-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007"),
+    ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991"),
+    ("agpl-3.0", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."),
+    ("bsd-3-clause", "Copyright (c) 2019, The Authors\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+    ("mpl-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this file,\n * You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("lgpl-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ("apache-2.0", "Dual licensed under MIT or Apache-2.0"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the 'Software'), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"),
+]
+
+
+def test_source_headers_and_copies_of_rows(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("not text rlike '(?i)licen|rights'").limit(80)
+    odd = ["The driver is licensed under terms of the owner.", GRANT[: len(GRANT) // 2], NOTICES["mit"]]
+    texts = [t for _, t in HEADERS] + odd
+    docs = documents(spark, texts, first=10**6).unionByName(base)
+    once = {r.doc_id: r for r in scan_licences(docs).collect()}
+    assert [once[10**6 + i].family for i in range(len(HEADERS))] == [f for f, _ in HEADERS]
+    times = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate((2, 3, 5000)) for x in (10**6 + len(HEADERS) + i, n)]), F.col("doc_id").cast("int"))
+    copies = docs.withColumn("i", F.explode(F.sequence(F.lit(1), F.coalesce(times, F.lit(1))))).drop("i")
+    rows = scan_licences(copies).collect()
+    assert len(rows) == len(once) + 1 + 2 + 4999
+    assert all(tuple(r) == tuple(once[r.doc_id]) for r in rows)
+
+
 def test_licences_of_empty_and_repeated_rows_and_ties(spark):
     docs = documents(spark, [NOTICES["mit"], None, NOTICES["mit"] + "\n" + NOTICES["mit"]]).withColumn("doc_id", F.lit(None).cast("bigint"))
     assert scan_licences(docs.limit(0), options=LicenceModel(steps=1)).count() == 0
