@@ -311,7 +311,8 @@ def repeated_ranges(
     places = places.join(found.where(~often).select("anchor", "segment", "ranges", F.lit(0).cast("bigint").alias("salt")), ["anchor", "segment", "salt"], "left")
     places = places.select("row", "first", F.coalesce("common", "ranges").alias("ranges")).where("ranges is not null")
     shifted = F.transform("ranges", lambda r: F.struct((r["low"] + F.col("first")).alias("low"), (r["high"] + F.col("first")).alias("high")))
-    return places.select("row", shifted.alias("ranges")).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    # a set: rows equal in doc_id and text give the same ranges, which count once
+    return places.select("row", shifted.alias("ranges")).groupBy("row").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
 
 
 def _kept_words(text: str, ranges: list[dict[str, int]] | None, min_words: int) -> tuple[list[bytes], int]:

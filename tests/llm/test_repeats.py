@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.automaton import SuffixAutomaton
 from eventlens.llm.queries import QUERIES
-from eventlens.llm.repeats import remove_repeats, repeat_digests
+from eventlens.llm.repeats import remove_repeats, repeat_digests, repeated_ranges
 
 from .data import AWKWARD, SF, documents
 
@@ -72,6 +72,15 @@ def test_removal_keeps_columns_rows_and_null_ids(spark):
     assert [r.n_removed for r in repeat_digests(twins).collect()] == [50, 50]
 
 
+def test_many_equal_rows_with_null_ids(spark):
+    text = " ".join(f"w{i % 211} x{i}" for i in range(40))
+    many = documents(spark, [text]).selectExpr("cast(null as bigint) as doc_id", "text", "explode(sequence(1, 20000)) as i").drop("i")
+    ranges = repeated_ranges(many).selectExpr("size(ranges) as n").collect()
+    assert len(ranges) == 1 and ranges[0].n < 80  # places of one row, not of all copies
+    found = repeat_digests(many).groupBy("n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in found] == [(80, 80, 20000)]
+
+
 def test_one_very_long_text(spark):
     pick = random.Random(8)
     words = [f"v{pick.randint(0, 10**6)}" for _ in range(120_000)]
