@@ -7,7 +7,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -45,5 +46,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that hold more than one in HEAVY of all rows; there are at most HEAVY of them.
+HEAVY = 10_000
+
+
+def join_heavy(rows: DataFrame, right: DataFrame, key: str, value: str, is_heavy: Column) -> DataFrame:
+    """``rows`` with the ``value`` that ``right`` has for their ``key`` (null: none), however many rows share a key.
+
+    ``is_heavy`` marks the rows of ``right`` whose key is frequent in ``rows``; they must be boundedly many, as they
+    are broadcast. Their rows of ``rows`` are spread over the tasks of the shuffle that brings the others together.
+    """
+    common = right.where(is_heavy).select(key, F.col(value).alias("_common"))
+    rest = right.where(~is_heavy).select(key, value, F.lit(0).cast("bigint").alias("_salt"))
+    salted = rows.join(F.broadcast(common), key, "left")
+    salted = salted.withColumn("_salt", F.when(F.col("_common").isNull(), 0).otherwise(F.monotonically_increasing_id()))
+    return salted.join(rest, [key, "_salt"], "left").select(*rows.columns, F.coalesce("_common", value).alias(value))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import cut
+from eventlens.llm.common import HEAVY, cut, join_heavy
 from eventlens.llm.textops import byte_slices, grams, mix64, text_column, words_of
 
 _COUNTERS = 1 << 16
@@ -385,7 +385,9 @@ def near_duplicate_rows(docs: DataFrame, options: NearDuplicates = NearDuplicate
     cells = _cells(members, components(links), options.part).join(sets, "node")
     more = cut(_links_of_cells(cells, weights, options))
     classes = components(links.unionByName(more))
-    return rows.select("row", "doc_id", "node").join(classes, "node", "left")
+    frequent = F.col("copies") > rows.count() / HEAVY  # at most HEAVY nodes
+    known = nodes.select("node", "copies").join(classes, "node")
+    return join_heavy(rows.select("row", "doc_id", "node"), known, "node", "component", frequent)
 
 
 def near_duplicate_classes(docs: DataFrame, options: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -399,7 +401,10 @@ def near_duplicate_classes(docs: DataFrame, options: NearDuplicates = NearDuplic
     rows = near_duplicate_rows(docs, options).withColumn("own", F.coalesce("component", "node"))
     alone = rows.where("own is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
     per_class = rows.where("own is not null").groupBy("own").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.where("own is not null").join(per_class, "own").select("doc_id", "class_id", "class_size").unionByName(alone)
+    per_class = cut(per_class.select("own", F.struct("class_id", "class_size").alias("found")))
+    total = per_class.agg(F.sum("found.class_size").alias("n")).first().n or 0
+    found = join_heavy(rows.where("own is not null").select("doc_id", "own"), per_class, "own", "found", F.col("found.class_size") > total / HEAVY)
+    return found.select("doc_id", "found.class_id", "found.class_size").unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, options: NearDuplicates = NearDuplicates()) -> DataFrame:
