@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventlens.functions.taxonomy import has_any
+from eventlens.operators.markers import has_bit, marker_bits
 
 # Phrase lists.
 CLINICAL_GOOD = (
@@ -39,23 +39,33 @@ PANEL_BAD = (
 MIXED = ("business update", "corporate progress", "operational highlights", "quarterly results", "financial results")
 
 
-def outcome(kind: Column, bucket: Column, title: Column, status: Column, details: Column | None = None) -> Column:
-    """1 success, 0 failure, null unknown; ``kind`` and ``bucket`` are the normalised type and its bucket."""
+#: The lists that one pass over an event's text looks for.
+_LISTS = (SAFETY_BAD, CLINICAL_BAD, CLINICAL_GOOD, PANEL_BAD, PANEL_GOOD, DECISION_BAD, DECISION_GOOD, PROGRESS_GOOD, MIXED)
+_SAFETY, _CLINICAL, _PANEL, _DECISION, _PROGRESS, _MIXED = 0, 1, 3, 5, 7, 8
+
+
+def outcome_rule(kind: Column, bucket: Column, title: Column, status: Column, details: Column | None = None) -> Column:
+    """Struct (label, source) of an event from its text; ``kind`` and ``bucket`` are the normalised type and its bucket.
+
+    label: 1 success, 0 failure, null unknown. source: which rule told, null where none did.
+    """
     blank = F.lit("")
     text = F.lower(F.concat_ws(" ", *[F.coalesce(c, blank) for c in (title, status, details if details is not None else blank)]))
-    decisive = has_any(text, (*CLINICAL_GOOD, *CLINICAL_BAD, *SAFETY_BAD, *DECISION_GOOD, *DECISION_BAD, *PROGRESS_GOOD, *PANEL_GOOD, *PANEL_BAD))
-    clinical = F.when(has_any(text, CLINICAL_BAD), 0).when(has_any(text, CLINICAL_GOOD), 1)
-    panel = F.when(has_any(text, PANEL_BAD), 0).when(has_any(text, PANEL_GOOD), 1)
-    decision = (
-        F.when(has_any(text, DECISION_BAD), 0)
-        .when(has_any(text, DECISION_GOOD), 1)
-        .when((kind == "regulatory_update") & has_any(text, PROGRESS_GOOD), 1)
-    )
+    bits = marker_bits(text, _LISTS)
+    told = lambda label, source: F.struct(F.lit(label).alias("label"), F.lit(source).alias("source"))
+    pair = lambda at, source: F.when(has_bit(bits, at), told(0, source)).when(has_bit(bits, at + 1), told(1, source))
+    decision = pair(_DECISION, "regulatory_text").when((kind == "regulatory_update") & has_bit(bits, _PROGRESS), told(1, "regulatory_progress"))
+    decisive = bits.bitwiseAND(F.lit((1 << _MIXED) - 1)) != 0
     return (
         F.when(~bucket.isin("clinical", "regulatory"), None)
-        .when(has_any(text, MIXED) & ~decisive, None)
-        .when(has_any(text, SAFETY_BAD), 0)
-        .when(bucket == "clinical", clinical)
-        .when(kind == "adcom", panel)
+        .when(has_bit(bits, _MIXED) & ~decisive, None)
+        .when(has_bit(bits, _SAFETY), told(0, "safety_text"))
+        .when(bucket == "clinical", pair(_CLINICAL, "clinical_text"))
+        .when(kind == "adcom", pair(_PANEL, "panel_text"))
         .otherwise(decision)
     )
+
+
+def outcome(kind: Column, bucket: Column, title: Column, status: Column, details: Column | None = None) -> Column:
+    """1 success, 0 failure, null unknown."""
+    return outcome_rule(kind, bucket, title, status, details)["label"]

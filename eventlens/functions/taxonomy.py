@@ -7,11 +7,12 @@ beats an explicit type only where its priority is higher.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventlens.operators.markers import first_of, has_bit, marker_bits
+
 # Type, priority, bucket.
 EVENT_TYPES = (
     ("pdufa", 6, "regulatory"),
@@ -88,26 +89,32 @@ def looked_up(key: Column, pairs, default) -> Column:
     return F.coalesce(table[key], F.lit(default))
 
 
+#: What one pass over a title tells: the families in the order they are tried, then synthetic titles.
+_LISTS = (*[m for _, m in MARKERS], SYNTHETIC_TITLES)
+
+
 def inferred_type(text: Column) -> Column:
     """Type of the first family whose marker occurs in a lower-case text, else null."""
-    return reduce(lambda chain, item: chain.when(has_any(text, item[1]), item[0]), MARKERS[1:], F.when(has_any(text, MARKERS[0][1]), MARKERS[0][0]))
+    return first_of(marker_bits(text, _LISTS), [name for name, _ in MARKERS])
 
 
 def type_priority(kind: Column) -> Column:
     return F.when(kind.isNull() | (kind == ""), -1).otherwise(looked_up(kind, PRIORITY.items(), 0))
 
 
-def event_type(kind: Column, title: Column, details: Column | None = None) -> Column:
-    """The explicit type, if it is a known one, unless the text tells of a type of higher priority.
-
-    Both types become one struct (priority, whether explicit, type), so the cascade of markers stands in it once.
-    """
+def lower_title(title: Column, details: Column | None = None) -> Column:
+    """Title and details as one lower-case text."""
     blank = F.lit("")
-    text = F.lower(F.concat(F.coalesce(title, blank), F.lit(" "), F.coalesce(details, blank) if details is not None else blank))
+    return F.lower(F.concat(F.coalesce(title, blank), F.lit(" "), F.coalesce(details, blank) if details is not None else blank))
+
+
+def event_type(kind: Column, title: Column, details: Column | None = None) -> Column:
+    """The explicit type, if it is a known one, unless the text tells of a type of higher priority."""
+    bits = marker_bits(lower_title(title, details), _LISTS)
     plain = F.replace(F.lower(F.trim(kind)), F.lit(" "), F.lit("_"))
-    both = F.transform(F.array(plain, inferred_type(text)), lambda x, i: F.struct(looked_up(x, PRIORITY.items(), -1).alias("priority"), (i == 0).alias("explicit"), x.alias("kind")))
-    best = F.array_max(F.filter(both, lambda x: x["priority"] >= 0))
-    return best["kind"]
+    told = F.coalesce(first_of(bits, [PRIORITY[name] for name, _ in MARKERS]), F.lit(-1))
+    own = looked_up(plain, PRIORITY.items(), -1)
+    return F.when(told > own, first_of(bits, [name for name, _ in MARKERS])).when(own >= 0, plain)
 
 
 def type_bucket(kind: Column) -> Column:
@@ -116,7 +123,7 @@ def type_bucket(kind: Column) -> Column:
 
 def is_synthetic(status: Column, title: Column) -> Column:
     blank = F.lit("")
-    return F.lower(F.coalesce(status, blank)).isin(*SYNTHETIC_STATUSES) | has_any(F.lower(F.coalesce(title, blank)), SYNTHETIC_TITLES)
+    return F.lower(F.coalesce(status, blank)).isin(*SYNTHETIC_STATUSES) | has_bit(marker_bits(lower_title(title), _LISTS), len(MARKERS))
 
 
 def is_exact_timing(status: Column, expected: Column, title: Column) -> Column:
