@@ -81,3 +81,25 @@ def peer_summary(rows: DataFrame, by: list[str], key: str, value: str) -> DataFr
     pick = lambda rank: F.get(F.array("_v0", "_v1", "_v2"), (rank + F.when(F.col("_r") <= rank, 1).otherwise(0) - F.floor(F.col("_n") / 2)).cast("int"))
     out = ranked.withColumns({"peers": F.col("_n") - 1, "peer_median": (pick(low) + pick(high)) / 2, "share_below": (F.col("_upto") - 1) / (F.col("_n") - 1)})
     return out.drop("_r", "_n", "_upto", *at)
+
+
+def nearest_peers(rows: DataFrame, by: list[str], key: str, value: str, k: int = 3) -> DataFrame:
+    """``rows`` with ``nearest``: keys of the ``k`` other rows of the group whose values are nearest, nearest first.
+
+    Ties go to the row nearer in the order of (value, key), then to the earlier one. The k nearest of a row are among the k before
+    and the k after it in that order, so one sort per group with lags and leads finds them, however large the group. Rows without
+    value have no peers and are none.
+    """
+    w = Window.partitionBy(*by, F.col(value).isNull()).orderBy(value, key)
+    near = []
+    for gap in range(1, k + 1):
+        for side, shifted in ((0, F.lag), (1, F.lead)):
+            other = shifted(F.struct(F.col(value).alias("v"), F.col(key).alias("k")), gap).over(w)
+            near.append(F.when(other.isNotNull() & F.col(value).isNotNull(), F.struct(F.abs(other["v"] - F.col(value)).alias("d"), F.lit(gap).alias("g"), F.lit(side).alias("s"), other["k"].alias("k"))))
+    best = F.slice(F.array_sort(F.array_compact(F.array(*near))), 1, k)
+    return rows.withColumn("nearest", F.transform(best, lambda x: x["k"]))
+
+
+def posture(own: Column, median: Column, band: float = 0.15) -> Column:
+    """rich, discounted or near peer median; unknown without a median."""
+    return F.when(median.isNull(), "unknown").when(own > median * (1 + band), "rich").when(own < median * (1 - band), "discounted").otherwise("near peer median")
