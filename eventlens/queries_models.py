@@ -5,23 +5,98 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from eventlens import oracle as q
 from eventlens.adapters import SQL_SNAPSHOTS, prices, snapshots, table
 from eventlens.operators.asof import latest, nearest_join
+from eventlens.operators.isotonic import isotonic_blocks
 from eventlens.plans import labels as lb
 from eventlens.plans import models
-from eventlens.queries import query
+from eventlens.queries import _RETURNS, query
 
 
-@query()
-def ridge_walk_forward(spark, sf):
-    """Predictions of ridge models fitted walk-forward over all quarters, without look-ahead."""
+_FRAME = f"""{_RETURNS}, rows AS (SELECT symbol, as_of, return_30d, return_90d, log10(market_cap + 1) AS cap, coalesce(revenue / nullif(market_cap, 0), 0.0) AS turn, coalesce((cash - debt) / nullif(market_cap, 0), 0.0) AS net, CAST(products AS DOUBLE) AS products
+    FROM returns JOIN snapshots USING (symbol, as_of)), dates AS (SELECT DISTINCT as_of AS d FROM rows), train AS (SELECT d, r.* FROM dates JOIN rows r ON r.as_of <= d - INTERVAL 90 DAY)"""
+_FEATURES = ["cap", "turn", "net", "products"]
+
+
+def _frame(spark, sf):
+    """Snapshots with four features and forward returns."""
     base = snapshots(spark, sf)
     rows = lb.forward_returns(base, prices(spark, sf)).join(base, ["symbol", "as_of"])
-    rows = rows.withColumns({"cap": F.log10(F.col("market_cap") + 1), "yield": F.try_divide("revenue", "market_cap"), "net": F.try_divide(F.col("cash") - F.col("debt"), F.col("market_cap"))})
-    out = models.walk_forward(rows, "as_of", ["cap", "yield", "net", "products"], "return_90d")
+    ratio = lambda x: F.coalesce(F.try_divide(x, F.col("market_cap")), F.lit(0.0))
+    return rows.select("symbol", "as_of", "return_30d", "return_90d", F.log10(F.col("market_cap") + 1).alias("cap"), ratio(F.col("revenue")).alias("turn"), ratio(F.col("cash") - F.col("debt")).alias("net"), F.col("products").cast("double").alias("products"))
+
+
+@query(
+    f"""WITH {_FRAME}, {q.ridge('fit', 'train', 'dates', _FEATURES, 'return_90d', 1.5)}
+    SELECT symbol, as_of, round(coalesce(bias + b0 * cap + b1 * turn + b2 * net + b3 * products, 0.0), 6) AS prediction, round(return_90d, 6) AS return_90d FROM rows LEFT JOIN fit ON fit.d = as_of"""
+)
+def ridge_walk_forward(spark, sf):
+    """Predictions of ridge models fitted walk-forward over all quarters, without look-ahead."""
+    out = models.walk_forward(_frame(spark, sf), "as_of", _FEATURES, "return_90d")
     return out.select("symbol", "as_of", F.round("prediction", 6).alias("prediction"), F.round("return_90d", 6).alias("return_90d"))
 
 
+_FAMILIES = {"size": ["cap"], "balance": ["turn", "net"], "products": ["products"]}
+_LOST = {"size": "b1 * turn + b2 * net + b3 * products", "balance": "b0 * cap + b3 * products", "products": "b0 * cap + b1 * turn + b2 * net"}
+_AVERAGE_RANK = "rank() OVER (PARTITION BY d, family ORDER BY {0}) + (count(*) OVER (PARTITION BY d, family, {0}) - 1) / 2.0"
+_CORR = "CASE WHEN count(*) < 3 OR stddev_pop({0}) = 0 OR stddev_pop({1}) = 0 THEN 0.0 ELSE covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) END"
+
+
+@query(
+    f"""WITH {_FRAME}, {q.ridge('fit', 'train', 'dates', _FEATURES, 'return_90d', 1.5)},
+    p AS (SELECT symbol, as_of AS d, return_90d AS y, round(coalesce(bias + b0 * cap + b1 * turn + b2 * net + b3 * products, 0.0), 9) AS base, {', '.join(f"round(coalesce(bias + {e}, 0.0), 9) AS {n}" for n, e in _LOST.items())}
+      FROM rows LEFT JOIN fit ON fit.d = as_of WHERE return_90d IS NOT NULL),
+    s AS ({' UNION ALL '.join(f"SELECT symbol, d, y, base, {n} AS ablated, '{n}' AS family FROM p" for n in _FAMILIES)}),
+    r AS (SELECT *, {_AVERAGE_RANK.format('base')} AS r0, {_AVERAGE_RANK.format('ablated')} AS r1, {_AVERAGE_RANK.format('y')} AS ry, greatest(count(*) OVER (PARTITION BY d, family) // 5, 1) AS k,
+      {', '.join(f"row_number() OVER (PARTITION BY d, family ORDER BY {c} {o}, symbol) AS {n}" for n, c, o in (('t0', 'base', 'DESC'), ('l0', 'base', 'ASC'), ('t1', 'ablated', 'DESC'), ('l1', 'ablated', 'ASC')))} FROM s)
+    SELECT d AS as_of, family, count(*) AS rows, round({_CORR.format('r0', 'ry')} - {_CORR.format('r1', 'ry')}, 6) AS rank_ic_delta,
+      round((avg(y) FILTER (WHERE t0 <= k) - avg(y) FILTER (WHERE l0 <= k)) - (avg(y) FILTER (WHERE t1 <= k) - avg(y) FILTER (WHERE l1 <= k)), 6) AS spread_delta, round({_CORR.format('r0', 'r1')}, 6) AS signal_correlation FROM r GROUP BY 1, 2"""
+)
+def ablation_deltas(spark, sf):
+    """What the walk-forward model loses per quarter without each family of features."""
+    rows = models.walk_forward(_frame(spark, sf), "as_of", _FEATURES, "return_90d", families=_FAMILIES)
+    names = ["prediction", *[f"prediction_{f}" for f in _FAMILIES]]
+    out = models.ablation_deltas(rows.withColumns({n: F.round(n, 9) for n in names}), "as_of", ["symbol"], list(_FAMILIES), "return_90d")
+    return out.withColumns({c: F.round(c, 6) for c in ("rank_ic_delta", "spread_delta", "signal_correlation")})
+
+
+@query(
+    f"""WITH RECURSIVE points AS (SELECT floor(o_totalprice / 2000) AS x, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders), {q.isotonic('iso', 'points', 'x', 'y')}
+    SELECT min(x) AS low, max(x) AS high, round(value, 9) AS value FROM iso GROUP BY value"""
+)
+def isotonic_steps(spark, sf):
+    """The non-decreasing fit of an order's status over its price."""
+    rows = table(spark, sf, "orders").select(F.floor(F.col("o_totalprice") / 2000).alias("x"), (F.col("o_orderstatus") == "F").cast("double").alias("y"))
+    return isotonic_blocks(rows, "x", "y").select("low", "high", F.round("value", 9).alias("value"))
+
+
+_INPUTS = ["cap", "turn", "net", "market_flow_volatility"]
+_LINE = "{0}.bias + {0}.b0 * cap + {0}.b1 * turn + {0}.b2 * net + {0}.b3 * market_flow_volatility"
+
+
+@query(
+    f"""WITH {_FRAME}, one AS (SELECT 0 AS d), f AS (SELECT 0 AS d, *, (products % 7) / 10 AS market_flow_volatility, CASE WHEN symbol % 20 > 0 THEN return_90d - return_30d END AS alpha, CASE WHEN return_30d > 0 THEN 1 WHEN return_30d IS NOT NULL THEN 0 END AS win,
+      0.3 + 0.4 * products / (products + 10) AS rule FROM rows),
+    u AS (SELECT *, alpha / CASE WHEN market_flow_volatility > 0.01 THEN market_flow_volatility ELSE 1.0 END AS y, CASE WHEN win > 0 THEN 2.0 ELSE -2.0 END AS c FROM f WHERE return_90d IS NOT NULL AND win IS NOT NULL AND alpha IS NOT NULL),
+    {q.ridge('rg', 'u', 'one', _INPUTS, 'y', 1.5)}, {q.ridge('cl', 'u', 'one', _INPUTS, 'c', 2.0)},
+    scored AS (SELECT f.*, round({_LINE.format('rg')}, 6) AS expected, round(0.4 * rule + 0.6 / (1 + exp(-least(greatest({_LINE.format('cl')}, -60), 60))), 5) AS blend FROM f, rg, cl),
+    fitted AS (SELECT blend, win FROM scored WHERE return_90d IS NOT NULL AND win IS NOT NULL AND alpha IS NOT NULL), {q.isotonic('iso', 'fitted', 'blend', 'win')},
+    l AS (SELECT s.symbol, s.as_of, s.expected, s.blend, lo.x AS x0, lo.value AS v0 FROM scored s ASOF LEFT JOIN iso lo ON s.blend >= lo.x), b AS (SELECT l.*, hi.x AS x1, hi.value AS v1 FROM l ASOF LEFT JOIN iso hi ON l.blend <= hi.x)
+    SELECT symbol, as_of, expected, round(CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR x1 = x0 THEN v0 ELSE v0 + (v1 - v0) * (blend - x0) / (x1 - x0) END, 6) AS probability FROM b"""
+)
+def training_flow(spark, sf):
+    """Expected returns and calibrated chances of an ensemble trained on all snapshots with known outcomes."""
+    rows = _frame(spark, sf).withColumns(
+        {
+            "market_flow_volatility": F.col("products") % 7 / 10, "target_return_90d": F.col("return_90d"), "target_alpha_90d": F.when(F.col("symbol") % 20 > 0, F.col("return_90d") - F.col("return_30d")),
+            "target_catalyst_success": (F.col("return_30d") > 0).cast("int"), "rule": 0.3 + 0.4 * F.col("products") / (F.col("products") + 10),
+        }
+    )
+    model = models.train_ensemble(rows, _INPUTS, F.col("rule"))
+    return rows.select("symbol", "as_of", F.round(model.returns.predict(), 6).alias("expected"), F.round(model.probability(F.col("rule")), 6).alias("probability"))
+
+
 @query(
     """WITH p AS (SELECT user_id, event_id AS buy, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, event_id AS click, ts AS moment FROM events WHERE event_type = 'click')
     SELECT buy, click FROM (SELECT buy, click, row_number() OVER (PARTITION BY buy ORDER BY abs(epoch_us(moment) - epoch_us(ts)), click) AS rn FROM p JOIN c USING (user_id)) WHERE rn = 1"""
