@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlens import oracle as q
-from eventlens.adapters import SQL_PRICES, SQL_SNAPSHOTS, prices, snapshots, table
+from eventlens.adapters import SQL_PRICES, SQL_SNAPSHOTS, TITLES, prices, snapshots, table
+from eventlens.functions import taxonomy as t
+from eventlens.functions.landscape import TEXT_FAMILIES
 from eventlens.plans import labels as lb
 from eventlens.plans import monitor as mo
 from eventlens.queries import _RETURNS, query
 from eventlens.queries_recommend import _SIGNALS, _signals
 from eventlens.sources import feeds
+from eventlens.sources.calendars import calendar_events, document_fields
 
 HEADLINES = (
     "Company announces definitive agreement, closing expected in Q3 2029",
@@ -141,3 +144,34 @@ def idea_blend(spark, sf):
         F.when(F.col("c_acctbal") >= 0, "long").otherwise("short").alias("direction"), F.col("c_acctbal").alias("weight"), "c_custkey",
     )
     return mo.blended_ideas(rows, [F.desc("weight"), F.asc("c_custkey")], 12).select("symbol", "level", "direction", "c_custkey")
+
+
+_CALENDAR = f"""e AS (SELECT *, ([{', '.join(f"'{t}'" for t in TITLES)}])[event_id % {len(TITLES)} + 1] AS title, CASE event_id % 5 WHEN 0 THEN 'pdufa' WHEN 1 THEN 'Phase3 readout' ELSE NULL END AS kind FROM events)"""
+
+
+@query(
+    f"""WITH {_CALENDAR}, t AS (SELECT *, CASE WHEN {q.inferred('lower(title)')} IS NULL THEN -1 ELSE {q.lookup('(' + q.inferred('lower(title)') + ')', t.PRIORITY.items(), 0)} END AS told, {q.inferred('lower(title)')} AS seen,
+      CASE WHEN kind IS NULL THEN -1 ELSE CASE replace(lower(kind), ' ', '_') WHEN 'pdufa' THEN 6 ELSE 5 END END AS own FROM e),
+    f AS (SELECT *, coalesce(CASE WHEN told > own THEN seen WHEN own >= 0 THEN replace(lower(kind), ' ', '_') END, CASE {' '.join(f"WHEN {q.any_of('lower(title)', m)} THEN '{n}'" for n, m in TEXT_FAMILIES)} END) AS family FROM t)
+    SELECT upper('u' || user_id) AS ticker, coalesce(CASE WHEN event_id % 3 > 0 THEN CAST(event_id AS VARCHAR) END, 'calendar:' || upper('u' || user_id) || ':' || family || ':' || strftime(ts, '%Y-%m-%d')) AS event_id, family AS event_type, title,
+      CAST(date_trunc('day', ts) AS TIMESTAMP) AS expected_date, CASE WHEN event_id % 2 = 0 THEN value ELSE 0.6 END AS importance
+    FROM f WHERE family IN {t.EVENT_FAMILIES} AND (event_id % 7 > 0 OR ts - INTERVAL 1 DAY <= TIMESTAMP '2024-01-10')"""
+)
+def calendar_documents(spark, sf):
+    """Events of users from JSON calendars of three shapes, with columns under changing names, broken documents among them."""
+    title = F.element_at(F.array(*[F.lit(x) for x in TITLES]), (F.col("event_id") % len(TITLES) + 1).cast("int"))
+    kind = F.when(F.col("event_id") % 5 == 0, "pdufa").when(F.col("event_id") % 5 == 1, "Phase3 readout")
+    rows = table(spark, sf, "events").withColumn("shape", F.col("user_id") % 3)
+    named = lambda options: [F.when(F.col("shape") == i, own).alias(n) for i, (n, own) in enumerate(options)]
+    ticker = F.concat(F.lit("u"), "user_id")
+    day = lambda f: F.date_format("ts", f)
+    known = F.when(F.col("event_id") % 7 == 0, F.date_format(F.col("ts") - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    item = F.struct(
+        *named([("ticker", ticker), ("symbol", ticker), ("Symbol", ticker)]), *named([("expected_date", day("yyyy-MM-dd")), ("date", day("MM/dd/yyyy")), ("catalyst_date", day("yyyy/MM/dd"))]),
+        *named([("title", title), ("event", title), ("description", title)]), kind.alias("category"), F.when(F.col("event_id") % 3 > 0, F.col("event_id")).alias("id"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("importance"), known.alias("published_at"),
+    )
+    lists = rows.groupBy("user_id", "shape").agg(F.collect_list(item).alias("x"))
+    text = F.when(F.col("shape") == 0, F.to_json("x")).when(F.col("shape") == 1, F.to_json(F.struct(F.col("x").alias("events")))).otherwise(F.to_json(F.struct(F.array().cast("array<int>").alias("events"), F.lit(3).alias("rows"), F.col("x").alias("data"))))
+    docs = lists.select(text.alias("text")).unionByName(lists.select(F.lit('{"events": [1, "x", null').alias("text"))).unionByName(lists.select(F.lit("[1, null, []]").alias("text")))
+    events = calendar_events(document_fields(docs, "text"), F.lit("2024-01-10").cast("timestamp"))
+    return events.select("ticker", "event_id", "event_type", "title", F.col("expected_date").cast("timestamp_ntz").alias("expected_date"), "importance")

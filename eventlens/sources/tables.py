@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -61,3 +63,28 @@ def views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     """A temporary view per table, for SQL."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+
+
+def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Overwrites the table at ``path`` with the distinct rows of ``df``; with ``partition_by``, only the partitions that ``df`` has.
+
+    The rows may be read from ``path`` itself: they are first written beside it, in a folder of this write's own, and the table is
+    replaced from there, so a job that fails before leaves the old table whole, and a retry starts anew. Rows that occur twice count once.
+    """
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    distinct = df.dropDuplicates()
+    (distinct.write.partitionBy(*partition_by) if partition_by else distinct.write).parquet(staged)
+    rows = spark.read.schema(df.schema).parquet(staged)
+    writer = rows.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+    _remove(spark, staged)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this module's own through Spark's file systems."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
