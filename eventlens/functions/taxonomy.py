@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventlens.operators.markers import first_of, has_bit, marker_bits
+from eventlens.operators.markers import first_of, marker_bits
 
 # Type, priority, bucket.
 EVENT_TYPES = (
@@ -79,7 +79,7 @@ BUCKET = {name: b for name, _, b in EVENT_TYPES}
 
 
 def has_any(text: Column, markers) -> Column:
-    """Whether any marker occurs in the text: one alternation, one pass."""
+    """Whether any marker occurs in the text: for one short list, and inside array functions; see ``operators.markers`` for many."""
     return text.rlike("|".join(re.escape(m) for m in markers))
 
 
@@ -89,8 +89,7 @@ def looked_up(key: Column, pairs, default) -> Column:
     return F.coalesce(table[key], F.lit(default))
 
 
-#: What one pass over a title tells: the families in the order they are tried, then synthetic titles.
-_LISTS = (*[m for _, m in MARKERS], SYNTHETIC_TITLES)
+_LISTS = tuple(m for _, m in MARKERS)
 
 
 def inferred_type(text: Column) -> Column:
@@ -123,7 +122,7 @@ def type_bucket(kind: Column) -> Column:
 
 def is_synthetic(status: Column, title: Column) -> Column:
     blank = F.lit("")
-    return F.lower(F.coalesce(status, blank)).isin(*SYNTHETIC_STATUSES) | has_bit(marker_bits(lower_title(title), _LISTS), len(MARKERS))
+    return F.lower(F.coalesce(status, blank)).isin(*SYNTHETIC_STATUSES) | has_any(F.lower(F.coalesce(title, blank)), SYNTHETIC_TITLES)
 
 
 def is_exact_timing(status: Column, expected: Column, title: Column) -> Column:

@@ -38,6 +38,27 @@ def asof_join(
     return seen.select("_left.*", found.alias("_m")).select("*", F.col("_m._at").alias(f"{prefix}{right_on}"), *[F.col(f"_m.{v}").alias(f"{prefix}{v}") for v in values]).drop("_m")
 
 
+def asof_join_split(
+    left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], days: int, direction: str = "backward", strict: bool = False
+) -> DataFrame:
+    """``asof_join`` for keys of very many rows: each key is cut into stretches of ``days`` days, which are tasks of their own.
+
+    A left row whose stretch holds no match takes the last right row of the stretches before (first of those after): one row per key and
+    stretch, found as-of by the stretch's number.
+    """
+    stretch = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (days * 86_400_000_000))
+    rows = left.withColumn("_s", stretch(left_on))
+    points = right.where(F.col(right_on).isNotNull()).select(*by, right_on, *values).withColumn("_s", stretch(right_on))
+    own = asof_join(rows, points, [*by, "_s"], left_on, right_on, values, direction, strict, prefix="_own_")
+    pick = F.max_by if direction == "backward" else F.min_by
+    ends = points.groupBy(*by, F.col("_s").alias("_e")).agg(pick(F.struct(right_on, *values), right_on).alias("_end"))
+    # stretches are numbered, so equal numbers are left out and earlier (later) ones looked for
+    before = asof_join(rows.select(*by, "_s").distinct(), ends, by, "_s", "_e", ["_end"], direction, strict=True).drop("_e")
+    both = own.join(before, [*by, "_s"], "left")
+    found = {c: F.when(F.col(f"_own_{right_on}").isNotNull(), F.col(f"_own_{c}")).otherwise(F.col(f"_end.{c}")) for c in (right_on, *values)}
+    return both.select(*left.columns, *[c.alias(n) for n, c in found.items()])
+
+
 def nearest_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, value: str) -> DataFrame:
     """Every left row with the ``value`` of the right row nearest in time; ties to the smaller value.
 

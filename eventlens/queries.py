@@ -15,7 +15,7 @@ from eventlens.functions.outcomes import outcome
 from eventlens.functions.scores import FAMILY_PRIOR, SCHEDULE_SOURCES, SOURCE_BONUS, SOURCE_PRIORITY
 from eventlens.functions.evidence import EVIDENCE_STOPS, EVIDENCE_WEIGHTS, best_evidence, tokens
 from eventlens.functions.taxonomy import event_type, is_exact_timing, type_bucket, type_priority
-from eventlens.operators.asof import asof_join, latest
+from eventlens.operators.asof import asof_join, asof_join_split, latest
 from eventlens.operators.greedy import greedy_intervals, greedy_spacing
 from eventlens.operators.rankstats import aggregate_windows, average_rank, peer_summary, spearman, window_summary
 from eventlens.plans import events as ev
@@ -108,6 +108,12 @@ def snapshot_columns(spark, sf):
 # Joins.
 
 
+@query(f"WITH {SQL_PRICES}, {SQL_SNAPSHOTS} SELECT s.symbol, s.as_of, p.date, p.close FROM snapshots s ASOF LEFT JOIN prices p ON s.symbol = p.symbol AND s.as_of > p.date")
+def asof_stretches(spark, sf):
+    """Last close before each snapshot, every symbol cut into stretches of 60 days."""
+    return asof_join_split(snapshots(spark, sf), prices(spark, sf), ["symbol"], "as_of", "date", ["close"], 60, strict=True).select("symbol", "as_of", "date", "close")
+
+
 @query(
     f"""WITH {SQL_PRICES}, {SQL_SNAPSHOTS}
     SELECT s.symbol, s.as_of, b.date AS back_date, b.close AS back_close, f.date AS ahead_date, f.close AS ahead_close

@@ -45,14 +45,13 @@ def listing_choice(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT s_nationkey AS symbol, arg_max(s_name, s_suppkey) AS a FROM supplier WHERE s_acctbal > 0 GROUP BY 1), b AS (SELECT c_nationkey AS symbol, arg_max(c_name, c_custkey) AS b FROM customer WHERE c_nationkey < 20 GROUP BY 1)
-    SELECT n_nationkey AS symbol, coalesce(a, b, CAST(n_nationkey AS VARCHAR)) AS company_name FROM nation LEFT JOIN a ON a.symbol = n_nationkey LEFT JOIN b ON b.symbol = n_nationkey"""
+    """SELECT p_partkey AS symbol, coalesce(s_name, c_name, CAST(p_partkey AS VARCHAR)) AS company_name FROM part LEFT JOIN supplier ON s_suppkey = p_partkey LEFT JOIN customer ON c_custkey = p_partkey"""
 )
 def name_resolution(spark, sf):
-    """Names from one table, else another, else the key."""
-    a = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("symbol"), F.col("s_name").alias("company_name"), F.col("s_suppkey").alias("as_of"))
-    b = table(spark, sf, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("symbol"), F.col("c_name").alias("company_name"), F.col("c_custkey").alias("as_of"))
-    return books.resolved_names(table(spark, sf, "nation").select(F.col("n_nationkey").alias("symbol")), a, b)
+    """Names from one table (suppliers), else another (customers), else the key: there are more parts than customers, and more customers than suppliers."""
+    a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_name").alias("company_name"), F.col("s_acctbal").alias("as_of"))
+    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("symbol"), F.col("c_name").alias("company_name"), F.col("c_acctbal").alias("as_of"))
+    return books.resolved_names(table(spark, sf, "part").select(F.col("p_partkey").alias("symbol")), a, b)
 
 
 @query(

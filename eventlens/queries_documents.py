@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlens import oracle as q
-from eventlens.adapters import SQL_CATALYSTS, catalysts, prices, snapshots, table
+from eventlens.adapters import SQL_CATALYSTS, SQL_SNAPSHOTS, catalysts, prices, snapshots, table
 from eventlens.functions import rules
 from eventlens.plans import labels as lb
 from eventlens.queries import _RETURNS, query
@@ -21,14 +21,16 @@ def _documents(spark, sf):
         F.col("crowdedness").cast("double").alias("crowdedness"), "status",
     )
     rows = catalysts(spark, sf).select("symbol", F.date_format(F.date_trunc("quarter", "as_of"), "yyyy-MM-dd").alias("quarter"), "program_id", event.alias("e"))
-    trial = F.struct(F.col("e.event_id").alias("trial_id"), F.col("e.title").alias("title"), F.lit("PHASE2").alias("phase"), F.lit("RECRUITING").alias("status"), F.array(F.lit("x")).alias("conditions"), F.array(F.lit("y")).alias("interventions"), F.lit(10).cast("bigint").alias("enrollment"), F.array(F.lit("z")).alias("primary_outcomes"))
-    programs = rows.groupBy("symbol", "quarter", "program_id").agg(F.collect_list(trial).alias("trials"))
-    program = F.struct(F.col("program_id").cast("string").alias("program_id"), F.concat(F.lit("P"), "program_id").alias("name"), F.lit("antibody").alias("modality"), F.lit("PHASE2").alias("phase"), F.array(F.lit("x")).alias("conditions"), F.lit(0.3).alias("pos_prior"), F.lit(1e9).alias("tam_estimate"), "trials")
+    trial = F.struct(F.col("e.event_id").alias("trial_id"), F.col("e.title").alias("title"), F.col("e.event_type").alias("phase"), F.col("e.status").alias("status"), F.split("e.title", " ").alias("conditions"), F.array("e.event_type").alias("interventions"), F.col("e.horizon_days").alias("enrollment"), F.array("e.title", "e.status").alias("primary_outcomes"))
+    programs = rows.groupBy("symbol", "quarter", "program_id").agg(F.collect_list(trial).alias("trials"), F.max("e.importance").alias("best"), F.count("*").alias("n"), F.max("e.event_type").alias("kind"))
+    program = F.struct(F.col("program_id").cast("string").alias("program_id"), F.concat(F.lit("P"), "program_id").alias("name"), F.lit("antibody").alias("modality"), F.col("kind").alias("phase"), F.array("kind", F.col("n").cast("string")).alias("conditions"), (F.col("best") / 2).alias("pos_prior"), (F.col("n") * 1e8).alias("tam_estimate"), "trials")
     programs = programs.groupBy("symbol", "quarter").agg(F.collect_list(program).alias("programs"))
-    events = rows.groupBy("symbol", "quarter").agg(F.collect_list("e").alias("once")).select("symbol", "quarter", F.concat("once", "once").alias("catalyst_events"))
-    product = F.array(F.struct(F.lit("A").alias("product_id"), F.lit("Sold").alias("name"), F.lit("x").alias("indication"), F.lit(2e8).alias("annual_revenue")))
-    docs = programs.join(events, ["symbol", "quarter"]).select(
-        F.col("symbol").cast("string").alias("ticker"), F.concat(F.lit("Company "), "symbol").alias("company_name"), F.col("quarter").alias("as_of"), "programs", product.alias("approved_products"), "catalyst_events",
+    events = rows.groupBy("symbol", "quarter").agg(F.sort_array(F.collect_list("e")).alias("once")).select("symbol", "quarter", F.concat("once", "once").alias("catalyst_events"), "once")
+    product = F.transform(F.filter("catalyst_events", lambda e, i: (i % 3 == 0) & (e["importance"] >= 0.7)), lambda e: F.struct(e["event_id"].alias("product_id"), F.lit("Sold").alias("name"), e["title"].alias("indication"), (e["crowdedness"] * 1e8).alias("annual_revenue")))
+    financing = F.transform(F.filter("once", lambda e: e["status"] == "phase_timing_estimate"), lambda e: F.struct(e["event_id"].alias("event_id"), e["event_type"].alias("event_type"), e["probability"].alias("probability"), e["horizon_days"].alias("horizon_days"), e["crowdedness"].alias("expected_dilution_pct"), e["title"].alias("summary")))
+    money = snapshots(spark, sf).select("symbol", F.date_format("as_of", "yyyy-MM-dd").alias("quarter"), "market_cap", "revenue", "cash", "debt")
+    docs = programs.join(events, ["symbol", "quarter"]).join(money, ["symbol", "quarter"], "left").select(
+        F.col("symbol").cast("string").alias("ticker"), F.concat(F.lit("Company "), "symbol").alias("company_name"), F.col("quarter").alias("as_of"), "market_cap", "revenue", "cash", "debt", "programs", product.alias("approved_products"), "catalyst_events", financing.alias("financing_events"),
         F.create_map(F.lit("is_delisted"), F.when(F.col("symbol") % 2 == 0, "True").otherwise("false")).alias("metadata"),
     )
     text = docs.select(F.to_json(F.struct(*docs.columns)).alias("text"))
@@ -39,12 +41,32 @@ _DOCS = f"{SQL_CATALYSTS}, d AS (SELECT *, CAST(symbol AS VARCHAR) AS ticker, st
 
 
 @query(
-    f"""WITH {_DOCS} SELECT DISTINCT ticker, quarter AS as_of, CAST(program_id AS VARCHAR) AS program_id, 'PHASE2' AS phase, '["x"]' AS conditions, 0.3::DOUBLE AS pos_prior FROM d
-    UNION ALL SELECT DISTINCT ticker, quarter, 'A', 'APPROVED', '["x"]', 1.0 FROM d"""
+    f"""WITH {_DOCS}, o AS (SELECT *, row_number() OVER (PARTITION BY ticker, quarter ORDER BY CAST(program_id AS VARCHAR), event_id) AS rn, count(*) OVER (PARTITION BY ticker, quarter) AS n FROM d),
+    s AS (SELECT ticker, quarter, event_id, title, crowdedness FROM o WHERE (rn - 1) % 3 = 0 AND importance >= 0.7 UNION ALL SELECT ticker, quarter, event_id, title, crowdedness FROM o WHERE (n + rn - 1) % 3 = 0 AND importance >= 0.7)
+    SELECT ticker, quarter AS as_of, CAST(program_id AS VARCHAR) AS program_id, max(event_type) AS phase, '["' || max(event_type) || '","' || count(*) || '"]' AS conditions, max(importance) / 2 AS pos_prior, count(*) * 1e8 AS tam_estimate FROM d GROUP BY ticker, quarter, program_id
+    UNION ALL SELECT ticker, quarter, event_id, 'APPROVED', '["' || title || '"]', 1.0, crowdedness * 1e8 FROM s"""
 )
 def snapshot_programs(spark, sf):
     """Programs and approved products of snapshot documents."""
-    return sn.snapshot_tables(_documents(spark, sf))["programs"].select("ticker", "as_of", "program_id", "phase", "conditions", "pos_prior")
+    return sn.snapshot_tables(_documents(spark, sf))["programs"].select("ticker", "as_of", "program_id", "phase", "conditions", "pos_prior", "tam_estimate")
+
+
+@query(f"WITH {_DOCS}, {SQL_SNAPSHOTS} SELECT ticker, any_value('Company ' || symbol) AS company_name, quarter AS as_of, any_value(s.market_cap) AS market_cap, any_value(s.revenue) AS revenue, any_value(s.cash) AS cash, any_value(s.debt) AS debt FROM d LEFT JOIN (SELECT symbol AS k, strftime(as_of, '%Y-%m-%d') AS t, market_cap, revenue, cash, debt FROM snapshots) s ON k = symbol AND t = quarter GROUP BY ticker, quarter")
+def snapshot_companies(spark, sf):
+    """Company rows of snapshot documents."""
+    return sn.snapshot_tables(_documents(spark, sf))["company_snapshots"]
+
+
+@query(f"WITH {_DOCS} SELECT ticker, quarter AS as_of, CAST(program_id AS VARCHAR) AS program_id, event_id, event_type, title, day AS expected_date, date_diff('day', as_of, expected_date) AS horizon_days, 0.5::DOUBLE AS probability, importance, crowdedness, status FROM d GROUP BY ALL")
+def snapshot_catalysts(spark, sf):
+    """Catalysts of snapshot documents, each event once."""
+    return sn.snapshot_tables(_documents(spark, sf))["catalysts"]
+
+
+@query(f"WITH {_DOCS} SELECT ticker, quarter AS as_of, event_id, event_type, 0.5::DOUBLE AS probability, date_diff('day', as_of, expected_date) AS horizon_days, crowdedness AS expected_dilution_pct, title AS summary FROM d WHERE status = 'phase_timing_estimate'")
+def snapshot_financing(spark, sf):
+    """Financing events of snapshot documents."""
+    return sn.snapshot_tables(_documents(spark, sf))["financing_events"]
 
 
 @query(f"WITH {_DOCS} SELECT ticker, quarter AS as_of, event_id, day AS event_timestamp, {q.exact('status', 'title')} AS timing_exact, {q.synthetic('status', 'title')} AS timing_synthetic FROM d GROUP BY ALL")
@@ -53,10 +75,10 @@ def snapshot_tape(spark, sf):
     return sn.snapshot_tables(_documents(spark, sf))["event_tape"].select("ticker", "as_of", "event_id", "event_timestamp", "timing_exact", "timing_synthetic")
 
 
-@query(f"WITH {_DOCS} SELECT ticker, quarter AS as_of, CAST(program_id AS VARCHAR) AS program_id, event_id AS trial_id, 10::BIGINT AS enrollment FROM d")
+@query(f"WITH {_DOCS} SELECT ticker, quarter AS as_of, CAST(program_id AS VARCHAR) AS program_id, event_id AS trial_id, date_diff('day', as_of, expected_date) AS enrollment, event_type AS phase, to_json(string_split(title, ' '))::VARCHAR AS conditions, to_json([title, status])::VARCHAR AS primary_outcomes FROM d")
 def snapshot_trials(spark, sf):
     """Trials of the programs of snapshot documents."""
-    return sn.snapshot_tables(_documents(spark, sf))["trials"].select("ticker", "as_of", "program_id", "trial_id", "enrollment")
+    return sn.snapshot_tables(_documents(spark, sf))["trials"].select("ticker", "as_of", "program_id", "trial_id", "enrollment", "phase", "conditions", "primary_outcomes")
 
 
 @query(

@@ -15,12 +15,12 @@ _SIDE = "CASE WHEN action = 'buy' THEN 1.0 ELSE -1.0 END"
 
 
 @query(
-    f"""WITH {SQL_PRICES}, {SQL_SNAPSHOTS}, {_SIGNALS}, {_PLANS}, s AS (SELECT p.*, k.market_cap AS cap FROM plans p ASOF LEFT JOIN snapshots k ON p.symbol = k.symbol AND p.entry_at >= k.as_of WHERE action <> 'hold'),
+    f"""WITH {SQL_PRICES}, {SQL_SNAPSHOTS}, {_SIGNALS}, {_PLANS}, s AS (SELECT p.*, k.market_cap AS cap, k.products AS sold FROM plans p ASOF LEFT JOIN snapshots k ON p.symbol = k.symbol AND p.entry_at >= k.as_of WHERE action <> 'hold'),
     h AS (SELECT *, entry_at + INTERVAL 10 DAY AS t10, entry_at + INTERVAL 30 DAY AS t30, entry_at + INTERVAL 90 DAY AS t90 FROM s),
     f AS (SELECT h.*, a.close AS p0, b.close AS p10, c.close AS p30, d.close AS p90 FROM h ASOF LEFT JOIN prices a ON h.symbol = a.symbol AND h.entry_at <= a.date ASOF LEFT JOIN prices b ON h.symbol = b.symbol AND h.t10 <= b.date
       ASOF LEFT JOIN prices c ON h.symbol = c.symbol AND h.t30 <= c.date ASOF LEFT JOIN prices d ON h.symbol = d.symbol AND h.t90 <= d.date),
     l AS (SELECT symbol, arg_max(close, date) AS newest FROM prices GROUP BY 1),
-    r AS (SELECT f.*, newest, (CASE WHEN cap IS NULL OR cap <= 0 THEN 275.0 WHEN cap < 250000000 THEN 425.0 WHEN cap < 1000000000 THEN 220.0 WHEN cap < 5000000000 THEN 110.0 ELSE 45.0 END + CASE WHEN setup IN ('hard_catalyst', 'soft_catalyst') THEN 35.0 ELSE 0.0 END) / 10000.0 AS cost
+    r AS (SELECT f.*, newest, (CASE WHEN cap IS NULL OR cap <= 0 THEN 275.0 WHEN cap < 250000000 THEN 425.0 WHEN cap < 1000000000 THEN 220.0 WHEN cap < 5000000000 THEN 110.0 ELSE 45.0 END + least(coalesce(sold, 0) / 100 * 1000.0, 125.0) + CASE WHEN setup IN ('hard_catalyst', 'soft_catalyst') THEN 35.0 ELSE 0.0 END) / 10000.0 AS cost
       FROM f LEFT JOIN l USING (symbol) WHERE p0 > 0)
     SELECT plan, action, round({_SIDE} * (p10 / p0 - 1), 8) + 0.0 AS return_10d, round({_SIDE} * (p30 / p0 - 1) - cost, 8) + 0.0 AS return_30d_net, round({_SIDE} * (p90 / p0 - 1) - cost, 8) + 0.0 AS return_90d_net,
       round({_SIDE} * (newest / p0 - 1) - cost / 2, 8) + 0.0 AS mark_to_market_net FROM r"""
@@ -30,7 +30,7 @@ def execution_feedback(spark, sf):
     signals = _signals(spark, sf)
     action = F.when(F.col("expected_return") > 0, "buy").when(F.col("expected_return") < 0, "sell").otherwise("hold")
     plans = signals.select(F.concat_ws(":", "symbol", F.date_format("as_of", "yyyy-MM-dd")).alias("plan"), "symbol", action.alias("action"), (F.col("as_of") + F.expr("INTERVAL 3 DAYS")).alias("entry_at"), "setup_type")
-    out = ex.execution_feedback(plans, snapshots(spark, sf).withColumn("volatility", F.lit(0.0)), prices(spark, sf))
+    out = ex.execution_feedback(plans, snapshots(spark, sf).withColumn("volatility", F.col("products") / 100), prices(spark, sf))
     return out.select("plan", "action", *[(F.round(c, 8) + 0.0).alias(c) for c in ("return_10d", "return_30d_net", "return_90d_net", "mark_to_market_net")])
 
 

@@ -14,6 +14,7 @@ from eventlens.queries import _RETURNS, query
 from eventlens.queries_recommend import _SIGNALS, _signals
 from eventlens.sources import feeds
 from eventlens.sources.calendars import calendar_events, document_fields
+from eventlens.sources.listings import OFFERING_FORMS, filing_summaries, listings, recent_news_events
 
 HEADLINES = (
     "Company announces definitive agreement, closing expected in Q3 2029",
@@ -90,6 +91,14 @@ def trigger_merge(spark, sf):
     return mo.merged_triggers(rows, rows, 25)
 
 
+@query("SELECT symbol, 40.0::DOUBLE AS priority, 'lifecycle' AS source FROM (SELECT DISTINCT user_id AS symbol FROM events) ORDER BY symbol LIMIT 25")
+def routine_triggers(spark, sf):
+    """A cycle without any trigger: active symbols get a routine one (no event of the table has the type ``halt``)."""
+    events = table(spark, sf, "events").withColumnRenamed("user_id", "symbol")
+    rows = events.where("event_type = 'halt'").select("symbol", F.lit(95.0).alias("priority"), F.col("event_type").alias("source"))
+    return mo.merged_triggers(rows, events.select("symbol"), 25)
+
+
 @query(
     f"""WITH {_RETURNS}, {_SIGNALS}, d AS (SELECT DISTINCT as_of FROM signals ORDER BY as_of DESC LIMIT 12),
     x AS (SELECT s.as_of, symbol, er, return_90d AS y, coalesce(setup, 'watchful') AS setup, CASE WHEN k.products % 3 = 0 THEN 'up' ELSE 'down' END AS regime FROM signals s JOIN returns r USING (symbol, as_of) JOIN snapshots k USING (symbol, as_of) WHERE return_90d IS NOT NULL AND s.as_of IN (SELECT as_of FROM d)),
@@ -175,3 +184,89 @@ def calendar_documents(spark, sf):
     docs = lists.select(text.alias("text")).unionByName(lists.select(F.lit('{"events": [1, "x", null').alias("text"))).unionByName(lists.select(F.lit("[1, null, []]").alias("text")))
     events = calendar_events(document_fields(docs, "text"), F.lit("2024-01-10").cast("timestamp"))
     return events.select("ticker", "event_id", "event_type", "title", F.col("expected_date").cast("timestamp_ntz").alias("expected_date"), "importance")
+
+
+_TOPICS = ("a definitive agreement", "a share repurchase", "a new indication", "to discontinue a program", "a pivotal study")
+_NAMED = ("first", "2nd", "third", "4th")
+_GUIDED = f"""n AS (SELECT o_orderkey, o_orderdate AS published, ([{', '.join(repr(x) for x in _TOPICS)}])[o_orderkey % 5 + 1] AS topic, 1 + o_custkey % 4 AS part, 1999 + o_custkey % 9 AS y FROM orders),
+    h AS (SELECT *, lower('Company announces ' || topic || ', expected in ' || CASE o_orderkey % 4 WHEN 0 THEN 'Q' || part || ' ' || y WHEN 1 THEN ([{', '.join(repr(x) for x in _NAMED)}])[part] || ' quarter of ' || y
+      WHEN 2 THEN (1 + part % 2) || 'H-' || lpad(CAST(y % 100 AS VARCHAR), 2, '0') ELSE ([{', '.join(repr(x) for x in _NAMED)}])[1 + part % 2] || ' half ' || y END) || ' ' AS h FROM n)"""
+_PERIODS = ((r"\bq([1-4])[\s''-]*(\d{2,4})\b", 3), (r"\b(first|1st|second|2nd|third|3rd|fourth|4th)\s+quarter(?:\s+of)?\s+(\d{2,4})\b", 3), (r"\b([12])h[\s''-]*(\d{2,4})\b", 6), (r"\b(first|1st|second|2nd)\s+half(?:\s+of)?\s+(\d{2,4})\b", 6))
+_NUMBER = "CASE {0} WHEN 'first' THEN 1 WHEN '1st' THEN 1 WHEN 'second' THEN 2 WHEN '2nd' THEN 2 WHEN 'third' THEN 3 WHEN '3rd' THEN 3 WHEN 'fourth' THEN 4 WHEN '4th' THEN 4 ELSE TRY_CAST({0} AS INTEGER) END"
+_YEAR = "CASE WHEN TRY_CAST({0} AS INTEGER) < 100 THEN TRY_CAST({0} AS INTEGER) + 2000 WHEN TRY_CAST({0} AS INTEGER) >= 2000 THEN TRY_CAST({0} AS INTEGER) END"
+_ENDS = ", ".join(f"""CASE WHEN last_day(make_date({_YEAR.format(f"regexp_extract(h, '{p}', 2)")}, {_NUMBER.format(f"regexp_extract(h, '{p}', 1)")} * {m}, 1)) >= CAST(published AS DATE)
+      THEN last_day(make_date({_YEAR.format(f"regexp_extract(h, '{p}', 2)")}, {_NUMBER.format(f"regexp_extract(h, '{p}', 1)")} * {m}, 1)) END""" for p, m in _PERIODS)
+
+
+@query(
+    f"""WITH {_GUIDED}, k AS (SELECT *, {_NEWS_CASE} AS kind, coalesce({_ENDS}) AS period FROM h), e AS (SELECT *, CASE WHEN kind IN {feeds.GUIDED_TYPES} THEN CAST(period AS TIMESTAMP) END AS guided FROM k)
+    SELECT o_orderkey, kind AS event_type, coalesce(guided, published) AS expected_date, CASE WHEN guided IS NULL THEN 'exact_press_release' ELSE 'guided_company_event' END AS status FROM e"""
+)
+def guided_news(spark, sf):
+    """Headlines that name a quarter or half-year of their order's making, in four forms: events on its last day, unless it is over by then."""
+    return feeds.news_events(_headlines(spark, sf)).select("o_orderkey", "event_type", F.col("expected_date").cast("timestamp_ntz").alias("expected_date"), "status")
+
+
+@query(
+    f"""WITH {_GUIDED}, k AS (SELECT *, {_NEWS_CASE} AS kind, coalesce({_ENDS}) AS period FROM h WHERE CAST(published AS DATE) >= DATE '1999-12-04'), e AS (SELECT *, CASE WHEN kind IN {feeds.GUIDED_TYPES} THEN CAST(period AS TIMESTAMP) END AS guided FROM k),
+    x AS (SELECT o_orderkey, published, kind AS event_type, h, coalesce(guided, published) AS expected_date, CASE WHEN guided IS NULL THEN 'exact_press_release' ELSE 'guided_company_event' END AS status FROM e),
+    f AS (SELECT * FROM x WHERE CAST(expected_date AS DATE) <= DATE '2000-09-29' AND NOT (status = 'exact_press_release' AND CAST(expected_date AS DATE) < DATE '2000-05-02'))
+    SELECT o_orderkey, event_type, expected_date, status FROM (SELECT *, row_number() OVER (PARTITION BY event_type, expected_date, status, h ORDER BY published DESC, o_orderkey) AS rn FROM f) WHERE rn = 1"""
+)
+def recent_news(spark, sf):
+    """What the news of the half-year before a day still tells on it, each event once."""
+    out = recent_news_events(_headlines(spark, sf), F.lit("2000-06-01").cast("timestamp"), [F.desc("date"), F.asc("o_orderkey")])
+    return out.select("o_orderkey", "event_type", F.col("expected_date").cast("timestamp_ntz").alias("expected_date"), "status")
+
+
+def _headlines(spark, sf):
+    part, year = (1 + F.col("o_custkey") % 4).cast("int"), (1999 + F.col("o_custkey") % 9).cast("int")
+    named = lambda i: F.element_at(F.array(*[F.lit(x) for x in _NAMED]), i)
+    kind = F.col("o_orderkey") % 4
+    period = F.when(kind == 0, F.concat(F.lit("Q"), part, F.lit(" "), year)).when(kind == 1, F.concat(named(part), F.lit(" quarter of "), year))
+    period = period.when(kind == 2, F.concat(1 + part % 2, F.lit("H-"), F.lpad((year % 100).cast("string"), 2, "0"))).otherwise(F.concat(named(1 + part % 2), F.lit(" half "), year))
+    topic = F.element_at(F.array(*[F.lit(x) for x in _TOPICS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.lit("ABC").alias("symbol"), F.array().cast("array<string>").alias("symbols"), F.concat(F.lit("Company announces "), topic, F.lit(", expected in "), period).alias("title"), F.lit("").alias("content"),
+        F.array().cast("array<string>").alias("tags"), F.col("o_orderdate").alias("date"),
+    )
+
+
+@query(
+    """WITH r AS (SELECT s_suppkey AS i, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE lower(s_name) || '.' || s_nationkey END AS code, CASE WHEN s_suppkey % 5 = 0 THEN 'X' || s_nationkey % 2 ELSE 'E' || s_nationkey % 4 END AS exchange, s_suppkey % 3 = 0 OR s_suppkey % 7 = 0 AS gone, s_name FROM supplier
+      UNION ALL SELECT s_suppkey + 1000000, lower(s_name) || '.' || s_nationkey || '.b', 'E' || s_nationkey % 4, s_suppkey % 2 = 0, s_name FROM supplier)
+    SELECT upper(split_part(code, '.', 1)) AS ticker, exchange, gone AS is_delisted, code AS listing_symbol, CASE WHEN i < 1000000 THEN s_name ELSE code END AS company_name, CASE WHEN i < 1000000 THEN 'ADR' ELSE 'Common Stock' END AS security_type
+    FROM (SELECT *, row_number() OVER (PARTITION BY upper(split_part(code, '.', 1)), exchange, gone ORDER BY i) AS rn FROM r WHERE code IS NOT NULL) WHERE rn = 1"""
+)
+def exchange_listings(spark, sf):
+    """Listings of two feeds with different column names, once per ticker, exchange and state."""
+    rows = table(spark, sf, "supplier")
+    code = F.concat(F.lower("s_name"), F.lit("."), "s_nationkey")
+    own = F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("X"), F.col("s_nationkey") % 2))
+    place = F.concat(F.lit("E"), F.col("s_nationkey") % 4)
+    one = F.create_map(F.lit("Code"), F.when(F.col("s_suppkey") % 11 != 0, code), F.lit("Name"), F.col("s_name"), F.lit("Type"), F.lit("ADR"), F.lit("Exchange"), own, F.lit("IsDelisted"), F.when(F.col("s_suppkey") % 7 == 0, "true").otherwise("false"))
+    two = F.create_map(F.lit("symbol"), F.concat(code, F.lit(".b")), F.lit("name"), F.lit(""))
+    a = rows.select(F.col("s_suppkey").alias("i"), one.alias("fields"), place.alias("exchange"), (F.col("s_suppkey") % 3 == 0).alias("delisted"))
+    b = rows.select((F.col("s_suppkey") + 1_000_000).alias("i"), two.alias("fields"), place.alias("exchange"), (F.col("s_suppkey") % 2 == 0).alias("delisted"))
+    return listings(a.unionByName(b), ["i"]).select("ticker", "exchange", "is_delisted", "listing_symbol", "company_name", "security_type")
+
+
+_FORMS = ("10-Q", "10-K", "8-K", "S-3", "424B5", "4")
+
+
+@query(
+    f"""WITH o AS (SELECT o_custkey, ([{', '.join(repr(f) for f in _FORMS)}])[o_orderkey % 6 + 1] AS form, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders),
+    r AS (SELECT o_custkey, count(*) AS recent_filings, arg_min(day, rn) FILTER (WHERE form = '10-Q') AS last_10q_date, arg_min(day, rn) FILTER (WHERE form = '10-K') AS last_10k_date, count(*) FILTER (WHERE form IN {OFFERING_FORMS}) AS offerings FROM o WHERE rn <= 25 GROUP BY 1),
+    v AS (SELECT o_custkey, coalesce(arg_max(o_totalprice, ROW(day, -rn)) FILTER (WHERE form = '8-K' AND o_custkey % 2 = 0), arg_max(o_totalprice, ROW(day, -rn)) FILTER (WHERE form = '10-K')) AS revenue_ttm, arg_max(o_totalprice, ROW(day, -rn)) FILTER (WHERE form = '10-Q') AS cash_latest FROM o GROUP BY 1)
+    SELECT * FROM r JOIN v USING (o_custkey)"""
+)
+def company_filings(spark, sf):
+    """Last reports, offerings, revenue and cash of each customer's document of filings and facts."""
+    form = F.element_at(F.array(*[F.lit(f) for f in _FORMS]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    entry = F.struct((-F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("at"), "o_orderkey", form.alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("end"), F.col("o_totalprice").alias("val"))
+    docs = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    named = lambda kind: F.struct(F.create_map(F.lit("USD"), F.transform(F.filter("x", lambda e: e["form"] == kind), lambda e: F.struct(e["end"].alias("end"), e["val"].alias("val")))).alias("units"))
+    none = F.struct(F.create_map(F.lit("USD"), F.array().cast("array<struct<end:string,val:double>>")).alias("units"))
+    facts = F.create_map(F.lit("Revenues"), F.when(F.col("o_custkey") % 2 == 0, named("8-K")).otherwise(none), F.lit("SalesRevenueNet"), named("10-K"), F.lit("CashAndCashEquivalentsAtCarryingValue"), named("10-Q"))
+    docs = docs.select("o_custkey", F.col("x.form").alias("form"), F.col("x.end").alias("filing_date"), F.to_json(facts).alias("facts"))
+    return filing_summaries(docs).select("o_custkey", "recent_filings", "last_10q_date", "last_10k_date", F.size("offerings").alias("offerings"), "revenue_ttm", "cash_latest")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.taxonomy import event_type, has_any, looked_up
+from eventlens.operators.rows import once
 
 # Verbs that announce something, news types with importance and markers in the order they are tried, importance of inferred types.
 NEWS_VERBS = (
@@ -79,7 +80,7 @@ def news_events(news: DataFrame) -> DataFrame:
     weight = looked_up(F.col("_seen"), INFERRED_IMPORTANCE, -1.0)
     rows = rows.withColumns({"event_type": F.coalesce("_told.type", F.when(weight > 0, F.col("_seen"))), "importance": F.coalesce("_told.importance", weight)}).where("event_type is not null")
     guided = F.when(F.col("event_type").isin(*GUIDED_TYPES), guided_date(F.col("_head"), F.col("date")).cast("timestamp"))
-    rows = rows.withColumn("_guided", guided)
+    rows = once(rows, {"_guided": guided})
     rows = rows.withColumns({"expected_date": F.coalesce("_guided", F.col("date").cast("timestamp")), "status": F.when(F.col("_guided").isNotNull(), "guided_company_event").otherwise("exact_press_release")})
     return rows.withColumns({"title": F.substring(title, 1, 180), "crowdedness": F.lit(0.35), "source": F.lit("eodhd_news")}).drop("_head", "_told", "_seen", "_guided")
 

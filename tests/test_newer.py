@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlens.functions.landscape import categories, landscape, text_family
+from eventlens.operators.asof import asof_join, asof_join_split
 from eventlens.operators.intervals import active_interval
 from eventlens.operators.isotonic import isotonic_blocks, isotonic_calibrator
 from eventlens.operators.markers import first_rules, marker_bits
@@ -220,3 +221,16 @@ def test_quiet_keys_expire(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {(r.key, r.active) for r in rows} == {(1, True), (1, False), (2, True)}
     assert max((r.at, r["values"]) for r in rows if r.key == 2) == (stamp(101), [2.0, 3.0, 4.0])
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("strict", [False, True])
+def test_split_asof_equals_the_whole_one(spark, direction, strict):
+    pick = random.Random(9)
+    stamp = lambda h: None if h is None else dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
+    left = spark.createDataFrame([(i, pick.choice(["a", "a", "b", "c", None]), stamp(pick.choice([None, *range(0, 2000, 7)]))) for i in range(400)], "i int, k string, t timestamp")
+    times = sorted({(k, pick.randrange(0, 2000)) for k in "aab" for _ in range(40)})
+    right = spark.createDataFrame([(k, stamp(h), float(h)) for k, h in times], "k string, at timestamp, v double")
+    key = lambda df: sorted((r.i, str(r.at), str(r.v)) for r in df.collect())
+    whole = asof_join(left, right, ["k"], "t", "at", ["v"], direction, strict)
+    assert key(asof_join_split(left, right, ["k"], "t", "at", ["v"], 3, direction, strict)) == key(whole)
