@@ -70,6 +70,7 @@ def with_edge(signals: DataFrame, cards: DataFrame) -> DataFrame:
     return rows.withColumns({"edge_tilt": both * 0.20, "weight_multiplier": clamp(1 + both * 1.35, 0.75, 1.35), "weight_bonus": clamp(both * 4.5, -0.75, 1.0)})
 
 
+# The thresholds, weights and caps in the functions below.
 def scenario() -> Column:
     """One of nine scenarios; rules are tried in order."""
     er, prob, conf, state, setup = (F.col(c) for c in ("expected_return", "success_prob", "confidence", "company_state", "setup_type"))

@@ -54,6 +54,7 @@ def guided_date(text: Column, published: Column) -> Column:
         at = F.when((number > 0) & y.isNotNull(), F.last_day(F.make_date(y, number * months, F.lit(1))))
         return F.when(at >= F.coalesce(F.to_date(published), at), at)
 
+    # The four patterns.
     return F.coalesce(
         end(r"\bq([1-4])[\s'-]*(\d{2,4})\b", 3, False),
         end(r"\b(first|1st|second|2nd|third|3rd|fourth|4th)\s+quarter(?:\s+of)?\s+(\d{2,4})\b", 3, True),
