@@ -12,7 +12,7 @@ def lookup(column: str, pairs, default) -> str:
 
 
 def any_of(text: str, markers) -> str:
-    return "(" + " OR ".join(f"contains({text}, '{m}')" for m in markers) + ")"
+    return "(" + " OR ".join("contains({}, '{}')".format(text, m.replace("'", "''")) for m in markers) + ")"
 
 
 def inferred(text: str) -> str:
