@@ -127,14 +127,14 @@ def registry_trials(spark, sf):
 
 @query(
     f"""WITH {_GRAPH} SELECT symbol, program_id, program_name, canonical_name, low_signal, position, phase, array_to_string(conditions, '|') AS conditions, modality, round(pos_prior, 6) AS pos_prior, market, trials, CAST(enrollment AS BIGINT) AS enrollment,
-    lead_id, round(amc, 6) AS amc_site_score, round(n_sites, 6) AS site_count_score, round(intl, 6) AS international_score FROM programs"""
+    lead_id, round(amc + 1e-9, 6) AS amc_site_score, round(n_sites + 1e-9, 6) AS site_count_score, round(intl + 1e-9, 6) AS international_score FROM programs"""
 )
 def program_graph(spark, sf):
-    """Programs of the companies: phase, prior, market, lead study, site scores, order."""
+    """Programs of the companies: phase, prior, market, lead study, site scores (shifted by 1e-9, so that halves round up whatever the order of the sums), order."""
     rows = _graph(spark, sf)["programs"]
     return rows.select(
         "symbol", "program_id", "program_name", "canonical_name", "low_signal", "position", "phase", F.array_join("conditions", "|").alias("conditions"), "modality", F.round("pos_prior", 6).alias("pos_prior"), "market", "trials", "enrollment",
-        F.col("lead.trial_id").alias("lead_id"), *[F.round(c, 6).alias(c) for c in ("amc_site_score", "site_count_score", "international_score")],
+        F.col("lead.trial_id").alias("lead_id"), *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("amc_site_score", "site_count_score", "international_score")],
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventlens.functions.program import phase, phase_rank
 from eventlens.functions.taxonomy import looked_up
 from eventlens.functions.trials import ACTIVE_STATUSES, PHASE_SUCCESS
+from eventlens.operators.rows import once
 
 #: What is read of a study document; everything may be missing.
 STUDY = """struct<protocolSection: struct<
@@ -28,7 +29,7 @@ def study_rows(documents: DataFrame, text: str) -> DataFrame:
     s = F.col("_study.protocolSection")
     none = F.array().cast("array<string>")
     place = lambda x: F.concat_ws(", ", x["facility"], x["city"], x["state"], x["country"])
-    rows = documents.withColumn("_study", F.from_json(text, STUDY))
+    rows = once(documents, {"_study": F.from_json(text, STUDY)})
     return rows.select(
         *[c for c in documents.columns if c != text],
         s["identificationModule"]["nctId"].alias("trial_id"), s["identificationModule"]["briefTitle"].alias("title"), F.coalesce(s["statusModule"]["overallStatus"], F.lit("")).alias("status"),
@@ -69,10 +70,11 @@ def company_roll_up(studies: DataFrame, by: list[str]) -> DataFrame:
         entries("_sum").alias("phase_enrollment"), entries("_on").alias("phase_trials"), F.coalesce(best, F.lit("PHASE1")).alias("best_phase"),
     )
     out = out.withColumn("base_pos", looked_up(F.col("best_phase"), PHASE_SUCCESS, 0.074))
-    active = rows.where("_active")
-    word = F.get(F.filter(F.split(F.trim("_x"), r"\s+"), lambda w: w != ""), F.lit(0))
-    drugs = active.select(*by, F.explode("interventions").alias("_x")).select(*by, word.alias("_x")).where(F.length("_x") > 2).select(*by, F.regexp_replace("_x", "[,.]", "").alias("_x"), F.lit(0).alias("_kind"))
-    named = drugs.unionByName(active.select(*by, F.explode("conditions").alias("_x"), F.lit(1).alias("_kind")).where("_x is not null")).distinct()
+    word = lambda x: F.get(F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != ""), F.lit(0))
+    pair = lambda kind: lambda x: F.struct(F.lit(kind).alias("_kind"), x.alias("_x"))
+    drugs = F.transform(F.filter(F.transform("interventions", word), lambda w: F.length(w) > 2), lambda w: F.regexp_replace(w, "[,.]", ""))
+    both = F.concat(F.transform(drugs, pair(0)), F.transform(F.filter("conditions", lambda x: x.isNotNull()), pair(1)))
+    named = rows.where("_active").select(*by, F.inline(both)).distinct()
     lists = named.groupBy(*by).agg(*[F.array_sort(F.collect_list(F.when(F.col("_kind") == i, F.col("_x")))).alias(c) for i, c in enumerate(("drug_names", "conditions"))])
     none = F.array().cast("array<string>")
     return out.join(lists, by, "left").withColumns({c: F.coalesce(c, none) for c in ("drug_names", "conditions")})
