@@ -720,4 +720,4 @@ def sessions(spark, sf):
     return table(spark, sf, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-from eventlens import queries_models, queries_portfolio, queries_recommend, queries_text, queries_feeds, queries_documents, queries_books, queries_execution, queries_rules, queries_history, queries_matching, queries_features, queries_graph  # noqa: E402, F401  they register their queries
+from eventlens import queries_models, queries_portfolio, queries_recommend, queries_text, queries_feeds, queries_documents, queries_books, queries_execution, queries_rules, queries_history, queries_matching, queries_features, queries_graph, queries_deployment  # noqa: E402, F401  they register their queries
