@@ -81,3 +81,23 @@ def ranked_ideas(spark, sf):
     rows = rows.select("symbol", "as_of", F.round(score, 6).alias("score"), dp.qualifies(rows).alias("top")).where("score is not null")
     best = F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc("score"), "symbol"))
     return rows.withColumn("_rn", best).where("_rn <= 10").drop("_rn")
+
+
+@query(
+    f"""WITH {_IN}, {_RETURNS.replace(SQL_SNAPSHOTS + ', ', '')}, {_CARDS},
+    a AS (SELECT dimension, value, rows, windows, round(rank_ic, 6) AS ic, round(spread, 6) AS sp, round(hit_rate, 6) AS ex, round(1 - hit_rate, 6) AS sy, rows % 3 > 0 AS leak FROM cards),
+    b AS (SELECT *, array_to_string(list_filter([CASE WHEN NOT leak THEN 'leakage' END, CASE WHEN rows % 5 = 0 THEN 'reviewed' END, CASE WHEN windows < 3 THEN 'windows' END, CASE WHEN rows < 100 THEN 'rows' END, CASE WHEN ic < 0.10 THEN 'rank_ic' END, CASE WHEN sp <= 0 THEN 'spread' END,
+        CASE WHEN ex < 0.4 THEN 'exact_events' END, CASE WHEN sy > 0.6 THEN 'synthetic_events' END], lambda v: v IS NOT NULL), '|') AS paper,
+      array_to_string(list_filter([CASE WHEN windows < 24 THEN 'windows_24' END, CASE WHEN ic < 0.15 THEN 'rank_ic_15' END, CASE WHEN ic / 2 < 0.05 THEN 'strict_rank_ic' END, CASE WHEN sp < 0.10 THEN 'spread_10' END, CASE WHEN ic - 0.01 <= 0 THEN 'rank_ic_low' END, CASE WHEN sp - 0.01 <= 0 THEN 'spread_low' END], lambda v: v IS NOT NULL), '|') AS strict FROM a)
+    SELECT dimension, value, CASE WHEN paper <> '' THEN 'do_not_promote' WHEN strict <> '' THEN 'paper_trade_ready' ELSE 'promote' END AS decision, CASE WHEN paper <> '' THEN paper ELSE strict END AS blockers FROM b"""
+)
+def promotion_decisions(spark, sf):
+    """Promotion of a model per slice of the prior scorecards; hit rates, moved to the scale of coverage, stand for the share of exact events."""
+    cards = rc.prior_scorecards(_signals(spark, sf).join(lb.forward_returns(snapshots(spark, sf), prices(spark, sf)), ["symbol", "as_of"]))
+    six = lambda c: F.round(c, 6)
+    moved = lambda x, at, to: F.when(x, to).otherwise(at)
+    audits = cards.select("dimension", "value", "rows", "windows", six("rank_ic").alias("rank_ic"), six("spread").alias("spread"), six("hit_rate").alias("h")).withColumns({
+        "strict_rank_ic": F.col("rank_ic") / 2, "rank_ic_low": F.col("rank_ic") - 0.01, "spread_low": F.col("spread") - 0.01, "leakage_passed": F.col("rows") % 3 > 0, "own_blockers": F.array(F.when(F.col("rows") % 5 == 0, "reviewed").otherwise(" ")),
+        "exact_rate": moved(F.col("h") < 0.4, 0.8, 0.5), "synthetic_rate": moved(six(1 - F.col("h")) > 0.6, 0.1, 0.5),
+    })
+    return dp.promotions(audits).select("dimension", "value", "decision", F.array_join("blockers", "|").alias("blockers"))
