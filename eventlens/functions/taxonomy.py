@@ -130,6 +130,10 @@ def is_exact_timing(status: Column, expected: Column, title: Column) -> Column:
     return expected.isNotNull() & (exact | ~is_synthetic(status, title))
 
 
+#: The values of ``timing_priority`` of what has a date.
+DATED_PRIORITIES = (2, 0)
+
+
 def timing_priority(status: Column, expected: Column, title: Column) -> Column:
     """2 exact, 0 synthetic with a date, -1 without a date."""
     return F.when(is_exact_timing(status, expected, title), 2).when(expected.isNotNull(), 0).otherwise(-1)

@@ -24,18 +24,19 @@ def asof_join(
     """
     backward = direction == "backward"
     stamp = F.struct(F.col(right_on).alias("_at"), *[F.col(v) for v in values])
-    one = left.select(*by, F.col(left_on).cast("timestamp").alias("_t"), F.struct("*").alias("_left"), F.lit(None).cast(right.select(stamp).schema[0].dataType).alias("_right"))
-    two = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).cast("timestamp").alias("_t"), F.lit(None).cast(one.schema["_left"].dataType).alias("_left"), stamp.alias("_right"))
-    both = one.unionByName(two).withColumn("_is_left", F.col("_left").isNotNull())
+    # the left columns stay columns of their own, so that those nobody reads later are neither shuffled nor sorted
+    one = left.select("*", F.col(left_on).cast("timestamp").alias("_asof_t"), F.lit(True).alias("_asof_is_left"))
+    two = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).cast("timestamp").alias("_asof_t"), F.lit(False).alias("_asof_is_left"), stamp.alias("_asof_right"))
+    both = one.unionByName(two, allowMissingColumns=True)
     # at equal times the right row comes first, unless strict; for forward joins time runs backwards
-    time = F.col("_t").asc() if backward else F.col("_t").desc()
-    tie = F.col("_is_left").desc() if strict else F.col("_is_left").asc()
+    time = F.col("_asof_t").asc() if backward else F.col("_asof_t").desc()
+    tie = F.col("_asof_is_left").desc() if strict else F.col("_asof_is_left").asc()
     w = Window.partitionBy(*by).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("_seen", F.last("_right", ignorenulls=True).over(w)).where("_is_left")
-    found = F.when(F.col("_t").isNotNull(), F.col("_seen"))
+    seen = both.withColumn("_asof_seen", F.last("_asof_right", ignorenulls=True).over(w)).where("_asof_is_left")
+    found = F.when(F.col("_asof_t").isNotNull(), F.col("_asof_seen"))
     for b in by:
         found = F.when(F.col(b).isNotNull(), found)
-    return seen.select("_left.*", found.alias("_m")).select("*", F.col("_m._at").alias(f"{prefix}{right_on}"), *[F.col(f"_m.{v}").alias(f"{prefix}{v}") for v in values]).drop("_m")
+    return seen.select(*left.columns, found.alias("_asof_m")).select("*", F.col("_asof_m._at").alias(f"{prefix}{right_on}"), *[F.col(f"_asof_m.{v}").alias(f"{prefix}{v}") for v in values]).drop("_asof_m")
 
 
 def asof_join_split(

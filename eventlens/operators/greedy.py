@@ -16,31 +16,32 @@ from pyspark.sql import types as T
 
 
 def streamed(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """``df`` with each key in one partition and in order."""
-    names = [f"_o{i}" for i in range(len(order))]
-    return df.withColumns(dict(zip(names, order, strict=True))).repartition(*by).sortWithinPartitions(*by, *names).drop(*names)
+    """``df`` with each key in one partition and in order, numbered by ``_nth`` from 1 within its key.
+
+    The number asks for the same partitions and order as the windows before, so rows that already lie by (part of) the key are not shuffled again.
+    """
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def greedy_intervals(df: DataFrame, by: list[str], order: list[Column], start: Column, end: Column, label: str) -> DataFrame:
-    """``df`` with ``active`` and ``blocked_by``: in order, a row stays if it starts after the last kept end.
+def greedy_intervals(df: DataFrame, by: list[str], order: list[Column], start: Column, end: Column, label: str, columns: list[str] | None = None) -> DataFrame:
+    """``df`` (or its ``columns``) with ``active`` and ``blocked_by``: in order, a row stays if it starts after the last kept end.
 
     Rows without start or end are never active and block nothing. ``order`` sorts ascending and should be total; keys
     may be null. ``blocked_by`` is the ``label`` of the kept row that a row overlaps.
     """
-    columns = df.columns
+    columns = columns or df.columns
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    rows = streamed(df.withColumns({"_start": micros(start), "_end": micros(end)}), by, order)
-    schema = T.StructType([*df.schema.fields, T.StructField("active", T.BooleanType()), T.StructField("blocked_by", df.schema[label].dataType)])
+    rows = streamed(df.withColumns({"_start": micros(start), "_end": micros(end)}), by, order).select(*columns, "_start", "_end", "_nth")
+    schema = T.StructType([*[df.schema[c] for c in columns], T.StructField("active", T.BooleanType()), T.StructField("blocked_by", df.schema[label].dataType)])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = last = name = None
+        last = name = None
         for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
             labels = batch.column(label)
             active, blocker = [], []
-            for k, a, b, x in zip(keys, batch.column("_start").to_pylist(), batch.column("_end").to_pylist(), labels.to_pylist(), strict=True):
-                if k != key:
-                    key, last, name = k, None, None
+            for i, a, b, x in zip(*[c.to_pylist() for c in (batch.column("_nth"), batch.column("_start"), batch.column("_end"), labels)], strict=True):
+                if i == 1:
+                    last = name = None
                 valid = a is not None and b is not None
                 stays = valid and (last is None or a > last)
                 active.append(stays)
@@ -64,20 +65,19 @@ def greedy_spacing(df: DataFrame, by: list[str], date: str, days: int, keep_last
     gap = days * 86_400_000_000
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = at = None
+        at = None
         for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
             flags = []
-            for k, t, last in zip(keys, batch.column("_t").to_pylist(), batch.column("_last").to_pylist(), strict=True):
-                if k != key:
-                    key, at = k, None
+            for i, t, last in zip(*[batch.column(c).to_pylist() for c in ("_nth", "_t", "_last")], strict=True):
+                if i == 1:
+                    at = None
                 stays = at is None or t >= at + gap
                 at = t if stays else at
                 flags.append(stays or keep_last and last)
             yield batch.select([*by, date, "_t"]).filter(pa.array(flags, pa.bool_()))
 
-    kept = streamed(dates, by, [F.col("_t")]).select(*by, date, "_t", "_last")
-    schema = T.StructType([f for f in kept.schema.fields if f.name != "_last"])
+    kept = streamed(dates, by, [F.col("_t")]).select(*by, date, "_t", "_last", "_nth")
+    schema = T.StructType([f for f in kept.schema.fields if f.name not in ("_last", "_nth")])
     kept = kept.mapInArrow(keep, schema)
     if latest is not None:
         kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_t")))).where(F.col("_n") <= latest)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.numeric import borrow_cost, company_state, financing_risk, floor_support, horizon_bucket, knowledge_bucket, round_trip_cost, whole_days
 from eventlens.functions.outcomes import outcome
 from eventlens.functions.scores import FAMILY_PRIOR, SCHEDULE_SOURCES, SOURCE_PRIORITY, event_scores, source_label
-from eventlens.functions.taxonomy import EVENT_FAMILIES, event_type, is_exact_timing, looked_up, timing_priority, type_bucket
+from eventlens.functions.taxonomy import DATED_PRIORITIES, EVENT_FAMILIES, event_type, is_exact_timing, looked_up, timing_priority, type_bucket
 from eventlens.operators.asof import asof_join, latest
 from eventlens.operators.greedy import greedy_intervals
 from eventlens.operators.rows import once
@@ -25,20 +25,19 @@ def classified(events: DataFrame, at: str) -> DataFrame:
 
 
 def event_mentions(catalysts: DataFrame) -> DataFrame:
-    """Mentions of clinical and regulatory events with their instance and what is known of the instance.
+    """Mentions of clinical and regulatory events with their instance.
 
     One instance is a symbol's program, family and date, whatever the source calls it.
     """
     rows = classified(catalysts.where("as_of is not null and expected_date is not null"), "expected_date")
-    rows = rows.where(F.col("event_bucket").isin("clinical", "regulatory") & F.col("event_family").isin(*EVENT_FAMILIES))
+    rows = rows.where(F.col("event_bucket").isin("clinical", "regulatory") & F.col("event_family").isin(*EVENT_FAMILIES)).repartition("symbol")
     rows = rows.withColumns(
         {
             "source_priority": looked_up(F.coalesce("source", F.lit("")), SOURCE_PRIORITY, 0),
             "event_instance_id": F.concat_ws("|", "symbol", "program_id", "event_family", F.date_format("expected_date", "yyyy-MM-dd")),
         }
     )
-    w = Window.partitionBy("event_instance_id")
-    return rows.withColumns({"first_seen": F.min("as_of").over(w), "last_seen": F.max("as_of").over(w)})
+    return rows
 
 
 #: What an instance's latest mention tells, beside its first.
@@ -49,26 +48,26 @@ def canonical_events(catalysts: DataFrame, limits: Thresholds = Thresholds()) ->
     """One row per event instance as first seen (what could be known then), with the latest view as ``latest_`` columns.
 
     Of several mentions at the same time the exact one comes first, then the better source, the more important, and
-    the smaller event_id. One shuffle by instance serves the window and the aggregation.
+    the smaller event_id. Mentions lie by symbol, of which an instance has one, and so do the rows that come out: later steps by symbol do not
+    shuffle them again. All is windows over one sort per instance, so columns that nobody reads later are not carried.
     """
     mentions = event_mentions(catalysts)
-    first, last = F.col("as_of") == F.col("first_seen"), F.col("as_of") == F.col("last_seen")
-    exact = F.col("timing_exact") & (F.coalesce("source", F.lit("")) != "")
     order = [(~F.col("timing_exact")).cast("int"), -F.col("source_priority"), -F.col("importance"), F.col("event_id")]
-    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    own = [c for c in mentions.columns if c not in ("event_instance_id", "first_seen", "last_seen")]
-    rows = mentions.groupBy("event_instance_id", "first_seen", "last_seen").agg(
-        F.count("*").alias("mentions"),
-        F.count_if(first).alias("first_mentions"),
-        F.size(F.collect_set(F.when(exact, F.col("source")))).alias("exact_sources"),
-        F.size(F.collect_set(F.when(exact & first, F.col("source")))).alias("first_exact_sources"),
-        F.min(F.when(first, F.struct(order.alias("o"), F.struct(*own).alias("row")))).alias("chosen"),
-        F.min(F.when(last, F.struct(order.alias("o"), F.struct(*LATEST).alias("row")))).alias("newest"),
+    w = Window.partitionBy("symbol", "event_instance_id")
+    rows = mentions.withColumn("_nth", F.row_number().over(w.orderBy("as_of", *order))).withColumns({"first_seen": F.min("as_of").over(w), "last_seen": F.max("as_of").over(w)})
+    first = F.col("as_of") == F.col("first_seen")
+    exact = F.col("timing_exact") & (F.coalesce("source", F.lit("")) != "")
+    newest = F.when(F.col("as_of") == F.col("last_seen"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    rows = rows.withColumns(
+        {
+            "mentions": F.count("*").over(w),
+            "first_mentions": F.count_if(first).over(w),
+            "exact_sources": F.size(F.collect_set(F.when(exact, F.col("source"))).over(w)),
+            "first_exact_sources": F.size(F.collect_set(F.when(exact & first, F.col("source"))).over(w)),
+            **{f"latest_{c}": F.min_by(c, newest).over(w) for c in LATEST},
+        }
     )
-    rows = rows.select(
-        "event_instance_id", "first_seen", "last_seen", "mentions", "first_mentions", "exact_sources", "first_exact_sources",
-        "chosen.row.*", *[F.col(f"newest.row.{c}").alias(f"latest_{c}") for c in LATEST],
-    )
+    rows = rows.where("_nth = 1").drop("_nth")
     strict = F.col("timing_exact") & F.col("source").isin(*SCHEDULE_SOURCES)
     many = F.col("first_exact_sources") >= limits.corroborating_sources
     some = (F.col("first_exact_sources") >= 1) & (F.col("first_mentions") >= 2) & (F.col("source") != "internal_inference")
@@ -82,7 +81,7 @@ def scored_events(instances: DataFrame, snapshots: DataFrame) -> DataFrame:
     defaults (no look-ahead).
     """
     values = ["market_cap", "revenue", "cash", "debt", "products"]
-    rows = asof_join(instances, snapshots.withColumnRenamed("as_of", "snapshot_at"), ["symbol"], "first_seen", "snapshot_at", values)
+    rows = asof_join(instances, snapshots.withColumnRenamed("as_of", "snapshot_at").repartition("symbol"), ["symbol"], "first_seen", "snapshot_at", values)
     rows = rows.withColumns({v: F.coalesce(v, F.lit(0)).cast("double") for v in values})
     cap, cash, debt, revenue = (F.col(c) for c in ("market_cap", "cash", "debt", "revenue"))
     rows = once(
@@ -97,26 +96,27 @@ def scored_events(instances: DataFrame, snapshots: DataFrame) -> DataFrame:
     return once(rows, {k: F.round(v, 9) for k, v in scores.items()}).withColumns({"horizon_bucket": horizon_bucket(F.col("days_until")), "source_label": source_label(F.col("source"))})
 
 
-def cluster_controls(matched: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+def cluster_controls(matched: DataFrame, limits: Thresholds = Thresholds(), columns: tuple[str, ...] | None = None) -> DataFrame:
     """Events of which a symbol has no two active windows at a time: active, blocked_by, cluster_reason, deployable.
 
     A window runs from the first sight, or ``max_lookback_days`` before the date, to ``post_window_days`` after the matched
-    outcome, or after the date where none is matched.
+    outcome, or after the date where none is matched. ``columns`` are those of the events to keep (all by default): they pass through Python.
     """
     days = lambda n: F.expr(f"INTERVAL {n} DAYS")
     start = F.greatest(F.col("first_seen"), F.col("expected_date") - days(limits.max_lookback_days))
     end = F.coalesce("matched_at", "expected_date") + days(limits.post_window_days)
     order = [start, (~F.col("strict")).cast("int"), -F.col("source_priority"), -F.col("pre_event_score"), -F.col("importance"), F.col("expected_date"), F.col("event_instance_id")]
-    rows = greedy_intervals(matched, ["symbol"], order, start, end, "event_instance_id")
+    kept = None if columns is None else [c for c in matched.columns if c in (*columns, "symbol", "event_instance_id", "strict", "days_until", "first_seen", "expected_date")]
+    rows = greedy_intervals(matched, ["symbol"], order, start, end, "event_instance_id", kept)
     low, high = limits.deployable_days
     reason = F.when(F.col("first_seen").isNull() | F.col("expected_date").isNull(), "invalid_cluster_window").when(~F.col("active"), "overlapping_active_event_window")
     return rows.withColumns({"cluster_reason": reason, "deployable": F.col("strict") & F.col("days_until").between(low, high) & F.col("active")})
 
 
-def event_master(catalysts: DataFrame, snapshots: DataFrame, tape: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """One row per event instance: first and latest view, context, scores, matched outcome, cluster control."""
+def event_master(catalysts: DataFrame, snapshots: DataFrame, tape: DataFrame, limits: Thresholds = Thresholds(), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per event instance: first and latest view, context, scores, matched outcome, cluster control; of the events' own columns only ``columns`` if given."""
     scored = scored_events(canonical_events(catalysts, limits), snapshots)
-    return cluster_controls(match_outcomes(scored, outcome_master(tape)), limits)
+    return cluster_controls(match_outcomes(scored, outcome_master(tape)), limits, columns)
 
 
 def outcome_master(tape: DataFrame) -> DataFrame:
@@ -124,7 +124,8 @@ def outcome_master(tape: DataFrame) -> DataFrame:
     rows = classified(tape.where("event_timestamp is not null"), "event_timestamp")
     status, at, title = F.col("status"), F.col("event_timestamp"), F.col("title")
     rows = once(rows, {"outcome_label": outcome(F.col("event_family"), F.col("event_bucket"), title, status), "timing_priority": timing_priority(status, at, title)})
-    return latest(rows, ["symbol", "event_id", "event_timestamp", "source"], [F.asc("title")])
+    # by symbol once, behind the Python functions (which do not keep partitions): later steps by symbol stay where they are
+    return latest(rows.repartition("symbol"), ["symbol", "event_id", "event_timestamp", "source"], [F.asc("title")])
 
 
 def match_outcomes(master: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -132,39 +133,57 @@ def match_outcomes(master: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     Candidates share symbol and bucket and lie in a band around the expected date; the tight band comes before
     the standard one for exact events, the standard before the wide one for others. Within a band:
-    same type first, then timing priority, then nearness. The join is on symbol, bucket and a stretch of as many days as the
-    widest band has (an event meets two stretches), so a symbol of many events does not meet all its outcomes.
+    same type first, then timing priority, then nearness. The bands lie within each other and nearness is the last to count, so of the outcomes of a
+    type and priority only the last before and the first after an event can be its best: no pair of event and outcome is formed. Both
+    sides are stacked and carried along in order of time, per bucket and per type, and stay with their symbol.
     """
     days = lambda n: F.expr(f"INTERVAL {n} DAYS")
-    t, at, since = F.col("event_timestamp"), F.col("expected_date"), F.col("first_seen")
-    inside = lambda back, ahead: (t >= F.greatest(since, at - days(back))) & (t <= at + days(ahead))
-    stretch = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / (45 * 86400))
-    band = F.when(F.col("timing_exact"), F.when(inside(2, 10), 0).when(inside(5, 21), 1)).otherwise(F.when(inside(5, 21), 1).when(inside(14, 30), 2))
-    events = master.select(F.struct(*master.columns).alias("e"), "symbol", "event_bucket", "event_family", "timing_exact", "expected_date", "first_seen", "event_instance_id")
-    events = events.withColumn("stretch", F.explode(F.sequence(stretch(at - days(14)), stretch(at + days(30)))))
+    at, since = F.col("expected_date"), F.col("first_seen")
+    inside = lambda t, back, ahead: (t >= F.greatest(since, at - days(back))) & (t <= at + days(ahead))
     labelled = outcomes.where("outcome_label is not null").select(
-        F.col("symbol").alias("s"), F.col("event_bucket").alias("b"), stretch(t).alias("x"), "event_timestamp", "event_type", "timing_priority", "event_id", "outcome_label"
-    )
-    same = (F.col("symbol") == F.col("s")) & (F.col("event_bucket") == F.col("b")) & (F.col("stretch") == F.col("x")) & inside(14, 30)
-    best = F.struct(
-        band.alias("band"), (-(F.col("event_type") == F.col("event_family")).cast("int")).alias("same"), (-F.col("timing_priority")).alias("priority"),
-        F.abs(F.unix_timestamp(t) - F.unix_timestamp(at)).alias("distance"), F.col("event_id").alias("matched_id"), t.alias("matched_at"), F.col("outcome_label").alias("matched_label"),
+        "symbol", "event_bucket", F.col("event_type").alias("_type"), F.col("event_timestamp").cast("timestamp").alias("_time"), F.lit(False).alias("_event"), F.col("event_id").alias("_id"),
+        F.struct(F.col("event_timestamp").alias("t"), F.col("timing_priority").alias("p"), F.col("event_type").alias("type"), F.col("event_id").alias("id"), F.col("outcome_label").alias("label")).alias("_o"),
     )
-    found = events.join(labelled, same, "left").groupBy("event_instance_id").agg(F.first("e").alias("e"), F.min(F.when(band.isNotNull(), best)).alias("m"))
+    events = master.select("*", F.col("event_family").alias("_type"), F.col("expected_date").cast("timestamp").alias("_time"), F.lit(True).alias("_event"))
+    both = events.unionByName(labelled, allowMissingColumns=True)
+    # an outcome that could not be known at first sight is none: events first seen after their date look ahead from there
+    start = F.when(F.col("_event"), F.greatest("_time", F.col("first_seen").cast("timestamp"))).otherwise(F.col("_time"))
+    found = []
+    for kind, by in (("any", ["symbol", "event_bucket"]), ("same", ["symbol", "event_bucket", "_type"])):
+        w = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # of outcomes at one time the smallest id is the last that is seen, in either direction
+        for side, order in (("before", [F.asc("_time"), F.asc("_event"), F.desc("_id")]), ("after", [start.desc(), F.asc("_event"), F.desc("_id")])):
+            names = {f"_{kind}_{side}_{p}": F.last(F.when(F.col("_o.p") == p, F.col("_o")), ignorenulls=True).over(w.orderBy(*order)) for p in DATED_PRIORITIES}
+            both = both.withColumns(names)
+            found += names
+    rows = both.where("_event")
+
+    def candidate(o: Column) -> Column:
+        t = o["t"]
+        band = F.when(F.col("timing_exact"), F.when(inside(t, 2, 10), 0).when(inside(t, 5, 21), 1)).otherwise(F.when(inside(t, 5, 21), 1).when(inside(t, 14, 30), 2))
+        same = (-F.coalesce(o["type"] == F.col("event_family"), F.lit(False)).cast("int")).alias("same")
+        best = F.struct(band.alias("band"), same, (-o["p"]).alias("priority"), F.abs(F.unix_timestamp(t) - F.unix_timestamp(at)).alias("distance"), o["id"].alias("matched_id"), t.alias("matched_at"), o["label"].alias("matched_label"))
+        return F.when(band.isNotNull(), best)
+
+    found = once(rows, {"m": F.array_min(F.array(*[candidate(F.col(c)) for c in found]))})
     names = F.when(F.col("m.band") == 0, "tight").when(F.col("m.band") == 1, "standard").when(F.col("m.band") == 2, "wide")
-    return found.select("e.*", "m.matched_id", "m.matched_at", "m.matched_label", names.alias("matched_window"))
+    return found.select(*master.columns, "m.matched_id", "m.matched_at", "m.matched_label", names.alias("matched_window"))
 
 
 def _priced(rows: DataFrame, prices: DataFrame, at: str, name: str, direction: str = "forward") -> DataFrame:
     return asof_join(rows, prices, ["symbol"], at, "date", ["close"], direction, prefix=f"{name}_").withColumnRenamed(f"{name}_close", name)
 
 
+#: What trades read of an event, beside its expected date and whether its timing is strict.
+TRADED = ("event_instance_id", "symbol", "event_family", "event_bucket", "market_cap", "financing_risk", "confidence_proxy", "pre_event_score", "horizon_bucket", "timing_exact", "first_seen", "matched_at", "matched_label")
+
+
 def trades(matched: DataFrame, prices: DataFrame, volatility: float = 0.35) -> DataFrame:
     """Trade rows of the three sleeves for active events, then greedily non-overlapping per sleeve, variant and symbol.
 
     Costs follow market value, ``volatility`` (a default where events carry none) and, for shorts, the borrow.
     """
-    events = matched.where("active")
+    events, prices = matched.where("active"), prices.repartition("symbol")
     day = lambda c, n: F.col(c) + F.expr(f"INTERVAL {n} DAYS")
     variants = F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(n).alias("days")) for k, n in ENTRY_DAYS.items()])
     pre = events.where("strict").select("*", F.inline(variants)).withColumn("entry_at", F.col("expected_date") - F.make_dt_interval(F.col("days")))
@@ -177,8 +196,7 @@ def trades(matched: DataFrame, prices: DataFrame, volatility: float = 0.35) -> D
         }
     )
     rows = pre.drop("days").unionByName(after)
-    keep = ["event_instance_id", "symbol", "event_family", "event_bucket", "market_cap", "financing_risk", "confidence_proxy", "pre_event_score", "horizon_bucket", "timing_exact", "first_seen", "matched_at", "matched_label"]
-    rows = rows.select(*keep, "sleeve", "variant", "entry_at", "exit_at")
+    rows = rows.select(*TRADED, "sleeve", "variant", "entry_at", "exit_at")
     rows = _priced(_priced(_priced(rows, prices, "entry_at", "entry"), prices, "exit_at", "exit"), prices, "matched_at", "anchor", "backward")
     rows = rows.where("entry > 0 and exit is not null and (sleeve <> 'post_event_reaction_long' or anchor > 0)")
     short, post = F.col("sleeve") == "event_short_or_pairs", F.col("sleeve") == "post_event_reaction_long"
@@ -195,7 +213,6 @@ def trades(matched: DataFrame, prices: DataFrame, volatility: float = 0.35) -> D
     rows = rows.withColumns({"gross_return": F.round(gross, 9), "cost_adjusted_return": F.round(gross - cost, 9), "score": F.round(score, 9)})
     rows = rows.withColumn("knowledge_bucket", knowledge_bucket(whole_days(F.col("entry_at"), F.col("first_seen"))))
     order = [F.col("entry_at"), (~F.col("timing_exact")).cast("int"), -F.col("score"), F.col("event_instance_id")]
-    kept = greedy_intervals(rows, ["sleeve", "variant", "symbol"], order, F.col("entry_at"), F.col("exit_at"), "event_instance_id")
-    return kept.where("active").select(
-        "sleeve", "variant", "symbol", "event_instance_id", "event_family", "entry_at", "exit_at", "gross_return", "cost_adjusted_return", "score", "horizon_bucket", "knowledge_bucket", "timing_exact"
-    )
+    told = ["sleeve", "variant", "symbol", "event_instance_id", "event_family", "entry_at", "exit_at", "gross_return", "cost_adjusted_return", "score", "horizon_bucket", "knowledge_bucket", "timing_exact"]
+    kept = greedy_intervals(rows, ["sleeve", "variant", "symbol"], order, F.col("entry_at"), F.col("exit_at"), "event_instance_id", told)
+    return kept.where("active").select(*told)
