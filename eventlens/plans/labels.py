@@ -14,6 +14,7 @@ def forward_returns(snapshots: DataFrame, prices: DataFrame, horizons: tuple[int
 
     The horizons are stacked as rows, so one forward as-of join serves them all.
     """
+    snapshots, prices = snapshots.repartition("symbol"), prices.repartition("symbol")  # both joins and the sums stay by symbol
     based = asof_join(snapshots, prices, ["symbol"], "as_of", "date", ["close"]).where("close > 0").withColumnRenamed("close", "base").drop("date")
     stacked = based.select("symbol", "as_of", "base", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("h"))
     stacked = stacked.withColumn("target", F.col("as_of") + F.make_dt_interval(F.col("h")))
@@ -32,6 +33,7 @@ def benchmark_alpha(returns: DataFrame, benchmark: int, horizon: int) -> DataFra
 def event_window_return(events: DataFrame, prices: DataFrame, at: str, days: int = 5) -> DataFrame:
     """Move from the last close at or before ``days`` before the event to the first at or after ``days`` after it."""
     step = F.expr(f"INTERVAL {days} DAYS")
+    events, prices = events.repartition("symbol"), prices.repartition("symbol")
     rows = events.withColumns({"_from": F.col(at) - step, "_to": F.col(at) + step})
     rows = asof_join(rows, prices, ["symbol"], "_from", "date", ["close"], prefix="before_")
     rows = asof_join(rows, prices, ["symbol"], "_to", "date", ["close"], "forward", prefix="after_")
@@ -56,6 +58,7 @@ def volatility(prices: DataFrame, days: int = 63, least: int = 10) -> DataFrame:
 
 def trailing_return(rows: DataFrame, prices: DataFrame, at: str, days: int) -> DataFrame:
     """``rows`` with ``trailing_return``: the last close at or before ``at`` against the one ``days`` earlier."""
+    rows, prices = rows.repartition("symbol"), prices.repartition("symbol")
     now = asof_join(rows, prices, ["symbol"], at, "date", ["close"], prefix="now_")
     both = asof_join(now.withColumn("_then", F.col(at) - F.expr(f"INTERVAL {days} DAYS")), prices, ["symbol"], "_then", "date", ["close"], prefix="then_")
     value = F.when(F.col("then_close") > 0, F.col("now_close") / F.col("then_close") - 1)
