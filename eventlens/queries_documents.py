@@ -7,34 +7,43 @@ from pyspark.sql import functions as F
 from eventlens import oracle as q
 from eventlens.adapters import SQL_CATALYSTS, SQL_SNAPSHOTS, catalysts, prices, snapshots, table
 from eventlens.functions import rules
+from eventlens.operators.rows import once
 from eventlens.plans import labels as lb
 from eventlens.queries import _RETURNS, query
 from eventlens.queries_recommend import _SIGNALS, _signals
 from eventlens.sources import snapshots as sn
 
 
-def _documents(spark, sf):
-    """A JSON document per symbol and order quarter, rebuilt from its text: two programs with trials, products, and the quarter's events, each twice."""
+def _documents(spark, sf, name):
+    """A JSON document per symbol and order quarter, rebuilt from its text as far as the table ``name`` reads it: programs with trials, products, and the quarter's events, each twice."""
     event = F.struct(
         F.col("program_id").cast("string").alias("program_id"), "event_id", "event_type", "title", F.date_format("expected_date", "yyyy-MM-dd").alias("expected_date"),
         F.datediff("expected_date", "as_of").cast("bigint").alias("horizon_days"), F.lit(0.5).alias("probability"), F.col("importance").cast("double").alias("importance"),
         F.col("crowdedness").cast("double").alias("crowdedness"), "status",
     )
-    rows = catalysts(spark, sf).select("symbol", F.date_format(F.date_trunc("quarter", "as_of"), "yyyy-MM-dd").alias("quarter"), "program_id", event.alias("e"))
-    trial = F.struct(F.col("e.event_id").alias("trial_id"), F.col("e.title").alias("title"), F.col("e.event_type").alias("phase"), F.col("e.status").alias("status"), F.split("e.title", " ").alias("conditions"), F.array("e.event_type").alias("interventions"), F.col("e.horizon_days").alias("enrollment"), F.array("e.title", "e.status").alias("primary_outcomes"))
-    programs = rows.groupBy("symbol", "quarter", "program_id").agg(F.collect_list(trial).alias("trials"), F.max("e.importance").alias("best"), F.count("*").alias("n"), F.max("e.event_type").alias("kind"))
-    program = F.struct(F.col("program_id").cast("string").alias("program_id"), F.concat(F.lit("P"), "program_id").alias("name"), F.lit("antibody").alias("modality"), F.col("kind").alias("phase"), F.array("kind", F.col("n").cast("string")).alias("conditions"), (F.col("best") / 2).alias("pos_prior"), (F.col("n") * 1e8).alias("tam_estimate"), "trials")
-    programs = programs.groupBy("symbol", "quarter").agg(F.collect_list(program).alias("programs"))
-    events = rows.groupBy("symbol", "quarter").agg(F.sort_array(F.collect_list("e")).alias("once")).select("symbol", "quarter", F.concat("once", "once").alias("catalyst_events"), "once")
+    # rows are shuffled once, to their document; programs are cut from its events
+    rows = catalysts(spark, sf).withColumn("quarter", F.date_format(F.date_trunc("quarter", "as_of"), "yyyy-MM-dd")).repartition("symbol", "quarter")
+    events = rows.groupBy("symbol", "quarter").agg(F.sort_array(F.collect_list(event)).alias("once"))
+    trial = lambda e: F.struct(
+        e["event_id"].alias("trial_id"), e["title"].alias("title"), e["event_type"].alias("phase"), e["status"].alias("status"), F.split(e["title"], " ").alias("conditions"), F.array(e["event_type"]).alias("interventions"), e["horizon_days"].alias("enrollment"), F.array(e["title"], e["status"]).alias("primary_outcomes")
+    )
+    best = lambda own, c: F.array_max(F.transform(own, lambda e: e[c]))
+    program = lambda g: F.struct(
+        g["id"].alias("program_id"), F.concat(F.lit("P"), g["id"]).alias("name"), F.lit("antibody").alias("modality"), best(g["own"], "event_type").alias("phase"), F.array(best(g["own"], "event_type"), F.size(g["own"]).cast("string")).alias("conditions"),
+        (best(g["own"], "importance") / 2).alias("pos_prior"), (F.size(g["own"]) * 1e8).alias("tam_estimate"), F.transform(g["own"], trial).alias("trials"),
+    )
+    own = lambda i: F.struct(i.alias("id"), F.filter("once", lambda e: e["program_id"].eqNullSafe(i)).alias("own"))
+    events = once(events, {"_groups": F.transform(F.array_distinct(F.transform("once", lambda e: e["program_id"])), own)})
+    events = events.select("symbol", "quarter", F.concat("once", "once").alias("catalyst_events"), "once", F.transform("_groups", program).alias("programs"))
     product = F.transform(F.filter("catalyst_events", lambda e, i: (i % 3 == 0) & (e["importance"] >= 0.7)), lambda e: F.struct(e["event_id"].alias("product_id"), F.lit("Sold").alias("name"), e["title"].alias("indication"), (e["crowdedness"] * 1e8).alias("annual_revenue")))
     financing = F.transform(F.filter("once", lambda e: e["status"] == "phase_timing_estimate"), lambda e: F.struct(e["event_id"].alias("event_id"), e["event_type"].alias("event_type"), e["probability"].alias("probability"), e["horizon_days"].alias("horizon_days"), e["crowdedness"].alias("expected_dilution_pct"), e["title"].alias("summary")))
     money = snapshots(spark, sf).select("symbol", F.date_format("as_of", "yyyy-MM-dd").alias("quarter"), "market_cap", "revenue", "cash", "debt")
-    docs = programs.join(events, ["symbol", "quarter"]).join(money, ["symbol", "quarter"], "left").select(
+    docs = events.join(money, ["symbol", "quarter"], "left").select(
         F.col("symbol").cast("string").alias("ticker"), F.concat(F.lit("Company "), "symbol").alias("company_name"), F.col("quarter").alias("as_of"), "market_cap", "revenue", "cash", "debt", "programs", product.alias("approved_products"), "catalyst_events", financing.alias("financing_events"),
         F.create_map(F.lit("is_delisted"), F.when(F.col("symbol") % 2 == 0, "True").otherwise("false")).alias("metadata"),
     )
     text = docs.select(F.to_json(F.struct(*docs.columns)).alias("text"))
-    return text.select(sn.rebuilt(F.col("text")).alias("d")).select("d.*")
+    return sn.rebuilt_rows(text, "text", sn.READ[name])
 
 
 _DOCS = f"{SQL_CATALYSTS}, d AS (SELECT *, CAST(symbol AS VARCHAR) AS ticker, strftime(date_trunc('quarter', as_of), '%Y-%m-%d') AS quarter, strftime(expected_date, '%Y-%m-%d') AS day FROM catalysts)"
@@ -48,37 +57,37 @@ _DOCS = f"{SQL_CATALYSTS}, d AS (SELECT *, CAST(symbol AS VARCHAR) AS ticker, st
 )
 def snapshot_programs(spark, sf):
     """Programs and approved products of snapshot documents."""
-    return sn.snapshot_tables(_documents(spark, sf))["programs"].select("ticker", "as_of", "program_id", "phase", "conditions", "pos_prior", "tam_estimate")
+    return sn.snapshot_tables(_documents(spark, sf, "programs"))["programs"].select("ticker", "as_of", "program_id", "phase", "conditions", "pos_prior", "tam_estimate")
 
 
 @query(f"WITH {_DOCS}, {SQL_SNAPSHOTS} SELECT ticker, any_value('Company ' || symbol) AS company_name, quarter AS as_of, any_value(s.market_cap) AS market_cap, any_value(s.revenue) AS revenue, any_value(s.cash) AS cash, any_value(s.debt) AS debt FROM d LEFT JOIN (SELECT symbol AS k, strftime(as_of, '%Y-%m-%d') AS t, market_cap, revenue, cash, debt FROM snapshots) s ON k = symbol AND t = quarter GROUP BY ticker, quarter")
 def snapshot_companies(spark, sf):
     """Company rows of snapshot documents."""
-    return sn.snapshot_tables(_documents(spark, sf))["company_snapshots"]
+    return sn.snapshot_tables(_documents(spark, sf, "company_snapshots"))["company_snapshots"]
 
 
 @query(f"WITH {_DOCS} SELECT ticker, quarter AS as_of, CAST(program_id AS VARCHAR) AS program_id, event_id, event_type, title, day AS expected_date, date_diff('day', as_of, expected_date) AS horizon_days, 0.5::DOUBLE AS probability, importance, crowdedness, status FROM d GROUP BY ALL")
 def snapshot_catalysts(spark, sf):
     """Catalysts of snapshot documents, each event once."""
-    return sn.snapshot_tables(_documents(spark, sf))["catalysts"]
+    return sn.snapshot_tables(_documents(spark, sf, "catalysts"))["catalysts"]
 
 
 @query(f"WITH {_DOCS} SELECT ticker, quarter AS as_of, event_id, event_type, 0.5::DOUBLE AS probability, date_diff('day', as_of, expected_date) AS horizon_days, crowdedness AS expected_dilution_pct, title AS summary FROM d WHERE status = 'phase_timing_estimate'")
 def snapshot_financing(spark, sf):
     """Financing events of snapshot documents."""
-    return sn.snapshot_tables(_documents(spark, sf))["financing_events"]
+    return sn.snapshot_tables(_documents(spark, sf, "financing_events"))["financing_events"]
 
 
 @query(f"WITH {_DOCS} SELECT ticker, quarter AS as_of, event_id, day AS event_timestamp, {q.exact('status', 'title')} AS timing_exact, {q.synthetic('status', 'title')} AS timing_synthetic FROM d GROUP BY ALL")
 def snapshot_tape(spark, sf):
     """Event tape of snapshot documents: each event once, with its timing flags."""
-    return sn.snapshot_tables(_documents(spark, sf))["event_tape"].select("ticker", "as_of", "event_id", "event_timestamp", "timing_exact", "timing_synthetic")
+    return sn.snapshot_tables(_documents(spark, sf, "event_tape"))["event_tape"].select("ticker", "as_of", "event_id", "event_timestamp", "timing_exact", "timing_synthetic")
 
 
 @query(f"WITH {_DOCS} SELECT ticker, quarter AS as_of, CAST(program_id AS VARCHAR) AS program_id, event_id AS trial_id, date_diff('day', as_of, expected_date) AS enrollment, event_type AS phase, to_json(string_split(title, ' '))::VARCHAR AS conditions, to_json([title, status])::VARCHAR AS primary_outcomes FROM d")
 def snapshot_trials(spark, sf):
     """Trials of the programs of snapshot documents."""
-    return sn.snapshot_tables(_documents(spark, sf))["trials"].select("ticker", "as_of", "program_id", "trial_id", "enrollment", "phase", "conditions", "primary_outcomes")
+    return sn.snapshot_tables(_documents(spark, sf, "trials"))["trials"].select("ticker", "as_of", "program_id", "trial_id", "enrollment", "phase", "conditions", "primary_outcomes")
 
 
 @query(
@@ -86,7 +95,7 @@ def snapshot_trials(spark, sf):
 )
 def snapshot_membership(spark, sf):
     """Universe membership of snapshot documents."""
-    return sn.snapshot_tables(_documents(spark, sf))["universe_membership"].select("ticker", "as_of", "membership_source", "is_delisted", "has_exact_event")
+    return sn.snapshot_tables(_documents(spark, sf, "universe_membership"))["universe_membership"].select("ticker", "as_of", "membership_source", "is_delisted", "has_exact_event")
 
 
 _FEATURES = {

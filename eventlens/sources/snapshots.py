@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlens.functions.taxonomy import is_exact_timing, is_synthetic
+from eventlens.operators.rows import once
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -40,6 +41,21 @@ def rebuilt(text: Column) -> Column:
     return F.from_json(text, SNAPSHOT)
 
 
+def rebuilt_rows(documents: DataFrame, text: str, fields: tuple[str, ...]) -> DataFrame:
+    """Snapshots from the JSON ``text`` of documents; only ``fields`` are parsed, the others are null. A text is parsed once, whatever is read of it."""
+    some = T.StructType([f for f in SNAPSHOT.fields if f.name in fields])
+    rows = once(documents, {"_d": F.from_json(text, some)})
+    return rows.select(*[(F.col(f"_d.{f.name}") if f.name in fields else F.lit(None).cast(f.dataType)).alias(f.name) for f in SNAPSHOT.fields])
+
+
+#: What the flat tables read of a document.
+READ = {
+    "company_snapshots": ("ticker", "company_name", "as_of", "market_cap", "revenue", "cash", "debt"), "programs": ("ticker", "as_of", "programs", "approved_products"), "trials": ("ticker", "as_of", "programs"),
+    "catalysts": ("ticker", "as_of", "catalyst_events"), "event_tape": ("ticker", "as_of", "catalyst_events"), "financing_events": ("ticker", "as_of", "financing_events"),
+    "universe_membership": ("ticker", "company_name", "as_of", "catalyst_events", "metadata"),
+}
+
+
 def snapshot_tables(docs: DataFrame) -> dict[str, DataFrame]:
     """The flat tables of snapshot documents: company_snapshots, programs, trials, catalysts, event_tape, financing_events, universe_membership.
 
@@ -48,19 +64,20 @@ def snapshot_tables(docs: DataFrame) -> dict[str, DataFrame]:
     """
     key = ["ticker", "as_of"]
     programs = docs.select(*key, F.explode("programs").alias("p"))
-    flat = programs.select(*key, "p.program_id", "p.name", "p.modality", "p.phase", F.to_json("p.conditions").alias("conditions"), "p.pos_prior", "p.tam_estimate")
-    sold = docs.select(*key, F.explode("approved_products").alias("p")).select(
-        *key, F.col("p.product_id").alias("program_id"), "p.name", F.lit("commercial").alias("modality"), F.lit("APPROVED").alias("phase"), F.to_json(F.array("p.indication")).alias("conditions"),
-        F.lit(1.0).alias("pos_prior"), F.col("p.annual_revenue").alias("tam_estimate"),
-    )
+    names = ("program_id", "name", "modality", "phase", "conditions", "pos_prior", "tam_estimate")
+    line = lambda *values: F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
+    own = F.transform("programs", lambda p: line(p["program_id"], p["name"], p["modality"], p["phase"], F.to_json(p["conditions"]), p["pos_prior"], p["tam_estimate"]))
+    sold = F.transform("approved_products", lambda p: line(p["product_id"], p["name"], F.lit("commercial"), F.lit("APPROVED"), F.to_json(F.array(p["indication"])), F.lit(1.0), p["annual_revenue"]))
+    flat = docs.select(*key, F.inline(F.flatten(F.array_compact(F.array(own, sold)))))  # one pass over the documents for both
     trials = programs.select(*key, "p.program_id", F.explode("p.trials").alias("t")).select(
         *key, "program_id", "t.trial_id", "t.title", "t.phase", "t.status", F.to_json("t.conditions").alias("conditions"), F.to_json("t.interventions").alias("interventions"), "t.enrollment",
         F.to_json("t.primary_outcomes").alias("primary_outcomes"),
     )
-    # the first of its (id, date) in the array: no shuffle, as a document holds its own events
-    same = lambda a, b: a["event_id"].eqNullSafe(b["event_id"]) & a["expected_date"].eqNullSafe(b["expected_date"])
-    first = F.filter("catalyst_events", lambda e, i: ~F.exists(F.slice("catalyst_events", F.lit(1), i), lambda before: same(before, e)))
-    catalysts = docs.select(*key, F.inline(first))
+    # sorted by (id, date, place), the first of each (id, date) is the one that differs from the one before: no shuffle, and no pair of events is compared
+    placed = F.array_sort(F.transform("catalyst_events", lambda e, i: F.struct(F.struct(e["event_id"], e["expected_date"]).alias("k"), i.alias("i"), e.alias("e"))))
+    before = lambda i: F.get("_placed", i - 1)["k"]
+    first = F.transform(F.filter("_placed", lambda p, i: (i == 0) | (p["k"] != before(i))), lambda p: p["e"])
+    catalysts = once(docs.select(*key, "catalyst_events"), {"_placed": placed}).select(*key, F.inline(first))
     day = F.try_to_timestamp("expected_date")
     tape = catalysts.select(
         *key, "event_id", "event_type", "title", F.col("expected_date").alias("event_timestamp"), "status", is_exact_timing(F.col("status"), day, F.col("title")).alias("timing_exact"),
@@ -74,7 +91,7 @@ def snapshot_tables(docs: DataFrame) -> dict[str, DataFrame]:
     )
     return {
         "company_snapshots": docs.select("ticker", "company_name", "as_of", "market_cap", "revenue", "cash", "debt"),
-        "programs": flat.unionByName(sold),
+        "programs": flat,
         "trials": trials,
         "catalysts": catalysts,
         "event_tape": tape,

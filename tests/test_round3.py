@@ -52,3 +52,21 @@ def test_rows_by_symbol_stay_there_through_joins_and_greedy_selection(spark):
     out = greedy_intervals(joined, ["symbol"], [F.col("t")], F.col("t"), F.col("t"), "id", ["symbol", "id", "close"])
     assert exchanges(out) == 2 and "repeat" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.id, r.close, r.active) for r in out.collect()} == {(i, i, True) for i in range(50)}
+
+
+def test_programs_and_products_come_from_one_pass_and_events_count_once(spark):
+    from eventlens.sources.snapshots import READ, SNAPSHOT, rebuilt, rebuilt_rows, snapshot_tables
+
+    event = '{"program_id": "p", "event_id": %s, "title": "%s", "expected_date": "2026-01-02"}'
+    events = [event % ('"b"', "first"), event % ('"a"', "x"), event % ('"b"', "second"), event % ("null", "n"), event % ("null", "m")]
+    text = '{"ticker": "T", "as_of": "2026-01-01", "programs": [{"program_id": "1", "conditions": ["c"]}], "approved_products": [{"product_id": "s", "indication": "i"}], "catalyst_events": [%s]}' % ", ".join(events)
+    docs = spark.createDataFrame([(text,), ("no document",), ('{"ticker": "U"}',)], "text string").select(rebuilt(F.col("text")).alias("d")).select("d.*")
+    tables = snapshot_tables(docs)
+    assert "Union" not in tables["programs"]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.ticker, r.program_id, r.phase, r.conditions) for r in tables["programs"].collect()) == [("T", "1", None, '["c"]'), ("T", "s", "APPROVED", '["i"]')]
+    assert "exists" not in tables["catalysts"]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((str(r.event_id), r.title) for r in tables["catalysts"].collect()) == [("None", "n"), ("a", "x"), ("b", "first")]
+    for name, fields in READ.items():
+        some = rebuilt_rows(spark.createDataFrame([(text,)], "text string"), "text", fields)
+        assert some.columns == SNAPSHOT.names
+        assert snapshot_tables(some)[name].collect() == snapshot_tables(docs.where("ticker = 'T'"))[name].collect()
