@@ -9,6 +9,7 @@ from eventlens import oracle as q
 from eventlens.adapters import SQL_SNAPSHOTS, prices, snapshots, table
 from eventlens.operators.asof import latest, nearest_join
 from eventlens.operators.isotonic import isotonic_blocks
+from eventlens.operators.rows import cut
 from eventlens.plans import labels as lb
 from eventlens.plans import models
 from eventlens.queries import _RETURNS, query
@@ -20,11 +21,11 @@ _FEATURES = ["cap", "turn", "net", "products"]
 
 
 def _frame(spark, sf):
-    """Snapshots with four features and forward returns."""
+    """Snapshots with four features and forward returns; written once, as models read them in several jobs."""
     base = snapshots(spark, sf)
     rows = lb.forward_returns(base, prices(spark, sf)).join(base, ["symbol", "as_of"])
     ratio = lambda x: F.coalesce(F.try_divide(x, F.col("market_cap")), F.lit(0.0))
-    return rows.select("symbol", "as_of", "return_30d", "return_90d", F.log10(F.col("market_cap") + 1).alias("cap"), ratio(F.col("revenue")).alias("turn"), ratio(F.col("cash") - F.col("debt")).alias("net"), F.col("products").cast("double").alias("products"))
+    return cut(rows.select("symbol", "as_of", "return_30d", "return_90d", F.log10(F.col("market_cap") + 1).alias("cap"), ratio(F.col("revenue")).alias("turn"), ratio(F.col("cash") - F.col("debt")).alias("net"), F.col("products").cast("double").alias("products")))
 
 
 @query(

@@ -39,3 +39,9 @@ def test_names_are_cleaned_and_judged_as_by_their_rules(spark):
     )
     for r in rows.collect():
         assert (r.a, r.c) == (r.b, r.d), r
+
+
+def test_models_read_their_frame_from_one_write(spark):
+    for name in ("training_flow", "ablation_deltas", "ridge_walk_forward"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_shipdate" not in plan and "LogicalRDD" in plan, name
