@@ -9,6 +9,7 @@ from eventlens.functions.numeric import company_state
 from eventlens.operators.asof import latest
 from eventlens.operators.intervals import active_interval
 from eventlens.operators.rankstats import nearest_peers, peer_summary, posture
+from eventlens.operators.rows import cut
 from eventlens.plans import history, lens
 from eventlens.queries import query
 
@@ -54,7 +55,8 @@ def _history_inputs(spark, sf):
 def rebuilt_history(spark, sf):
     """Snapshots of every symbol at its last eight filing anchors, from facts ended and filed by then."""
     filings, facts, closes, now = _history_inputs(spark, sf)
-    rows = history.rebuilt_snapshots(history.history_anchors(filings, now), facts, closes, now)
+    now = cut(now)  # a row per symbol; the anchors are eight at most: both are read by several joins
+    rows = history.rebuilt_snapshots(cut(history.history_anchors(filings, now)), facts, closes, now)
     digits = {"price": 6, "shares": 3, "market_cap": 2, "enterprise_value": 2, "revenue": 2, "cash": 2, "debt": 2, "momentum_3mo": 6, "trailing_6mo_return": 6, "volatility": 6}
     return rows.withColumns({c: F.round(c, d) for c, d in digits.items()})
 

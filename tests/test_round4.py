@@ -61,3 +61,8 @@ def test_program_features_read_the_events_once(spark):
     summed = ft.summed_program_features(companies, events, sums, told)
     rows = lambda df: sorted(map(repr, df.select(*key, "catalyst_timing_importance", "program_quality_trial_count", "state_profile_launch_progress_pct", "catalyst_timing_company_event_priority").collect()))
     assert rows(summed) == rows(apart) and summed.columns == apart.columns
+
+
+def test_anchors_are_spaced_once(spark):
+    plan = QUERIES["rebuilt_history"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "LogicalRDD" in plan
