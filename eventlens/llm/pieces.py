@@ -6,7 +6,8 @@ of equals) is merged until none is left, then symbols outside the vocabulary fal
 
 No piece of a usable vocabulary has U+2581 after another character (checked when a model is
 loaded), so no merge crosses the start of a space run and the agenda may run on each
-space-led segment alone. Segments recur, so a worker caches their ids. New segments of a batch run
+space-led segment alone. Segments recur, so a worker caches their ids. Arrow splits a batch and numbers its different segments,
+and their ids lie in one numpy array with a range per segment, so no segment costs Python objects. New segments of a batch run
 together: short ones in numpy, one agenda step of all segments at a time; long ones with a
 heap. Every new segment is checked against the sentencepiece library, and decoded texts likewise.
 """
@@ -16,10 +17,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from itertools import chain
+import sys
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +31,15 @@ from eventlens.llm.textops import byte_slices, text_column
 MARK = "▁"
 _NONE = np.int64(1 << 40)
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-_PLAIN = re.compile(f"  |\\A |\\Z(?<= )|{MARK}")
 _SHORT = 24
-_CACHED = 150_000
+_CACHED = 300_000
+_SLICE = 2_000_000
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(int(counts.sum()))
 
 
 class Merges:
@@ -49,6 +58,10 @@ class Merges:
         if len(self.bytes) != 256 or any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a model with byte fallback and without inner spaces in pieces is needed")
         self.ints = list(range(n))
+        self.characters = np.arange(n, n + sys.maxunicode + 1)  # symbol of every code point
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.characters[ord(piece)] = i
         scores = np.array([sp.get_score(i) for i in range(n)])
         rank = np.unique(-scores, return_inverse=True)[1]
         pairs: dict[int, int] = {}
@@ -111,27 +124,51 @@ class Merges:
         return self.final([s for s in symbols if s >= 0])
 
     def together(self, segments: list[str]) -> list[tuple[int, ...]]:
-        """The agenda over many segments at once; each step merges the best pair of every segment."""
-        out: list[tuple[int, ...] | None] = [None] * len(segments)
-        lengths = np.array([len(s) for s in segments])
-        codes: dict[str, int] = {}
-        for low, high in ((1, 8), (9, 12), (13, _SHORT)):
+        """The agenda over many segments at once, as one tuple of ids per segment."""
+        ids, starts, counts = self.flat(segments)
+        return [tuple(ids[s : s + n].tolist()) for s, n in zip(starts, counts, strict=True)]
+
+    def flat(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The agenda over many segments at once, each step merging the best pair of every segment: ids, first place and number of ids per segment."""
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        first = np.cumsum(lengths) - lengths
+        symbols = self.characters[np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)]
+        starts, counts = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64)
+        found, size = [np.zeros(0, np.int32)], 0
+        for low, high in ((1, 6), (7, 9), (10, 12), (13, 16), (17, _SHORT)):
             rows = np.flatnonzero((lengths >= low) & (lengths <= high))
             if not len(rows):
                 continue
-            for c in set("".join([segments[r] for r in rows])).difference(codes):
-                codes[c] = self.symbol(c)
-            width = int(lengths[rows].max())
-            flat = np.array(list(map(codes.__getitem__, "".join([segments[r] for r in rows]))), np.int64)
-            table = np.full((len(rows), width), -1, np.int64)
-            table[np.arange(width) < lengths[rows][:, None]] = flat
+            inside = np.arange(int(lengths[rows].max())) < lengths[rows][:, None]
+            table = np.full(inside.shape, -1, np.int64)
+            table[inside] = symbols[ragged(first[rows], lengths[rows])]
             self._steps(table)
-            count = (table >= 0).sum(axis=1)
-            for r, symbols, k in zip(rows.tolist(), table.tolist(), count.tolist(), strict=True):
-                out[r] = self.final(symbols[:k])
+            ids, n = self._final(table)
+            counts[rows], starts[rows] = n, size + np.cumsum(n) - n
+            found.append(ids)
+            size += len(ids)
         for r in np.flatnonzero(lengths > _SHORT).tolist():
-            out[r] = self.by_heap(segments[r])
-        return out
+            ids = self.by_heap(segments[r])
+            counts[r], starts[r] = len(ids), size
+            found.append(np.array(ids, np.int32))
+            size += len(ids)
+        return np.concatenate(found), starts, counts
+
+    def _final(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after the other, symbols outside the vocabulary as bytes, and their number per row."""
+        held = table >= 0
+        flat, wide = table[held], np.ones(table.shape, np.int64) * held
+        outside = np.flatnonzero(flat >= self.size)
+        if not len(outside):
+            return flat.astype(np.int32), wide.sum(axis=1)
+        raw = [[self.bytes[b] for b in chr(s - self.size).encode()] for s in flat[outside].tolist()]
+        times = np.ones(len(flat), np.int64)
+        times[outside] = [len(x) for x in raw]
+        wide[held] = times
+        out = np.repeat(flat, times)
+        ends = np.cumsum(times)
+        out[ragged((ends - times)[outside], times[outside])] = list(chain.from_iterable(raw))
+        return out.astype(np.int32), wide.sum(axis=1)
 
     def _steps(self, table: np.ndarray) -> None:
         width = table.shape[1]
@@ -167,60 +204,107 @@ class Merges:
 
 
 class PieceCodec:
-    """Encoder and decoder of one worker with its cache of segments."""
+    """Encoder and decoder of one worker with its cache of segments: a row per segment, their ids in one array."""
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.new: dict[str, tuple[str, tuple[int, ...], int]] = {}
-        self.old: dict[str, tuple[str, tuple[int, ...], int]] = {}
-
-    def _prepare(self, wanted: set[str]) -> None:
-        if len(self.new) > _CACHED:
-            self.old, self.new = self.new, {}
-        ask = []
-        for s in wanted.difference(self.new):
-            found = self.old.get(s)
-            if found is None:
-                ask.append(s)
-            else:
-                self.new[s] = found
-        if not ask:
-            return
-        ours = self.merges.together([MARK + s for s in ask])
+        m = self.merges
+        of_byte = {i: bytes([b]) for b, i in m.bytes.items()}
+        raw = [b"" if m.library.is_control(i) else of_byte.get(i, name.replace(MARK, " ").encode()) for i, name in enumerate(m.names)]
+        self.raw, self.digits = _joined(raw), _joined([b"%d," % i for i in range(m.size)])
+        self._keep([], np.zeros(0, np.int64))
+
+    def _keep(self, keys: list[str], rows: np.ndarray) -> None:
+        """Leaves only these rows, whose segments are ``keys``, in the cache."""
+        if keys:
+            counts, over = self.counts[rows], self.over[rows]
+            self.ids, self.counts, self.over = self.ids[ragged(self.starts[rows], counts)], counts, over
+        else:
+            self.ids, self.counts, self.over = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.again = np.cumsum(self.counts) - self.counts, np.zeros(len(keys), bool)
+        self.rows = {s: i for i, s in enumerate(keys)}
+
+    def _prepare(self, wanted: list[str]) -> np.ndarray:
+        """The row of each of these different segments. A full cache keeps what was asked for again, unless that is most of it."""
+        if len(self.rows) > _CACHED:
+            again = np.flatnonzero(self.again)
+            again = again if 2 * len(again) <= _CACHED else again[:0]
+            keys = list(self.rows)
+            self._keep([keys[i] for i in again.tolist()], again)
+        found = np.fromiter(map(self.rows.get, wanted, repeat(-1)), np.int64, len(wanted))
+        self.again[found[found >= 0]] = True
+        new = np.flatnonzero(found < 0)
+        if not len(new):
+            return found
+        ask = [wanted[i] for i in new.tolist()]
+        ids, starts, counts = self.merges.flat([MARK + s for s in ask])
         theirs = self.merges.library.encode([s.replace(MARK, " ") for s in ask], num_threads=1)
-        for s, ids, check in zip(ask, ours, theirs, strict=True):
-            # the library puts its own prefix before every text, also before an empty one of only a prefix
-            overruled = bool(s) and ids != tuple(check)
-            ids = tuple(check) if overruled else ids
-            self.new[s] = (",".join(map(str, ids)), ids, int(overruled))
-
-    def encode(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...], int]]]:
-        """Per text, the segments' entries: ids as joined text, ids, and 1 where the library's ids replace the agenda's."""
-        split = []
-        for text in texts:
-            if not text:
-                split.append([])
-            elif _PLAIN.search(text):
-                split.append([s[1:] for s in _SEGMENT.findall(MARK + text.replace(" ", MARK))])
-            else:
-                split.append(text.split(" "))
-        self._prepare(set().union(*split))
-        get = self.new.__getitem__
-        return [list(map(get, s)) for s in split]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of id lists: pieces joined, marks as spaces, byte runs as UTF-8, without the first space."""
-        names, n = self.merges.names, self.merges.bytes
-        kinds = getattr(self, "_raw", None)
-        if kinds is None:
-            of_byte = {i: bytes([b]) for b, i in n.items()}
-            hidden = {i for i in range(self.merges.size) if self.merges.library.is_control(i)}
-            kinds = self._raw = [b"" if i in hidden else of_byte.get(i, names[i].replace(MARK, " ").encode()) for i in range(len(names))]
-        out = []
-        for one in ids:
-            raw = b"".join(map(kinds.__getitem__, one))
-            out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-        return out
+        lengths = np.fromiter(map(len, theirs), np.int64, len(ask))
+        check = np.fromiter(chain.from_iterable(theirs), np.int32, int(lengths.sum()))
+        over = lengths != counts
+        ours = ids[ragged(starts[~over], counts[~over])]
+        firsts = np.cumsum(lengths) - lengths
+        differ = ours != check[ragged(firsts[~over], lengths[~over])]
+        if differ.any():
+            over[np.repeat(np.flatnonzero(~over), counts[~over])[differ]] = True
+        # the library puts its own prefix before every text, also before an empty one of only a prefix
+        over &= np.fromiter(map(bool, ask), bool, len(ask))
+        if over.any():
+            starts, counts = np.where(over, len(ids) + firsts, starts), np.where(over, lengths, counts)
+            ids = np.concatenate([ids, check])
+        n = len(self.rows)
+        self.starts = np.concatenate([self.starts, len(self.ids) + starts])
+        self.counts, self.over, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.over, over.astype(np.int64)]), np.concatenate([self.ids, ids])
+        self.again = np.concatenate([self.again, np.zeros(len(ask), bool)])
+        self.rows.update(zip(ask, range(n, n + len(ask)), strict=True))
+        found[new] = np.arange(n, n + len(ask))
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts (``large_string`` without nulls); per text the first and the last place behind, and the segments where the library's ids replace the agenda's."""
+        marked = pc.replace_substring(texts, MARK, " ")
+        odd = pc.or_(pc.match_substring(marked, "  "), pc.or_(pc.starts_with(marked, " "), pc.ends_with(marked, " ")))
+        odd = pc.or_(odd, pc.equal(pc.binary_length(marked), 0))
+        plain = pc.split_pattern(marked.filter(pc.invert(odd)), " ")
+        others = [[s[1:] for s in _SEGMENT.findall(MARK + t.replace(" ", MARK))] if t else [] for t in marked.filter(odd).to_pylist()]
+        lists = pa.concat_arrays([plain, pa.array(others, plain.type)])
+        segments = lists.flatten().dictionary_encode()
+        rows = self._prepare(segments.dictionary.to_numpy(zero_copy_only=False).tolist())[segments.indices.to_numpy()]
+        counts = self.counts[rows]
+        text = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")  # whose segments stand where
+        places, at = _sums(counts), lists.offsets.to_numpy()
+        replaced, bounds = _sums(self.over[rows])[at], places[at]
+        lo, hi, over = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        lo[text], hi[text], over[text] = bounds[:-1], bounds[1:], np.diff(replaced)
+        return self.ids[ragged(self.starts[rows], counts)], lo, hi, over
+
+    def decode(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+        """Texts of ranges of ids: pieces joined, marks as spaces, byte runs as they are, without the first space."""
+        found = _spelled(ids, lo, hi, self.raw)
+        return [x[1:] if x[:1] == b" " else x for x in found]
+
+    def digits_of(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+        """Decimal ids of ranges, joined by commas."""
+        return [x[:-1] for x in _spelled(ids, lo, hi, self.digits)]
+
+
+def _sums(counts: np.ndarray) -> np.ndarray:
+    """Running sums from 0."""
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all parts, and first place and length of each."""
+    counts = np.array([len(p) for p in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(counts) - counts, counts
+
+
+def _spelled(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """The parts of the ids of each range, joined."""
+    data, starts, counts = parts
+    counts = counts[ids]
+    whole, at = data[ragged(starts[ids], counts)].tobytes(), _sums(counts)
+    return [whole[a:b] for a, b in zip(at[lo].tolist(), at[hi].tolist(), strict=True)]
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -237,9 +321,11 @@ def piece_ids(path: str):
 
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
-        own = codec(path)
-        found = own.encode(text_column(column).to_pylist())
-        return pa.array([list(chain.from_iterable(e[1] for e in entries)) for entries in found], pa.list_(pa.int32()))
+        texts, own, out = text_column(column), codec(path), [pa.array([], pa.list_(pa.int32()))]
+        for first, last in byte_slices(texts, _SLICE):
+            found, lo, hi, _ = own.encode(texts.slice(first, last - first))
+            out.append(pa.array([found[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.list_(pa.int32())))
+        return pa.concat_arrays(out)
 
     return ids
 
@@ -249,7 +335,9 @@ def piece_texts(path: str):
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
-        return pa.array(codec(path).decode([x or [] for x in column.to_pylist()]), pa.string())
+        lists = [x or [] for x in column.to_pylist()]
+        at = _sums(np.array([len(x) for x in lists], np.int64))
+        return pa.array([x.decode("utf-8", "replace") for x in codec(path).decode(np.array(list(chain.from_iterable(lists)), np.int32), at[:-1], at[1:])], pa.string())
 
     return text
 
@@ -268,15 +356,16 @@ def piece_digests(docs: DataFrame, path: str) -> DataFrame:
         own = codec(path)
         texts = text_column(column)
         counts, encoded, decoded, overruled = [], [], [], []
-        for lo, hi in byte_slices(texts):
-            found = own.encode(texts.slice(lo, hi - lo).to_pylist())
-            ids = [list(chain.from_iterable([e[1] for e in entries])) for entries in found]
-            theirs = own.merges.library.decode(ids, num_threads=1)
-            for entries, one, text, ours in zip(found, ids, theirs, own.decode(ids), strict=True):
-                overruled.append(sum(e[2] for e in entries) + (text != ours))
-                counts.append(len(one))
-                encoded.append(hashlib.sha256(",".join([e[0] for e in entries]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(text.encode()).hexdigest())
+        for first, last in byte_slices(texts, _SLICE):
+            ids, lo, hi, replaced = own.encode(texts.slice(first, last - first))
+            whole = ids.tolist()
+            theirs = own.merges.library.decode([whole[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], num_threads=1)
+            for text, ours, n in zip(theirs, own.decode(ids, lo, hi), replaced.tolist(), strict=True):
+                raw = text.encode()
+                overruled.append(n + (raw != ours and text != ours.decode("utf-8", "replace")))
+                decoded.append(hashlib.sha256(raw).hexdigest())
+            counts.extend((hi - lo).tolist())
+            encoded.extend([hashlib.sha256(x).hexdigest() for x in own.digits_of(ids, lo, hi)])
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string()), pa.array(overruled, pa.int64())], ["n_tokens", "ids_sha256", "decoded_sha256", "n_overruled"])
 
     return docs.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")

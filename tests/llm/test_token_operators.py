@@ -8,8 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from eventlens.llm import pieces as pieces_module
 from eventlens.llm.packing import CAPACITY, assign_sequences, pack_documents, pack_histogram, sequences
-from eventlens.llm.pieces import codec, piece_digests, piece_ids, piece_texts
+from eventlens.llm.pieces import PieceCodec, codec, piece_digests, piece_ids, piece_texts
 from eventlens.llm.queries import QUERIES
 from eventlens.llm.tokens import PieceCache, TextEncoder, tokenizer_file
 from eventlens.llm.units import buffers
@@ -150,6 +151,31 @@ def test_agenda_by_heap_and_in_steps_equal_the_library():
     assert [own.by_heap(s) for s in segments] == theirs
 
 
+def test_piece_codec_keeps_segments_as_ranges_and_forgets_in_time(monkeypatch):
+    monkeypatch.setattr(pieces_module, "_CACHED", 40)
+    own = PieceCodec(PIECE)
+    texts = [t or "" for t in AWKWARD] + random_texts(120, 4)
+    for part in (texts[:50], texts[50:], texts[:50], ["the cat " * 30, "", " ", "▁▁ ▁", "🙂🙂 é"]):
+        ids, lo, hi, replaced = own.encode(pa.array(part, pa.large_string()))
+        assert ids.dtype == np.int32 and not replaced.any()
+        theirs = own.merges.library.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(lo, hi, strict=True)] == theirs
+        assert own.decode(ids, lo, hi) == [own.merges.library.decode(x).encode() for x in theirs]
+        assert own.digits_of(ids, lo, hi) == [",".join(map(str, x)).encode() for x in theirs]
+        assert len(own.rows) == len(own.starts) == len(own.again)
+    own.encode(pa.array(["a"], pa.large_string()))
+    assert len(own.rows) <= 41
+
+
+def test_piece_codec_takes_the_library_where_it_differs():
+    own = PieceCodec(PIECE)
+    flat = own.merges.flat
+    own.merges.flat = lambda segments: flat([s if s != "▁cat" else "▁dog" for s in segments])
+    ids, lo, hi, replaced = own.encode(pa.array(["the cat sat", "a dog", "cat"], pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(lo, hi, strict=True)] == own.merges.library.encode(["the cat sat", "a dog", "cat"])
+    assert replaced.tolist() == [1, 0, 1]
+
+
 def test_piece_digests_equal_library(spark):
     docs = documents(spark, AWKWARD + random_texts(150) + ["ab " * 40000])
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in piece_digests(docs, PIECE).collect()}
