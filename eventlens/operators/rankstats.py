@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,14 +74,30 @@ def peer_summary(rows: DataFrame, by: list[str], key: str, value: str) -> DataFr
     Windows over one sort per group: leaving a row out shifts the middle ranks by at most one, so no pair of rows is formed.
     Rows without peers or value are left out; ties of the value are ordered by ``key``.
     """
+    return _among_peers(rows.where(F.col(value).isNotNull()), by, key, value).where("peers > 0")
+
+
+def with_peers(rows: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
+    """All ``rows`` with the columns of ``peer_summary``, so that nobody has to join them back: null where a row has no peers.
+
+    A row without its key, its group or a value has no peers and is none.
+    """
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, key, value)])
+    found = _among_peers(rows.withColumn("_whole", whole), [*by, "_whole"], key, value)
+    some = F.col("_whole") & (F.col("peers") > 0)
+    return found.withColumns({c: F.when(some, F.col(c)) for c in ("peers", "peer_median", "share_below")}).drop("_whole")
+
+
+def _among_peers(rows: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
     w, sort = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value, key)
-    ranked = rows.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(sort), "_n": F.count("*").over(w)})
+    ranked = rows.withColumns({"_r": F.row_number().over(sort), "_n": F.count("*").over(w)})
     upto = F.count("*").over(Window.partitionBy(*by).orderBy(value))  # range frame: all ties count
     low, high = F.floor(F.col("_n") / 2), F.floor((F.col("_n") + 1) / 2)  # middle ranks of the n - 1 others
     at = {f"_v{i}": F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + i, F.col(value))).over(w) for i in (0, 1, 2)}
-    ranked = ranked.withColumns(at).withColumn("_upto", upto).where("_n > 1")
+    ranked = ranked.withColumns(at).withColumn("_upto", upto)
     pick = lambda rank: F.get(F.array("_v0", "_v1", "_v2"), (rank + F.when(F.col("_r") <= rank, 1).otherwise(0) - F.floor(F.col("_n") / 2)).cast("int"))
-    out = ranked.withColumns({"peers": F.col("_n") - 1, "peer_median": (pick(low) + pick(high)) / 2, "share_below": (F.col("_upto") - 1) / (F.col("_n") - 1)})
+    below = F.when(F.col("_n") > 1, (F.col("_upto") - 1) / (F.col("_n") - 1))
+    out = ranked.withColumns({"peers": F.col("_n") - 1, "peer_median": (pick(low) + pick(high)) / 2, "share_below": below})
     return out.drop("_r", "_n", "_upto", *at)
 
 

@@ -8,7 +8,7 @@ from eventlens.adapters import SQL_CATALYSTS, SQL_PRICES, SQL_SNAPSHOTS, catalys
 from eventlens.functions.numeric import company_state
 from eventlens.operators.asof import latest
 from eventlens.operators.intervals import active_interval
-from eventlens.operators.rankstats import nearest_peers, peer_summary, posture
+from eventlens.operators.rankstats import nearest_peers, posture, with_peers
 from eventlens.operators.rows import cut
 from eventlens.plans import history, lens
 from eventlens.queries import query
@@ -111,9 +111,8 @@ def closest_peers(spark, sf):
 )
 def expectation_lens(spark, sf):
     """Peer-anchored value, upside, target price and posture of every company and quarter."""
-    rows = _lens_rows(spark, sf)
-    peers = peer_summary(rows, ["as_of", "metric"], "symbol", "multiple").select("symbol", "as_of", F.col("peer_median").alias("median_multiple"))
-    rows = rows.join(peers, ["symbol", "as_of"], "left").withColumns(
+    rows = with_peers(_lens_rows(spark, sf), ["as_of", "metric"], "symbol", "multiple").withColumnRenamed("peer_median", "median_multiple")
+    rows = rows.withColumns(
         {
             "risk_adjusted_sales": lens.risk_adjusted(F.col("program_sales"), F.lit(0.82)), "price": F.lit(10.0), "launch_progress": F.lit(0.5), "lifecycle": F.lit(0.5), "optionality": F.lit(0.5), "deployment": F.lit(0.5),
             "exact_event": F.col("symbol") % 5 == 0,
