@@ -93,6 +93,12 @@ def catalysts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("expected_date", F.date_trunc("quarter", "at")).where("expected_date >= as_of").drop("at")
 
 
+def dated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of ``event_tape`` (at ``at``) with as_of, and the expected_date of those that are ``catalysts`` too (else null)."""
+    quarter = F.date_trunc("quarter", "at")
+    return _events(spark, sf_dir).withColumn("expected_date", F.when((F.col("at") >= F.col("as_of")) & (quarter >= F.col("as_of")), quarter))
+
+
 def event_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What happened: every line as an event at its ship date."""
     return _events(spark, sf_dir).withColumnRenamed("at", "event_timestamp").drop("as_of", "importance", "crowdedness")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.functions.taxonomy import EXACT_STATUSES
-from eventlens.operators.asof import asof_join
+from eventlens.operators.greedy import streamed
 from eventlens.operators.markers import marker_bits
 
 # Weights of a shared name word, a shared condition word and the same phase, and the least score of a match.
@@ -71,29 +75,84 @@ def title_tokens(value: Column) -> Column:
     return F.filter(F.array_distinct(words), lambda w: F.length(w) >= 4)
 
 
-def _grams(word: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(n))))
+def stale_events(events: DataFrame, filings: DataFrame, days: int = STALE_RECENCY_DAYS) -> DataFrame:
+    """``events`` with ``stale``, and status and horizon_days as they should be then.
 
+    events: company, event_id, as_of, title, names (text of programs and conditions), status, horizon_days. filings: company, filed, text. See
+    ``judged_stale``; where both come from the same rows, stack them as it wants them, so that those are read once.
+    """
+    one = events.withColumns({"_event": F.lit(True), "_at": F.to_timestamp("as_of")})
+    two = filings.select("company", F.lit(False).alias("_event"), F.to_timestamp("filed").alias("_at"), F.col("text").alias("_text"))
+    return judged_stale(one.unionByName(two, allowMissingColumns=True), events.columns, days)
 
-def stale_events(events: DataFrame, filings: DataFrame, days: int = STALE_RECENCY_DAYS, gram: int = 4) -> DataFrame:
-    """``events`` with ``stale``, and status and horizon_days as they should be then.
 
-    events: company, event_id (unique), as_of, title, names (text of programs and conditions), status, horizon_days. filings: company, filed, text. An
-    event without exact timing and with a far horizon is stale where a readout filing of the ``days`` up to its as_of holds one of its tokens,
-    also inside a longer word. Tokens meet filings' words by their first ``gram`` characters, words once per day; of the days that a token was told
-    on, only the last one up to as_of counts, found as-of, so no event meets its filings one by one.
+def judged_stale(rows: DataFrame, columns: list[str], days: int = STALE_RECENCY_DAYS) -> DataFrame:
+    """``columns`` of the events among ``rows`` with ``stale``, and status and horizon_days as they should be then.
+
+    rows: events (``_event``) with company, ``_at``, title, names, status, horizon_days, and filings with company, ``_at`` and ``_text``. An
+    event without exact timing and with a far horizon is stale where a readout filing of the ``days`` up to its time holds one of its tokens,
+    also inside a longer word. Rows are shuffled once, to their company, and streamed in order of time (see ``_told_of``), so no event meets
+    its filings one by one.
     """
+    known = F.col("company").isNotNull() & F.col("_at").isNotNull()
     status = F.coalesce("status", F.lit(""))
-    asked = events.where(~status.isin(*EXACT_STATUSES) & (F.col("horizon_days") > STALE_MIN_HORIZON))
-    tokens = F.array_union(title_tokens(F.col("title")), title_tokens(F.col("names")))
-    asked = asked.select("company", "event_id", F.to_timestamp("as_of").alias("as_of"), F.explode(tokens).alias("token"))
-    text = F.lower("text")
-    told = filings.withColumn("_bits", marker_bits(F.coalesce(text, F.lit("")), [READOUT_KEYWORDS])).where("_bits <> 0")
-    words = told.select("company", F.to_timestamp("filed").alias("filed"), F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("word")).distinct()
-    words = words.select("*", F.explode(_grams(F.col("word"), gram)).alias("_gram"))
-    wanted = asked.select("company", "token", F.substr("token", F.lit(1), F.lit(gram)).alias("_gram")).distinct()
-    days_of = wanted.join(words, ["company", "_gram"]).where(F.contains("word", "token")).select("company", "token", "filed").distinct()
-    last = asof_join(asked, days_of, ["company", "token"], "as_of", "filed", [])
-    hit = last.where(F.col("filed") >= F.col("as_of") - F.make_dt_interval(F.lit(days))).select("event_id").distinct().withColumn("stale", F.lit(True))
-    out = events.join(hit, "event_id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+    asked = known & F.col("_event") & ~status.isin(*EXACT_STATUSES) & (F.col("horizon_days") > STALE_MIN_HORIZON)
+    rows = rows.withColumn("_bits", marker_bits(F.coalesce(F.lower("_text"), F.lit("")), [READOUT_KEYWORDS])).where(F.col("_event") | (known & (F.col("_bits") != 0)))
+    rows = rows.withColumns({"_one": F.when(F.col("_event"), F.when(asked, F.col("title"))).otherwise(F.col("_text")), "_two": F.when(asked, F.col("names")), "_asked": asked})
+    rows = streamed(rows.select(*columns, *[c for c in ("company",) if c not in columns], "_at", "_event", "_asked", "_one", "_two"), ["company"], [F.col("_at"), F.col("_event")])
+    # words and tokens hold no white space
+    words = F.array_join(F.array_distinct(F.split(F.lower("_one"), r"\s+")), "\n")
+    tokens = F.array_join(F.array_union(title_tokens(F.col("_one")), title_tokens(F.col("_two"))), "\n")
+    said = F.when(F.col("_asked"), tokens).when(~F.col("_event"), words)
+    rows = rows.select(*columns, "_nth", "_event", F.unix_micros("_at").alias("_at"), said.alias("_said"))
+    schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("stale", T.BooleanType())])
+    out = rows.mapInArrow(_told_of(columns, days), schema)
     return out.withColumns({"status": F.when(F.col("stale"), "stale_synthetic").otherwise(F.col("status")), "horizon_days": F.when(F.col("stale"), STALE_HORIZON).otherwise(F.col("horizon_days"))})
+
+
+def _told_of(columns: list[str], days: int):
+    """For ``mapInArrow``: whether a filing of the last days holds a token of the event.
+
+    Carried are a company's different words and tokens: per word its tokens and when it was told last, per token when one of its words was. Words and
+    tokens meet by a token's first characters, once each; later filings and events cost a lookup per word or token.
+    """
+    span, gram = days * 86_400_000_000, 4
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, told, last, by_gram, starting = {}, {}, {}, {}, {}
+
+        def tell(words: list[str], at: int) -> None:
+            for word in words:
+                if word not in held:
+                    grams = {word[i : i + gram] for i in range(max(len(word) - gram + 1, 1))}
+                    held[word] = [t for g in grams for t in starting.get(g, ()) if t in word]
+                    for g in grams:
+                        by_gram.setdefault(g, []).append(word)
+                told[word] = at
+                for token in held[word]:
+                    last[token] = at
+
+        def since(tokens: list[str], at: int) -> bool:
+            for token in tokens:
+                if token not in last:
+                    inside = [w for w in by_gram.get(token[:gram], ()) if token in w]
+                    for word in inside:
+                        held[word].append(token)
+                    last[token] = max((told[w] for w in inside), default=None)
+                    starting.setdefault(token[:gram], []).append(token)
+            return any(last[t] is not None and last[t] >= at for t in tokens)
+
+        for batch in batches:
+            stale = []
+            for nth, event, at, said in zip(*[batch.column(c).to_pylist() for c in ("_nth", "_event", "_at", "_said")], strict=True):
+                if nth == 1:
+                    for state in (held, told, last, by_gram, starting):
+                        state.clear()
+                if event:
+                    stale.append(bool(said) and since(said.split("\n"), at - span))
+                else:
+                    tell(said.split("\n"), at)
+            kept = batch.select(columns).filter(batch.column("_event"))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(stale, pa.bool_())], [*columns, "stale"])
+
+    return judge

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlens import oracle as q
-from eventlens.adapters import SQL_CATALYSTS, catalysts, event_tape, table
+from eventlens.adapters import SQL_CATALYSTS, dated_events, table
 from eventlens.functions.numeric import whole_days
 from eventlens.plans import matching
 from eventlens.queries import query
@@ -52,8 +52,9 @@ def idea_matches(spark, sf):
 )
 def stale_flags(spark, sf):
     """Upcoming events whose words stand in a readout filing of the last 180 days."""
-    events = catalysts(spark, sf).select(
-        F.col("symbol").alias("company"), "event_id", "as_of", "title", F.lit("").alias("names"), "status", whole_days(F.col("expected_date"), F.col("as_of")).alias("horizon_days"),
-    )
-    filings = event_tape(spark, sf).select(F.col("symbol").alias("company"), F.col("event_timestamp").alias("filed"), F.col("title").alias("text"))
-    return matching.stale_events(events, filings).select("event_id", "stale", "status", "horizon_days")
+    day = lambda c: F.to_timestamp(c).alias("_at")
+    event = F.struct(F.lit(True).alias("_event"), day("as_of"), "event_id", "title", "status", whole_days(F.col("expected_date"), F.col("as_of")).alias("horizon_days"), F.lit(None).cast("string").alias("_text"))
+    filing = F.struct(F.lit(False).alias("_event"), day("at"), *[F.lit(None).cast("string").alias(c) for c in ("event_id", "title", "status")], F.lit(None).cast("int").alias("horizon_days"), F.col("title").alias("_text"))
+    # every line is a filing, and where it was announced before its quarter an event too
+    rows = dated_events(spark, sf).select(F.col("symbol").alias("company"), F.inline(F.array_compact(F.array(filing, F.when(F.col("expected_date").isNotNull(), event)))))
+    return matching.judged_stale(rows.withColumn("names", F.lit("")), ["event_id", "status", "horizon_days"]).select("event_id", "stale", "status", "horizon_days")
